@@ -60,7 +60,7 @@ KNOWN = (
 )
 
 #: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\))([^a-z\n][^\n]*)?$"
+COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(copyright|\(c\))([^a-z\n][^\n]*)?$"
 
 
 def canonical(text: Column) -> Column:
