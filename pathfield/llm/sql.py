@@ -86,8 +86,8 @@ grams AS (SELECT gram, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(b) AS DOUBLE) AS b
 scored AS (SELECT form, cut.a, cut.b, round(avg(ln(a_{order}) - ln(b_{order})), 9) AS score FROM cut JOIN level{order} USING (gram) GROUP BY form, cut.a, cut.b),
 bins AS (SELECT floor(score * {urls.BINS}) AS bin, sum(a) AS a, sum(b) AS b FROM scored GROUP BY bin),
 gains AS (SELECT bin, sum(a) OVER (ORDER BY bin DESC) / nullif(CAST(sum(a) OVER () AS DOUBLE), 0) - sum(b) OVER (ORDER BY bin DESC) / nullif(CAST(sum(b) OVER () AS DOUBLE), 0) AS gain FROM bins),
-border AS (SELECT (SELECT bin / {urls.BINS} FROM gains WHERE gain IS NOT NULL ORDER BY gain DESC, bin LIMIT 1) AS at)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN at IS NULL OR score >= at THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN at IS NOT NULL THEN score END AS score
+border AS (SELECT (SELECT bin / {urls.BINS} FROM gains WHERE gain IS NOT NULL ORDER BY gain DESC, bin LIMIT 1) AS least)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN least IS NULL OR score >= least THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN least IS NOT NULL THEN score END AS score
 FROM ruled JOIN scored USING (form), border
 """
 
