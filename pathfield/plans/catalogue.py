@@ -1,4 +1,575 @@
-"""Queries by name, with their SQL."""
+"""Queries by name over the driver's tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pathfield.functions import forms, scalars
+from pathfield.operators import binning, detect, fit, groups, lag, linking, noise, orient, sequence, shells, simulate, spatial
+from pathfield.sources import adapters
+from pathfield.streaming import frames
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SHIFT = 3e-8
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Floating columns to so many digits, so that engines that add in another order agree; -0 becomes 0.
+
+    The small shift keeps exact halves, which means of the data's two decimals often are, from going either way.
+    """
+    return df.select(*[(F.round(F.col(c) + SHIFT, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(source: str | None, sql: str | None = None, digits: int = 6):
+    """Register a function of the adapter's table (or of spark, sf_dir), rounded; sql: what follows the adapter's WITH."""
+
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(f(getattr(adapters, source)(spark, sf_dir)) if source else f(spark, sf_dir), digits)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            text = sql.replace(", 6)", f" + {SHIFT}, 6)").replace(", 4)", f" + {SHIFT}, 4)")
+            ORACLES[f.__name__] = f"WITH {adapters.SQL[source]}{',' if not text.lstrip().upper().startswith('SELECT') else ''} {text}" if source else text
+        return f
+
+    return keep
+
+
+_PAIRS = "p AS (SELECT a.t, a.f, b.f - a.f AS tau, a.x AS x1, b.x AS x2, a.y AS y1, b.y AS y2, a.o AS o1, b.o AS o2 FROM tracks_dense a JOIN tracks_dense b ON a.t = b.t AND b.f >= a.f)"
+_BOTH = _PAIRS.replace(" AND b.f >= a.f", "")
+_MSD = f"{_PAIRS}, m AS (SELECT t, tau, avg((x2 - x1) ** 2 + (y2 - y1) ** 2) AS msd FROM p GROUP BY ALL)"
+_ENSEMBLE = "SELECT tau, round(avg(c), 6) AS mean, round(stddev_samp(c) / sqrt(count(c)), 6) AS stderr, count(c) AS n FROM m GROUP BY tau HAVING count(c) >= 3"
+_NEIGHBOURS = "q AS (SELECT a.f, a.id AS id1, b.id AS id2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, a.o AS o1, b.o AS o2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM points a JOIN points b ON a.f = b.f AND a.id <> b.id)"
+_KNN = f"{_NEIGHBOURS}, k AS (SELECT *, row_number() OVER (PARTITION BY f, id1 ORDER BY d, id2) AS rank FROM q QUALIFY rank <= 4)"
+_BOND = f"{_KNN}, s AS (SELECT f, id1 AS id, avg(cos(4 * atan2(y2 - y1, x2 - x1))) AS re, avg(sin(4 * atan2(y2 - y1, x2 - x1))) AS im FROM k GROUP BY ALL)"
+
+
+# -- groups, sets, bins
+
+
+@query("tracks_dense", "n AS (SELECT t, count(*) AS n FROM tracks_dense GROUP BY t) SELECT t, f, id, round(x, 6) AS x, round(y, 6) AS y, round(o, 6) AS o FROM tracks_dense JOIN n USING (t) WHERE n >= 60")
+def length_filter(d):
+    return groups.length_filter(d, 60)
+
+
+@query("tracks_dense", "SELECT t, count(*) AS n FROM tracks_dense GROUP BY t ORDER BY n DESC, t LIMIT 10")
+def top_n_tracks(d):
+    return groups.longest(d, 10)
+
+
+@query("tracks_dense", "n AS (SELECT t, count(*) AS size FROM tracks_dense GROUP BY t) SELECT size, count(*) AS groups FROM n GROUP BY size ORDER BY groups DESC, size LIMIT 1")
+def mode_group_size(d):
+    return groups.modal_group_size(d, "t")
+
+
+@query("dup_lines", "SELECT f, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(x)), 6) AS stderr, count(x) AS n FROM dup_lines GROUP BY f HAVING count(x) >= 3")
+def uneven_mean(d):
+    return groups.uneven_mean(d, "x", "f")
+
+
+@query(
+    "orders_series",
+    "kept AS (SELECT * FROM orders_series QUALIFY count(*) OVER (PARTITION BY f) >= 3), w AS (SELECT *, sqrt(count(*) OVER (PARTITION BY t)) AS w FROM kept), "
+    "g AS (SELECT f, sum(w) AS sw, sum(w * x) AS wx, sum(w * x * x) AS wxx, count(*) AS n FROM w GROUP BY f) "
+    "SELECT f, round(wx / sw, 6) AS mean, round(sqrt(greatest(wxx / sw - (wx / sw) ** 2, 0)) / sqrt(n), 6) AS stderr, n FROM g",
+)
+def uneven_mean_weighted(d):
+    return groups.uneven_mean_weighted(d, "x", "f", "t")
+
+
+@query(
+    "orders_series",
+    "m AS (SELECT t, avg(x) AS mu, count(*) AS n, var_samp(x) AS v FROM orders_series GROUP BY t), c AS (SELECT t, avg((x - mu) ** 2) AS m2, avg((x - mu) ** 3) AS m3, avg((x - mu) ** 4) AS m4 FROM orders_series JOIN m USING (t) GROUP BY t) "
+    "SELECT t, n, round(mu, 6) AS mean, round(v, 6) AS variance, round(sqrt(v) / sqrt(n), 6) AS stderr, CASE WHEN m2 > 0 THEN round(m3 / m2 ** 1.5, 6) END AS skew, CASE WHEN m2 > 0 THEN round(m4 / m2 ** 2 - 3, 6) END AS kurtosis FROM m JOIN c USING (t) WHERE n >= 3",
+)
+def moments(d):
+    return groups.moments(d, "x", ["t"]).where("n >= 3")
+
+
+@query("tracks_dense", "SELECT least(CAST(floor(x / 25.0) AS INTEGER), 19) AS bin, count(*) AS n, round(sum(y), 6) AS sum_y, round(avg(y), 6) AS avg_y FROM tracks_dense WHERE x BETWEEN 0 AND 500 GROUP BY 1")
+def bin_average(d):
+    return binning.bin_average(d, {"bin": binning.bin_index(F.col("x"), 0.0, 500.0, 20)}, {"y": F.col("y")})
+
+
+@query(
+    "tracks_dense",
+    "SELECT least(CAST(floor(x / 50.0) AS INTEGER), 9) AS i, least(CAST(floor(y / 10.0) AS INTEGER), 9) AS j, count(*) AS n, round(sum(o), 6) AS sum_o, round(avg(o), 6) AS avg_o FROM tracks_dense WHERE x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 100 GROUP BY 1, 2",
+)
+def bin_sum_2d(d):
+    return binning.bin_average(d, {"i": binning.bin_index(F.col("x"), 0.0, 500.0, 10), "j": binning.bin_index(F.col("y"), 0.0, 100.0, 10)}, {"o": F.col("o")})
+
+
+@query("dots", "c AS (SELECT f, least(CAST(floor(x / 50.0) AS INTEGER), 9) AS bin, count(*) AS n FROM dots WHERE x BETWEEN 0 AND 500 GROUP BY 1, 2) SELECT f, bin, n, round(n / sum(n) OVER (PARTITION BY f), 6) AS share FROM c")
+def histogram_time(d):
+    return binning.histogram(d, F.col("x"), 0.0, 500.0, 10, ["f"])
+
+
+@query("dots", "c AS (SELECT f, least(CAST(floor(x / 50.0) AS INTEGER), 9) AS bin, count(*) AS n FROM dots WHERE x BETWEEN 0 AND 500 GROUP BY 1, 2) SELECT bin, round(avg(n), 6) AS mean, round(var_pop(n), 6) AS variance, round(stddev_pop(n) / sqrt(count(*)), 6) AS stderr FROM c GROUP BY bin")
+def mean_histogram(d):
+    return binning.mean_histogram(binning.histogram(d, F.col("x"), 0.0, 500.0, 10, ["f"]))
+
+
+@query("points", "SELECT CAST(floor(sqrt(x * x + y * y) / 0.05) AS BIGINT) AS i, count(o) AS n, round(avg(o), 6) AS mean FROM points GROUP BY 1")
+def site_mean_radial(d):
+    return binning.site_mean(d, "o", 0.05, "r")
+
+
+@query("tracks_gappy", "u AS (SELECT DISTINCT t, f FROM tracks_gappy), g AS (SELECT lead(f) OVER (PARTITION BY t ORDER BY f) - f - 1 AS gap FROM u) SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap")
+def gap_distribution(d):
+    return groups.gap_distribution(d)
+
+
+@query(
+    None,
+    "WITH a AS (SELECT o_custkey AS t, o_orderkey AS id FROM orders), b AS (SELECT user_id AS t, event_id AS id FROM events) "
+    "SELECT t, id, 0 AS dataset FROM a UNION ALL SELECT t + (SELECT max(t) + 1 FROM a), id, 1 FROM b",
+)
+def merge_offset(spark, sf_dir):
+    a = adapters.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("id"))
+    b = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("t"), F.col("event_id").alias("id"))
+    return groups.merge([a, b])
+
+
+@query(
+    None,
+    "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT user_id AS k FROM events) "
+    "SELECT 'both' AS part, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'left', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)",
+)
+def set_ops(spark, sf_dir):
+    a = adapters.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    b = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).distinct()
+    parts = {"both": a.intersect(b), "left": a.subtract(b), "any": a.union(b).distinct()}
+    counts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, d in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("tracks_gappy", "m AS (SELECT t % 5 AS trial, f // 24 AS f, median(x) AS m FROM tracks_gappy GROUP BY 1, 2), e AS (SELECT min(e) AS e FROM (SELECT max(f) AS e FROM m GROUP BY trial)) SELECT f, round(avg(m), 6) AS mean, count(m) AS n FROM m, e WHERE f <= e GROUP BY f")
+def trial_medians(d):
+    return groups.trial_median_mean(d.select((F.col("t") % 5).alias("trial"), F.floor(F.col("f") / 24).cast("int").alias("f"), "x"), "x", "trial")
+
+
+# -- windows over tracks
+
+
+@query(
+    "dup_lines",
+    "g AS (SELECT t, f, avg(x) AS mx, avg(y) AS my FROM dup_lines GROUP BY t, f), n AS (SELECT t, f, lag(mx) OVER w AS px, lag(my) OVER w AS py, lead(mx) OVER w AS nx, lead(my) OVER w AS ny FROM g WINDOW w AS (PARTITION BY t ORDER BY f)), "
+    "s AS (SELECT d.*, round(coalesce((x - px) ** 2 + (y - py) ** 2, 0) + coalesce((x - nx) ** 2 + (y - ny) ** 2, 0), 9) AS s FROM dup_lines d JOIN n USING (t, f)) "
+    "SELECT t, f, id, round(x, 6) AS x, round(y, 6) AS y FROM s QUALIFY row_number() OVER (PARTITION BY t, f ORDER BY s, id) = 1",
+)
+def dedupe(d):
+    return sequence.dedupe(d)
+
+
+_ONE = "u AS (SELECT t, f, min(id) AS id, avg(x) AS x FROM tracks_gappy GROUP BY t, f), g AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY t ORDER BY f) - f - 1, 0) AS gap FROM u), dn AS (SELECT t, CAST(f + i AS INTEGER) AS f, CASE WHEN i = 0 THEN id END AS id, CASE WHEN i = 0 THEN x END AS x, i > 0 AS is_filled FROM g, LATERAL (SELECT unnest(range(0, gap + 1)) AS i))"
+
+
+def _single(d: DataFrame) -> DataFrame:
+    return d.groupBy("t", "f").agg(F.min("id").alias("id"), F.avg("x").alias("x"))
+
+
+@query("tracks_gappy", f"{_ONE} SELECT t, f, id, round(x, 6) AS x, is_filled FROM dn")
+def densify(d):
+    return sequence.densify(_single(d))
+
+
+@query(
+    "tracks_gappy",
+    f"{_ONE}, r AS (SELECT *, last_value(x IGNORE NULLS) OVER p AS a, first_value(x IGNORE NULLS) OVER n AS b, last_value(CASE WHEN x IS NOT NULL THEN f END IGNORE NULLS) OVER p AS fa, first_value(CASE WHEN x IS NOT NULL THEN f END IGNORE NULLS) OVER n AS fb FROM dn "
+    "WINDOW p AS (PARTITION BY t ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY t ORDER BY f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT t, f, id, is_filled, round(CASE WHEN x IS NOT NULL THEN x WHEN fb - fa - 1 <= 10 THEN a + (b - a) * (f - fa) / nullif(fb - fa, 0) END, 6) AS x FROM r",
+)
+def interpolate(d):
+    return sequence.interpolate(sequence.densify(_single(d)), ["x"])
+
+
+@query(
+    "tracks_dense",
+    "s AS (SELECT *, coalesce(CASE WHEN abs(o - lag(o) OVER w) > pi() THEN sign(o - lag(o) OVER w) END, 0) AS turn FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f)) "
+    "SELECT t, f, id, round(x, 6) AS x, round(y, 6) AS y, round(o - 2 * pi() * sum(turn) OVER (PARTITION BY t ORDER BY f), 6) AS o FROM s",
+)
+def unwrap(d):
+    return sequence.unwrap(d)
+
+
+@query("tracks_dense", "SELECT t, f, round(coalesce(lead(x) OVER w - x, x - lag(x) OVER w), 6) AS dx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f)")
+def diff_forward(d):
+    return d.select("t", "f", sequence.forward_difference(d, "x").alias("dx"))
+
+
+@query("tracks_dense", "SELECT t, f, round(coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w), 6) AS dx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f)")
+def gradient(d):
+    return d.select("t", "f", sequence.gradient("x").alias("dx"))
+
+
+def _gauss_sql(c: str) -> str:
+    terms = []
+    weights = sequence.gauss_weights(0.65, 1)
+    for k, w in zip(range(-(len(weights) // 2), len(weights)), weights, strict=False):
+        v = f"lag({c}, {-k}) OVER w" if k < 0 else f"lead({c}, {k}) OVER w"
+        terms.append(f"({w!r}) * coalesce({v}, {'first_value' if k < 0 else 'last_value'}({c}) OVER z)")
+    return " + ".join(terms)
+
+
+_FILTER = "WINDOW w AS (PARTITION BY t ORDER BY f), z AS (PARTITION BY t ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query("tracks_dense", f"SELECT t, f, round({_gauss_sql('x')}, 6) AS dx FROM tracks_dense {_FILTER}")
+def gauss_derivative(d):
+    return d.select("t", "f", sequence.gauss_filter("x").alias("dx"))
+
+
+@query("tracks_dense", "SELECT t, f, round(sum(coalesce((f - lf) * (x + lx) / 2, 0)) OVER (PARTITION BY t ORDER BY f), 6) AS area FROM (SELECT *, lag(f) OVER w AS lf, lag(x) OVER w AS lx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f))")
+def cumulative_trapezoid(d):
+    w = Window.partitionBy("t").orderBy("f")
+    rows = d.withColumn("part", F.coalesce((F.col("f") - F.lag("f").over(w)) * (F.col("x") + F.lag("x").over(w)) / 2, F.lit(0.0)))
+    return rows.select("t", "f", F.sum("part").over(w).alias("area"))
+
+
+@query(
+    "tracks_dense",
+    "r AS (SELECT t, row_number() OVER u AS i, row_number() OVER d AS j, count(*) OVER (PARTITION BY t) AS n, avg(x) OVER u AS head, avg(x) OVER d AS tail FROM tracks_dense WINDOW u AS (PARTITION BY t ORDER BY f), d AS (PARTITION BY t ORDER BY f DESC)) "
+    "SELECT a.t, a.n - a.i AS lag, round(a.head, 6) AS head, round(b.tail, 6) AS tail FROM r a JOIN r b ON a.t = b.t AND a.i = b.j",
+)
+def limited_mean(d):
+    return sequence.limited_means(d, "x")
+
+
+@query(
+    "tracks_dense",
+    "r AS (SELECT t, f, max(x) OVER (PARTITION BY t ORDER BY f) AS top, min(x) OVER (PARTITION BY t ORDER BY f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM tracks_dense) SELECT t, min(CASE WHEN top = low THEN f END) AS start FROM r GROUP BY t",
+)
+def running_extrema(d):
+    return sequence.running_extrema_start(d, "x", "t", "f")
+
+
+@query("dots", "c AS (SELECT f, count(*) AS n FROM dots GROUP BY f), r AS (SELECT f, n, lag(n) OVER (ORDER BY f) AS a, lead(n) OVER (ORDER BY f) AS b FROM c) SELECT 0 AS g, f, n, CASE WHEN n > a AND n > b THEN 'max' ELSE 'min' END AS kind FROM r WHERE (n > a AND n > b) OR (n < a AND n < b)")
+def peaks(d):
+    return sequence.peaks(d.groupBy("f").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("g"), "f", "n"), "f", "n", ["g"])
+
+
+# -- lags
+
+
+@query("tracks_dense", f"{_MSD} SELECT t, tau, round(msd, 6) AS msd FROM m")
+def msd(d):
+    return lag.msd(d)
+
+
+@query("tracks_dense", f"{_MSD.replace('AS msd', 'AS c')} {_ENSEMBLE}")
+def msd_ensemble(d):
+    return lag.msd_ensemble(d)
+
+
+@query("tracks_dense", f"{_PAIRS} SELECT t, tau, round(avg((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) AS msd FROM p WHERE tau IN (1, 2, 4, 8, 16) AND (f - 1) % 3 = 0 GROUP BY ALL")
+def msd_strided(d):
+    return lag.msd(d, lags=[1, 2, 4, 8, 16], start_step=3)
+
+
+@query("tracks_dense", f"{_PAIRS} SELECT t, tau, round(avg(((x2 - x1) * cos(o1) + (y2 - y1) * sin(o1)) ** 2), 6) AS prog, round(avg(((y2 - y1) * cos(o1) - (x2 - x1) * sin(o1)) ** 2), 6) AS div FROM p GROUP BY ALL")
+def msd_body(d):
+    return lag.msd_body(d)
+
+
+@query("tracks_dense", f"{_PAIRS} SELECT t, tau, round(avg((o2 - o1) ** 2), 6) AS msd FROM p GROUP BY ALL")
+def angular_msd(d):
+    return lag.angular_msd(d)
+
+
+@query("tracks_dense", f"{_PAIRS}, c AS (SELECT t, tau, avg(x2 * x1) - avg(x2) * avg(x1) AS c FROM p WHERE tau <= 20 GROUP BY ALL) SELECT a.t, a.tau, round(a.c / nullif(b.c, 0), 6) AS c FROM c a JOIN c b ON a.t = b.t AND b.tau = 0")
+def autocorr(d):
+    return lag.autocorr(d, "x", 20)
+
+
+@query("tracks_dense", f"{_BOTH} SELECT t, tau, round(avg((x2 - x1) * y1), 6) AS c FROM p WHERE tau BETWEEN -20 AND 20 GROUP BY ALL")
+def crosscorr(d):
+    return lag.crosscorr(d, "x", "y", "init", True, False, 20)
+
+
+@query("tracks_dense", f"{_PAIRS}, m AS (SELECT t, tau, avg(cos(o2 - o1)) AS c FROM p GROUP BY ALL) {_ENSEMBLE}")
+def nn_corr(d):
+    return lag.nn_corr(d)
+
+
+@query("tracks_dense", f"{_BOTH}, m AS (SELECT t, tau, avg((x2 - x1) * cos(o1) + (y2 - y1) * sin(o1)) AS c FROM p GROUP BY ALL) {_ENSEMBLE}")
+def rn_corr(d):
+    return lag.rn_corr(d)
+
+
+@query("tracks_dense", f"{_BOTH}, c AS (SELECT tau, avg(x2 * y1) AS c FROM p WHERE tau BETWEEN -20 AND 20 GROUP BY tau) SELECT a.tau AS x, round((a.c + b.c) / 2, 6) AS even, round((a.c - b.c) / 2, 6) AS odd FROM c a JOIN c b ON a.tau = -b.tau")
+def sym_antisym(d):
+    c = lag.lag_pairs(d, ["x", "y"], 20, None, True).groupBy("tau").agg(F.avg(F.col("x2") * F.col("y1")).alias("c"))
+    return lag.symmetry(c, "tau", "c")
+
+
+@query(
+    "tracks_dense",
+    f"{_PAIRS}, c AS (SELECT t, tau AS x, greatest(avg(cos(o2 - o1)), 0) AS y FROM p WHERE tau <= 20 GROUP BY ALL), s AS (SELECT *, lead(x) OVER w - x AS h, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM c WINDOW w AS (PARTITION BY t ORDER BY x)) "
+    "SELECT t, round(sum(h * (x * y + nx * ny) / 2) / nullif(sum(h * (y + ny) / 2), 0), 6) AS scale FROM s GROUP BY t",
+)
+def decay_scale(d):
+    c = lag.lag_pairs(d, ["o"], 20).groupBy("t", "tau").agg(F.avg(F.cos(F.col("o2") - F.col("o1"))).alias("c"))
+    return lag.decay_scale(c, "tau", "c", ["t"])
+
+
+@query("tracks_dense", f"{_MSD}, e AS (SELECT tau, avg(msd) AS y FROM m WHERE tau > 0 GROUP BY tau HAVING avg(msd) > 0) SELECT 0 AS g, (tau + ntau) / 2 AS mid, round((ln(ny) - ln(y)) / (ln(ntau) - ln(tau)), 6) AS slope FROM (SELECT *, lead(tau) OVER (ORDER BY tau) AS ntau, lead(y) OVER (ORDER BY tau) AS ny FROM e) WHERE ntau IS NOT NULL")
+def log_slope(d):
+    e = lag.msd(d).groupBy("tau").agg(F.avg("msd").alias("y")).select(F.lit(0).alias("g"), F.col("tau").cast("double").alias("tau"), "y")
+    return sequence.log_slope(e, "tau", "y", ["g"])
+
+
+@query("tracks_dense", f"{_MSD} SELECT t, round(sum(msd / tau / tau) / sum(1.0 / tau) / 4, 6) AS d FROM m WHERE tau BETWEEN 1 AND 10 GROUP BY t")
+def diffusion_from_msd(d):
+    return noise.diffusion_from_msd(lag.msd(d, 10), 1, 10, ["t"])
+
+
+_VELOCITY = (
+    f"v0 AS (SELECT t, f, o AS a, {_gauss_sql('o')} AS vo, {_gauss_sql('x')} AS vx, {_gauss_sql('y')} AS vy FROM tracks_dense {_FILTER}), "
+    "v1 AS (SELECT *, vx * cos(a) + vy * sin(a) AS par, vx * sin(a) - vy * cos(a) AS perp FROM v0), v2 AS (SELECT *, avg(par) OVER (PARTITION BY t) AS m FROM v1), "
+    "v AS (SELECT t, f, vo AS o, sqrt(vx * vx + vy * vy) AS v, vx AS x, vy AS y, par, perp, vx - m * cos(a) AS etax, vy - m * sin(a) AS etay, par - m AS etapar FROM v2)"
+)
+
+
+@query("tracks_dense", f"{_VELOCITY} SELECT t, f, round(sqrt(etax ** 2 + etay ** 2), 6) AS eta, {', '.join(f'round({c}, 6) AS {c}' for c in 'o v x y par perp etax etay etapar'.split())} FROM v")
+def noise_velocity(d):
+    return noise.velocities(d)
+
+
+@query("tracks_dense", f"{_VELOCITY}, l AS (SELECT 'o' AS component, o AS value FROM v UNION ALL SELECT 'perp', perp FROM v UNION ALL SELECT 'par', par FROM v) SELECT component, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value) * sqrt(3) * 0.65, 6) AS d FROM l GROUP BY component")
+def diffusion_from_velocity(d):
+    return noise.diffusion_from_velocity(noise.velocities(d))
+
+
+@query("tracks_dense", f"{_VELOCITY}, c AS (SELECT a.t, b.f - a.f AS tau, avg(a.par * b.par) - avg(b.par) * avg(a.par) AS c FROM v a JOIN v b ON a.t = b.t AND b.f - a.f BETWEEN 0 AND 20 GROUP BY ALL) SELECT tau, round(avg(c), 6) AS mean, round(stddev_samp(c) / sqrt(count(c)), 6) AS stderr, count(c) AS n FROM c GROUP BY tau HAVING count(c) >= 3")
+def vv_corr(d):
+    return groups.uneven_mean(lag.autocorr(noise.velocities(d), "par", 20, False), "c", "tau")
+
+
+# -- space
+
+
+@query("points", f"{_NEIGHBOURS} SELECT f, id1, id2, round(d, 6) AS d FROM q WHERE id1 < id2")
+def pairs(d):
+    return spatial.pairs(d).select("f", "id1", "id2", "d")
+
+
+@query("points", f"{_KNN} SELECT f, id1, id2, CAST(rank AS INTEGER) AS rank, round(d, 6) AS d FROM k")
+def knn(d):
+    return spatial.knn(d, 4).select("f", "id1", "id2", "rank", "d")
+
+
+@query("points", f"{_NEIGHBOURS} SELECT f, id1, id2, round(d, 6) AS d FROM q WHERE d < 0.08")
+def ball_neighbors(d):
+    return spatial.close_pairs(d, 0.08).select("f", "id1", "id2", "d")
+
+
+@query("points", f"{_KNN}, l AS (SELECT *, 1.1 * avg(d) OVER (PARTITION BY f, id1) AS lim FROM k) SELECT f, id1, id2, round(d, 6) AS d FROM l WHERE d <= lim")
+def knn_adaptive(d):
+    return spatial.adaptive_neighbours(d, 4, 1.1).select("f", "id1", "id2", "d")
+
+
+_MOD = lambda x: f"((({x}) % (2 * pi()) + 2 * pi()) % (2 * pi()))"
+
+
+@query("points", f"{_KNN}, a AS (SELECT *, {_MOD('atan2(y2 - y1, x2 - x1)')} AS angle FROM k) SELECT f, id1, id2, round(angle, 6) AS angle, round({_MOD('angle - first_value(angle) OVER (PARTITION BY f, id1 ORDER BY d, id2)')}, 6) AS relative FROM a")
+def pair_angles(d):
+    return spatial.bond_angles(spatial.knn(d, 4)).select("f", "id1", "id2", "angle", "relative")
+
+
+@query("points", f"{_BOND} SELECT f, id, round(sqrt(re * re + im * im), 6) AS psi FROM s")
+def psi_local(d):
+    return spatial.psi_local(spatial.knn(d, 4))
+
+
+@query("points", f"{_BOND}, g AS (SELECT f, avg(re) AS re, avg(im) AS im FROM s GROUP BY f) SELECT f, round(sqrt(re * re + im * im), 6) AS psi, round(atan2(im, re) / 4, 6) AS phase FROM g")
+def psi_global(d):
+    return spatial.psi_global(spatial.knn(d, 4))
+
+
+@query("points", "g AS (SELECT f, avg(cos(4 * o)) AS re, avg(sin(4 * o)) AS im FROM points GROUP BY f) SELECT f, round(sqrt(re * re + im * im), 6) AS phi, round(atan2(im, re) / 4, 6) AS phase FROM g")
+def phi_global(d):
+    return spatial.phi_global(d)
+
+
+@query("points", f"{_KNN} SELECT f, id1 AS id, round(1 / avg(d) ** 2, 6) AS dens FROM k GROUP BY ALL")
+def density_dist(d):
+    return spatial.density(spatial.knn(d, 4), "dist")
+
+
+@query("points", f"{_KNN} SELECT f, id1 AS id, round(avg(1 / d) ** 2, 4) AS dens FROM k GROUP BY ALL", digits=4)
+def density_inv(d):
+    return spatial.density(spatial.knn(d, 4), "inv")
+
+
+_CENTRED = "c AS (SELECT *, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d0 FROM (SELECT *, (min(x) OVER w + max(x) OVER w) / 2 AS mx, (min(y) OVER w + max(y) OVER w) / 2 AS my FROM points WINDOW w AS (PARTITION BY f)))"
+
+
+@query("points", f"{_CENTRED} SELECT f, id, round(greatest(least(0.5 - (d0 - (max(d0) OVER (PARTITION BY f) + 0.025 - 0.1)) / 0.05, 1), 0), 6) AS weight FROM c")
+def bulk_weight(d):
+    return spatial.bulk_weight(d, 0.1, 0.05)
+
+
+@query(
+    "points",
+    f"{_CENTRED}, q AS (SELECT a.f, a.d0 AS d1, b.d0 AS d2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM c a JOIN c b ON a.f = b.f AND a.id < b.id), r AS (SELECT f, greatest((SELECT max(d) / 2 FROM q WHERE q.f = c.f), max(d0)) + 0.025 AS rs FROM c GROUP BY f), "
+    "i AS (SELECT f, count(*) AS n FROM c JOIN r USING (f) WHERE d0 <= rs - 0.05 GROUP BY f), "
+    "w AS (SELECT f, least(CAST(floor(d / 0.02) AS INTEGER), 19) AS bin, n, CASE WHEN d1 <= rs - 0.05 THEN 1 / (2 * acos(coalesce(greatest(-1, (d * d + d1 * d1 - rs * rs) / nullif(2 * d * d1, 0)), -1)) * d * 0.02) ELSE 0 END + CASE WHEN d2 <= rs - 0.05 THEN 1 / (2 * acos(coalesce(greatest(-1, (d * d + d2 * d2 - rs * rs) / nullif(2 * d * d2, 0)), -1)) * d * 0.02) ELSE 0 END AS w "
+    "FROM q JOIN r USING (f) JOIN i USING (f) WHERE d > 0 AND d <= 0.4) SELECT f, bin, round(sum(w / n), 4) AS g FROM w GROUP BY f, bin",
+    digits=4,
+)
+def g_r(d):
+    return spatial.pair_distribution(d, 20, 0.4, 0.05, 0.05)
+
+
+@query("points", f"{_NEIGHBOURS} SELECT least(CAST(floor((x2 - x1 + 0.4) / 0.08) AS INTEGER), 9) AS i, least(CAST(floor((y2 - y1 + 0.4) / 0.08) AS INTEGER), 9) AS j, count(*) AS n FROM q WHERE x2 - x1 BETWEEN -0.4 AND 0.4 AND y2 - y1 BETWEEN -0.4 AND 0.4 GROUP BY 1, 2")
+def g_xy(d):
+    return spatial.displacement_histogram(d, 10, 0.4)
+
+
+@query("points", f"{_NEIGHBOURS} SELECT least(CAST(floor(d / 0.05) AS INTEGER), 9) AS bin, count(*) AS n, round(avg(cos(4 * (o1 - o2))), 6) AS c FROM q WHERE id1 < id2 AND d <= 0.5 GROUP BY 1")
+def g_orient(d):
+    return spatial.orientation_correlation(d, 10, 0.5)
+
+
+@query("points", f"{_NEIGHBOURS} SELECT least(CAST(floor(d / 0.05) AS INTEGER), 9) AS bin, count(*) AS n, round(avg(o1 * o2), 6) AS c FROM q WHERE id1 < id2 AND d <= 0.5 GROUP BY 1")
+def radial_corr(d):
+    return spatial.radial_correlation(d, lambda a, b: a["o"] * b["o"], ["o"], 10, 0.5)
+
+
+@query("points", f"{_BOND}, z AS (SELECT p.f, p.x, p.y, p.id, re, im FROM points p JOIN s USING (f, id)), h AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.re * b.re + a.im * b.im AS v FROM z a JOIN z b ON a.f = b.f AND a.id < b.id) SELECT least(CAST(floor(d / 0.05) AS INTEGER), 9) AS bin, count(*) AS n, round(avg(v), 6) AS c FROM h WHERE d <= 0.5 GROUP BY 1")
+def bond_correlation(d):
+    return spatial.bond_correlation(spatial.knn(d, 4), d, 10, 0.5)
+
+
+@query(
+    "points",
+    f"{_NEIGHBOURS}, u AS (SELECT f, id1 AS id, o2 AS o FROM q WHERE d < 0.1 UNION ALL SELECT f, id, o FROM points), g AS (SELECT f, id, avg(cos(4 * o)) AS a, avg(sin(4 * o)) AS b FROM u GROUP BY ALL), h AS (SELECT f, a * a - b * b AS p, 2 * a * b AS q FROM g), "
+    "s AS (SELECT f, avg(p * p - q * q) AS u, avg(2 * p * q) AS v, 3 * (avg(p) ** 2 - avg(q) ** 2) AS c, 6 * avg(p) * avg(q) AS d FROM h GROUP BY f) SELECT f, round(1 - (u * c + v * d) / (c * c + d * d), 4) AS re, round(-(v * c - u * d) / (c * c + d * d), 4) AS im FROM s",
+    digits=4,
+)
+def binder(d):
+    return spatial.binder(d, 0.1)
+
+
+def _overlap_sql() -> str:
+    h = 0.02 * 0.9
+    tests = " OR ".join(f"abs((x2 - x1) * cos({o} + {k}) + (y2 - y1) * sin({o} + {k})) > {h!r} * (1 + abs(cos(o2 - o1)) + abs(sin(o2 - o1)))" for o in ("o1", "o2") for k in ("0", "pi() / 2"))
+    return f"{_NEIGHBOURS} SELECT f, id1, id2 FROM q WHERE id1 < id2 AND NOT ({tests})"
+
+
+@query("points", _overlap_sql())
+def square_overlap(d):
+    return spatial.square_overlaps(d, 0.02)
+
+
+@query("points", "r AS (SELECT f, id, row_number() OVER (PARTITION BY f ORDER BY round((x - mx) ** 2 + (y - my) ** 2, 9), id) AS k FROM (SELECT *, avg(x) OVER (PARTITION BY f) AS mx, avg(y) OVER (PARTITION BY f) AS my FROM points)) SELECT f, id, CAST(ceil((sqrt(k) + 1) / 2) AS INTEGER) AS ring FROM r")
+def ring_valency(d):
+    return shells.ring_valency(d)
+
+
+_SHELL = (
+    f"{_KNN.replace('rank <= 4', 'rank <= 2')}, s AS (SELECT f, id1 AS id, avg(cos(4 * atan2(y2 - y1, x2 - x1))) AS re, avg(sin(4 * atan2(y2 - y1, x2 - x1))) AS im FROM k GROUP BY ALL), ax AS (SELECT f, atan2(avg(im), avg(re)) / 4 AS a FROM s GROUP BY f), "
+    "uv AS (SELECT f, id, x * cos(a) + y * sin(a) AS u, y * cos(a) - x * sin(a) AS v FROM points JOIN ax USING (f)), "
+    "sh AS (SELECT f, id, CAST(round_even(greatest(abs((u - avg(u) OVER w) / ((max(u) OVER w - min(u) OVER w) / 6)), abs((v - avg(v) OVER w) / ((max(v) OVER w - min(v) OVER w) / 6))), 0) AS INTEGER) AS sh FROM uv WINDOW w AS (PARTITION BY f))"
+)
+
+
+@query("points", f"{_SHELL} SELECT f, id, sh FROM sh")
+def shell_assign(d):
+    return shells.assign_shells(d, 7)
+
+
+@query("points", f"{_SHELL}, j AS (SELECT sh.f, sh, o FROM sh JOIN points USING (f, id)) SELECT f, sh, count(o) AS n, round(avg(o), 6) AS mean FROM j GROUP BY GROUPING SETS ((f, sh), (f))")
+def shell_series(d):
+    return shells.by_shell(shells.assign_shells(d, 7).join(d, ["f", "id"]), "o")
+
+
+# -- linking
+
+_PARENTS = (
+    "nr AS (SELECT a.id, a.f, b.id AS p, a.f - b.f AS n, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM dots a JOIN dots b ON a.f - b.f BETWEEN 1 AND 3 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 2 * sqrt(a.f - b.f)), "
+    "rv AS (SELECT *, min(d) OVER (PARTITION BY p, n) AS rival, row_number() OVER (PARTITION BY id ORDER BY n, d, p) AS k FROM nr), pa AS (SELECT id, p AS parent FROM rv WHERE k = 1 AND d <= rival)"
+)
+
+
+@query("dots", f"{_PARENTS} SELECT id, f, parent FROM dots LEFT JOIN pa USING (id)")
+def parent_pointers(d):
+    return linking.parents(d, 2.0, 3)
+
+
+def _labels_sql(tail: str) -> str:
+    walk = "up(id, at) AS (SELECT id, id FROM dots UNION ALL SELECT up.id, pa.parent FROM up JOIN pa ON pa.id = up.at), rt AS (SELECT id, min_by(at, (SELECT f FROM dots d WHERE d.id = up.at)) AS root FROM up GROUP BY id)"
+    return f"WITH RECURSIVE {adapters.SQL['dots']}, {_PARENTS}, {walk}, {tail}"
+
+
+@query(None, _labels_sql("lb AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS t FROM rt) SELECT id, t FROM lb"))
+def track_labels(spark, sf_dir):
+    return linking.track_labels(adapters.dots(spark, sf_dir), 2.0, 3)
+
+
+@query(None, _labels_sql("lb AS (SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS t, count(*) OVER (PARTITION BY root) AS n FROM rt) SELECT id, CASE WHEN n >= 3 THEN t ELSE -1 END AS t FROM lb"))
+def stub_filter(spark, sf_dir):
+    return linking.track_labels(adapters.dots(spark, sf_dir), 2.0, 3, stub=3)
+
+
+@query("points", "SELECT f, id, round(x, 6) AS x, round(y, 6) AS y, round(o, 6) AS o, sqrt(x * x + y * y) > 0.2 AS cut FROM points")
+def boundary_cut(d):
+    return linking.outside(d, 0.0, 0.0, 0.3, 0.1)
+
+
+@query(
+    "points",
+    "m AS (SELECT a.f, a.id, b.id AS cid, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM points a JOIN points b ON a.f = b.f AND a.id % 2 = 0 AND b.id % 2 = 1), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY f, id ORDER BY round(abs(d - 0.1), 9), cid) AS k FROM m WHERE abs(d - 0.1) < 0.03), g AS (SELECT f, id, " + _MOD("atan2(sum(dy / d), sum(dx / d))") + " AS orient FROM r WHERE k <= 2 GROUP BY f, id HAVING count(*) >= 2) "
+    "SELECT p.f, p.id, round(orient, 6) AS orient FROM points p LEFT JOIN g ON g.f = p.f AND g.id = p.id WHERE p.id % 2 = 0",
+)
+def corner_match(d):
+    return orient.match_corners(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.1, 0.03).select("f", "id", "orient")
+
+
+# -- forms, fits, simulation, detection, streaming
+
+
+@query(
+    "tracks_dense",
+    "SELECT t, f, round(0.5 + 2 * exp(-f / 7.0), 6) AS exp_decay, round(1 + 3 * (f + 1.0) ** -0.5, 6) AS powerlaw, round(exp(-(f / 21.0)), 6) AS nn, round(2 * (0.3 / 0.05) ** 2 * (0.05 * f + exp(-0.05 * f) - 1) + 0.04 * f, 6) AS rr, round((((x - y) + pi() / 4) % (pi() / 2) + pi() / 2) % (pi() / 2) - pi() / 4, 6) AS wrapped FROM tracks_dense",
+)
+def functional_forms(d):
+    f = F.col("f").cast("double")
+    return d.select("t", "f", forms.exp_decay(f, 7.0, 2.0, 0.5).alias("exp_decay"), forms.powerlaw(f + 1, 0.5, 3.0, 1.0).alias("powerlaw"), forms.nn_form(f, 1 / 21).alias("nn"), forms.rr_form(f, 0.3, 0.01, 0.05).alias("rr"), scalars.dtheta(F.col("x"), F.col("y"), 4, True).alias("wrapped"))
+
+
+@query(None)
+def simulated_msd(spark, sf_dir):
+    return lag.msd_ensemble(simulate.walkers(spark, 100, 100, 1 / 21, 0.01, 0.3678), max_lag=30)
+
+
+@query(None)
+def simulated_fit(spark, sf_dir):
+    c = lag.nn_corr(simulate.walkers(spark, 200, 200, 1 / 21, 0.01, 0.3678), 40).withColumn("dataset", F.lit("simulate"))
+    return fit.fit(c, "nn", "dataset", "tau", "mean", "stderr", {"dr": 0.1})
+
+
+@query(None)
+def detect_dots(spark, sf_dir):
+    p = adapters.points(spark, sf_dir).select(F.col("f").cast("int").alias("f"), (F.floor(F.col("y") * 40) + 20).cast("int").alias("r"), (F.floor(F.col("x") * 40) + 20).cast("int").alias("c"))
+    lit = p.groupBy("f", "r", "c").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    grid = p.select("f").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    pixels = detect.clip_scale(grid.join(lit, ["f", "r", "c"], "left").fillna(0.0, ["v"]), 4.0)
+    smooth = detect.convolve(pixels, detect.disk_kernel(spark, 0.5, 1.0))
+    return detect.segments(detect.label(smooth, 1.5), 2, 200, 0.95)
+
+
+@query(
+    None,
+    "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sqrt(avg(cos(4 * o)) ** 2 + avg(sin(4 * o)) ** 2), 6) AS phi FROM (SELECT ts, 2 * pi() * (((value * 0.1) % 1.0 + 1.0) % 1.0) AS o FROM events) GROUP BY 1",
+)
+def windowed_order(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").select("ts", (2 * 3.141592653589793 * F.pmod(F.col("value") * 0.1, F.lit(1.0))).alias("o"))
+    return frames.windowed_order(e, "ts", "1 day", "1 hour")
