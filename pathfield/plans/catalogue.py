@@ -504,7 +504,7 @@ def parent_pointers(d):
 
 
 def _labels_sql(tail: str) -> str:
-    walk = "up(id, at) AS (SELECT id, id FROM dots UNION ALL SELECT up.id, pa.parent FROM up JOIN pa ON pa.id = up.at), rt AS (SELECT id, min_by(at, (SELECT f FROM dots d WHERE d.id = up.at)) AS root FROM up GROUP BY id)"
+    walk = "up(id, top) AS (SELECT id, id FROM dots UNION ALL SELECT up.id, pa.parent FROM up JOIN pa ON pa.id = up.top), rt AS (SELECT up.id, min_by(top, dots.f) AS root FROM up JOIN dots ON dots.id = up.top GROUP BY up.id)"
     return f"WITH RECURSIVE {adapters.SQL['dots']}, {_PARENTS}, {walk}, {tail}"
 
 
