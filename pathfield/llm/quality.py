@@ -158,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", mos
     chosen = training_labels(labels, column, folds, fold, most)
     values = F.pandas_udf(lambda s: pd.Series([list(features(t or "")) for t in s]), "array<double>")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", values("text").alias("x")).limit(2 * most).toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_additive(x, rows["y"].to_numpy(float))
 
 
@@ -166,7 +166,7 @@ def quality_score(model: AdditiveModel, text: Column) -> Column:
     """Score of a text, 0 to 1."""
 
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t or "") for t in texts], float).reshape(len(texts), -1)))
+        return pd.Series(model.score(np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES))))
 
     return F.pandas_udf(score, "double")(text)
 

@@ -34,7 +34,9 @@ WINDOW, STEP = 24, 16
 PART = 24
 #: Vector size, states of each direction, buckets of character n-grams.
 SIZE, STATES, GRAM_BITS = 8, 8, 15
-EPOCHS, RATE, BATCH = 10, 0.02, 100
+EPOCHS, RATE = 10, 0.02
+#: Texts of a step: a twentieth of all, within these.
+BATCHES = 16, 100
 #: Chance that a known word is read by its characters alone while training.
 UNKNOWN = 0.3
 #: Words a worker remembers; windows it scores at once.
@@ -272,11 +274,12 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Netwo
         return np.stack(out), np.maximum.reduceat(logits, sizes.cumsum() - sizes)
 
     rows = np.flatnonzero(fit)
+    batch = min(max(len(rows) // 20, BATCHES[0]), BATCHES[1])
     for epoch in range(EPOCHS):
         top, _ = highest(rows)
         order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            mine = order[at : at + BATCH]
+        for at in range(0, len(rows), batch):
+            mine = order[at : at + batch]
             a, target = top[mine].T, y[rows[mine]]
             distinct, place = np.unique(a, return_inverse=True)
             place = place.reshape(a.shape)
