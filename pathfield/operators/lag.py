@@ -1,6 +1,8 @@
 """Time-lag statistics: everything here is a join of a track with itself at a lag, then two levels of grouped means.
 
-max_lag bounds the pairs of a long track; the lags come as an array on the left side, so the join is one equi-join on (t, f).
+Without max_lag all lags of a track are met: its frames come in blocks, and each pair of blocks is a row that any task can take, so
+that a long track is dealt over all of them and no pair is shuffled before its mean. With max_lag, or some lags alone, these come as an
+array on the left side of one equi-join on (t, f).
 """
 
 from __future__ import annotations
@@ -10,15 +12,17 @@ from pyspark.sql import functions as F
 
 from pathfield.operators.groups import uneven_mean
 
-#: Longest lag a caller gets without asking for more.
-MAX_LAG = 1000
+#: Frames of a block.
+BLOCK = 512
 
 
-def lag_pairs(tracks: DataFrame, columns: list[str], max_lag: int | None = MAX_LAG, lags: list[int] | None = None, two_sided: bool = False, t: str = "t", f: str = "f") -> DataFrame:
+def lag_pairs(tracks: DataFrame, columns: list[str], max_lag: int | None = None, lags: list[int] | None = None, two_sided: bool = False, t: str = "t", f: str = "f") -> DataFrame:
     """(t, f, tau, c1.., c2..): rows of a track at f and f + tau.
 
     lags: these alone; else 0 to the track's length or max_lag. Negative ones too if two_sided.
     """
+    if max_lag is None and lags is None:
+        return _all_pairs(tracks, columns, two_sided, t, f)
     ends = tracks.groupBy(t).agg(F.min(f).alias("__lo"), F.max(f).alias("__hi"))
     a = tracks.select(F.col(t), F.col(f), *[F.col(c).alias(f"{c}1") for c in columns]).join(ends, t)
     most = F.lit(max_lag) if max_lag is not None else F.col("__hi") - F.col("__lo")
@@ -29,7 +33,22 @@ def lag_pairs(tracks: DataFrame, columns: list[str], max_lag: int | None = MAX_L
     return a.join(b, (F.col(t) == F.col("__t")) & (F.col("__g") == F.col("__f"))).drop("__t", "__f", "__g")
 
 
-def msd(tracks: DataFrame, max_lag: int | None = MAX_LAG, start_step: int = 1, lags: list[int] | None = None) -> DataFrame:
+def _all_pairs(tracks: DataFrame, columns: list[str], two_sided: bool, t: str, f: str) -> DataFrame:
+    """lag_pairs at all lags."""
+    block = F.floor(F.col(f) / BLOCK).cast("int")
+    rows = tracks.where(F.col(f).isNotNull()).groupBy(F.col(t), block.alias("__i")).agg(F.collect_list(F.struct(f, *columns)).alias("__a"))
+    ends = rows.groupBy(t).agg(F.sort_array(F.collect_list("__i")).alias("__js"))
+    a = rows.join(ends, t).withColumn("__j", F.explode(F.col("__js") if two_sided else F.filter("__js", lambda j: j >= F.col("__i")))).drop("__js")
+    b = rows.select(F.col(t).alias("__t"), F.col("__i").alias("__k"), F.col("__a").alias("__b"))
+    met = a.join(b, (F.col(t) == F.col("__t")) & (F.col("__j") == F.col("__k"))).select(t, "__i", "__j", "__a", "__b")
+    # the number is given, else few MB of blocks would be put into few tasks
+    met = met.repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), t, "__i", "__j")
+    pairs = met.select(t, F.explode("__a").alias("__p"), "__b").select(t, "__p", F.explode("__b").alias("__q"))
+    pairs = pairs.select(F.col(t), F.col(f"__p.{f}").alias(f), (F.col(f"__q.{f}") - F.col(f"__p.{f}")).alias("tau"), *[F.col(f"__p.{c}").alias(f"{c}1") for c in columns], *[F.col(f"__q.{c}").alias(f"{c}2") for c in columns])
+    return pairs if two_sided else pairs.where("tau >= 0")
+
+
+def msd(tracks: DataFrame, max_lag: int | None = None, start_step: int = 1, lags: list[int] | None = None) -> DataFrame:
     """(t, tau, msd): mean squared displacement of each track."""
     p = lag_pairs(tracks, ["x", "y"], max_lag, lags)
     if start_step > 1:
@@ -37,7 +56,7 @@ def msd(tracks: DataFrame, max_lag: int | None = MAX_LAG, start_step: int = 1, l
     return p.groupBy("t", "tau").agg(F.avg(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)).alias("msd"))
 
 
-def msd_body(tracks: DataFrame, max_lag: int | None = MAX_LAG) -> DataFrame:
+def msd_body(tracks: DataFrame, max_lag: int | None = None) -> DataFrame:
     """(t, tau, prog, div): squared displacement along and across the first orientation."""
     p = lag_pairs(tracks, ["x", "y", "o"], max_lag)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -45,7 +64,7 @@ def msd_body(tracks: DataFrame, max_lag: int | None = MAX_LAG) -> DataFrame:
     return p.groupBy("t", "tau").agg(F.avg(F.pow(dx * c + dy * s, 2)).alias("prog"), F.avg(F.pow(dy * c - dx * s, 2)).alias("div"))
 
 
-def msd_ensemble(tracks: DataFrame, least: int = 3, max_lag: int | None = MAX_LAG, flat: float | None = None, jump: float | None = None) -> DataFrame:
+def msd_ensemble(tracks: DataFrame, least: int = 3, max_lag: int | None = None, flat: float | None = None, jump: float | None = None) -> DataFrame:
     """(tau, mean, stderr, n) over tracks. flat, jump: tracks whose last 50, or first 2, values average below, above it are left out."""
     rows = msd(tracks, max_lag)
     if flat is not None or jump is not None:
@@ -57,12 +76,12 @@ def msd_ensemble(tracks: DataFrame, least: int = 3, max_lag: int | None = MAX_LA
     return uneven_mean(rows, "msd", "tau", least)
 
 
-def angular_msd(tracks: DataFrame, max_lag: int | None = MAX_LAG) -> DataFrame:
+def angular_msd(tracks: DataFrame, max_lag: int | None = None) -> DataFrame:
     """(t, tau, msd) of unwrapped orientations."""
     return lag_pairs(tracks, ["o"], max_lag).groupBy("t", "tau").agg(F.avg(F.pow(F.col("o2") - F.col("o1"), 2)).alias("msd"))
 
 
-def crosscorr(tracks: DataFrame, a: str, b: str, cumulant: str | None = None, two_sided: bool = True, norm: bool = False, max_lag: int | None = MAX_LAG) -> DataFrame:
+def crosscorr(tracks: DataFrame, a: str, b: str, cumulant: str | None = None, two_sided: bool = True, norm: bool = False, max_lag: int | None = None) -> DataFrame:
     """(t, tau, c): mean of a(f + tau) b(f) over the pairs of each lag.
 
     cumulant: 'mean' subtracts the product of both means over the same pairs, 'init' the mean of a(f) b(f) over them. norm divides by
@@ -82,18 +101,18 @@ def crosscorr(tracks: DataFrame, a: str, b: str, cumulant: str | None = None, tw
     return out
 
 
-def autocorr(tracks: DataFrame, c: str, max_lag: int | None = MAX_LAG, norm: bool = True) -> DataFrame:
+def autocorr(tracks: DataFrame, c: str, max_lag: int | None = None, norm: bool = True) -> DataFrame:
     """(t, tau, c): one-sided autocorrelation about the means, 1 at lag 0."""
     return crosscorr(tracks, c, c, "mean", False, norm, max_lag)
 
 
-def nn_corr(tracks: DataFrame, max_lag: int | None = MAX_LAG, least: int = 3) -> DataFrame:
+def nn_corr(tracks: DataFrame, max_lag: int | None = None, least: int = 3) -> DataFrame:
     """(tau, mean, stderr, n): orientation correlation cos(o2 - o1) over tracks."""
     p = lag_pairs(tracks, ["o"], max_lag)
     return uneven_mean(p.groupBy("t", "tau").agg(F.avg(F.cos(F.col("o2") - F.col("o1"))).alias("c")), "c", "tau", least)
 
 
-def rn_corr(tracks: DataFrame, side: float = 1.0, max_lag: int | None = MAX_LAG, least: int = 3) -> DataFrame:
+def rn_corr(tracks: DataFrame, side: float = 1.0, max_lag: int | None = None, least: int = 3) -> DataFrame:
     """(tau, mean, stderr, n): displacement along the first orientation, both signs of the lag."""
     p = lag_pairs(tracks, ["x", "y", "o"], max_lag, None, True)
     along = (F.col("x2") - F.col("x1")) * F.cos("o1") + (F.col("y2") - F.col("y1")) * F.sin("o1")

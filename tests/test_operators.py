@@ -47,6 +47,31 @@ def test_msd_is_brute_force(spark):
         assert x.prog + x["div"] == pytest.approx(got[x.tau])
 
 
+def test_all_lags_of_a_long_track(spark):
+    rng = np.random.default_rng(2)
+    n = 1_300
+    f = np.delete(np.arange(n), [3, 700])  # with gaps
+    r, o = rng.uniform(-0.5, 0.5, (n, 2)).cumsum(0), rng.uniform(-0.3, 0.3, n).cumsum()
+    d = spark.createDataFrame([(t, int(i), *map(float, r[i]), float(o[i])) for t in (0, 5) for i in f] + [(7, 2, 1.0, 2.0, 3.0)], "t int, f int, x double, y double, o double")
+    there = np.isin(np.arange(n), f)
+
+    def mean(tau, value):
+        i = np.arange(max(0, -tau), n - max(0, tau))
+        i = i[there[i] & there[i + tau]]
+        return value(i, i + tau).mean()
+
+    step = lambda i, j: ((r[j] - r[i]) ** 2).sum(1)
+    got = {x.tau: x.msd for x in lag.msd(d).where("t = 5").collect()}
+    assert set(got) == set(range(n)) and all(got[k] == pytest.approx(mean(k, step)) for k in range(n))
+    assert {x.tau: x.n for x in lag.msd_ensemble(d, 2).collect()} == {k: 2 + (k == 0) for k in range(n)}
+    got = {x.tau: x["mean"] for x in lag.nn_corr(d, least=1).where("tau > 0").collect()}
+    assert len(got) == n - 1 and all(got[k] == pytest.approx(mean(k, lambda i, j: np.cos(o[j] - o[i]))) for k in range(1, n))
+    got = {x.tau: x["mean"] for x in lag.rn_corr(d, least=2).where("tau <> 0").collect()}
+    along = lambda i, j: (r[j, 0] - r[i, 0]) * np.cos(o[i]) + (r[j, 1] - r[i, 1]) * np.sin(o[i])
+    assert len(got) == 2 * n - 2 and all(got[k] == pytest.approx(mean(k, along)) for k in got)
+    assert {x.tau for x in lag.angular_msd(d).where("t = 0").collect()} == {x.tau for x in lag.msd_body(d).where("t = 0").collect()} == set(range(n))
+
+
 def test_unwrap_then_wrap(spark):
     o = np.linspace(0, 20, 50)
     d = spark.createDataFrame([(0, i, float((x + math.pi) % (2 * math.pi) - math.pi) if i != 7 else None) for i, x in enumerate(o)], "t int, f int, o double")
