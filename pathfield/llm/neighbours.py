@@ -2,8 +2,9 @@
 
 Every vector, at unit length, is written as a sum of one full-dimensional entry from each of several codebooks, which
 are fitted to residuals on a bounded sample. Encoding is a beam search over the codebooks with the residual norms; the
-sum's squared norm is stored beside the codes. A query's table of products with all entries then scores a code
-by a few look-ups, and the best codes of every part of the table are ranked again by exact cosines on the original vectors.
+sum's squared norm and its distance from the vector are stored beside the codes. A query's table of products with all entries then scores
+a code by a few look-ups. The exact cosines of the best codes of every part of the table give a bound, and every candidate whose score
+plus its distance reaches that bound is ranked by exact cosines on the original vectors: no neighbour is lost to the codes.
 
 Queries come in blocks of bounded size, each met with all candidates where these lie; no pair is shuffled but the few
 nearest of each part. Defined results: vectors that are null, zero, hold null or non-finite components, or don't have the
@@ -30,8 +31,10 @@ BOOKS, ENTRIES, BEAM = 8, 64, 4
 FIT = 8_192
 #: Queries broadcast at once, at most.
 BLOCK = 4_096
-#: Of each query, candidates of a chunk ranked again exactly.
+#: Of each query, candidates of a chunk whose exact cosines give the bound for all others.
 AGAIN = 64
+#: More than the rounding errors of scores and cosines.
+SLACK = 1e-9
 #: Candidates of a chunk.
 CHUNK = 4_096
 
@@ -58,6 +61,13 @@ class Codebooks:
         codes, residual = codes[np.arange(n), best], residual[np.arange(n), best]
         return codes, ((x - residual) ** 2).sum(1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The sums of entries that codes stand for."""
+        out = np.zeros((len(codes), self.entries.shape[2]))
+        for book, code in zip(self.entries, codes.T, strict=True):
+            out += book[code]
+        return out
+
 
 def fit_codebooks(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 8, seed: int = 7) -> Codebooks:
     """Residual k-means, book by book, then two rounds of least-squares updates of all entries for the found codes."""
@@ -109,30 +119,34 @@ def _encode(model, dim: int, beam: int):
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                codes, norms = model.value.encode(_unit(_matrix(part.column("v"), dim)), beam)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))], ["vec_id", "v", "code", "norm"])
+                x = _unit(_matrix(part.column("v"), dim))
+                codes, norms = model.value.encode(x, beam)
+                off = np.sqrt(((x - model.value.decode(codes)) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64)), pa.array(off)], ["vec_id", "v", "code", "norm", "off"])
 
     return run
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, entries: np.ndarray, k: int, again: int) -> Iterator[tuple]:
-    """Look-up scores of every query and candidate, then the k nearest of the best by exact cosines."""
-    unit, lengths = _unit(q), np.sqrt((x * x).sum(1))
-    inverse = (1 / np.sqrt(np.maximum(norms, 1e-12))).astype(np.float32)
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, off: np.ndarray, entries: np.ndarray, k: int, again: int) -> Iterator[tuple]:
+    """Look-up scores of every query and candidate, then the k nearest by exact cosines of all that can be among them; ids ascend."""
+    unit, mine, lengths = _unit(q), _unit(x), np.sqrt((x * x).sum(1))
+    inverse = 1 / np.sqrt(np.maximum(norms, 1e-12))
+    again = min(max(again, k), len(x))
     for at in range(0, len(q), 64):
-        tables = np.einsum("qd,med->mqe", unit[at : at + 64].astype(np.float32), entries)
-        scores = np.zeros((tables.shape[1], len(x)), np.float32)
-        for m, table in enumerate(tables):
-            scores += table[:, codes[:, m]]
-        scores *= inverse
-        for row, (qid, qv) in zip(scores, zip(q_ids[at : at + 64], q[at : at + 64], strict=True), strict=True):
-            if len(row) > again:
-                least = np.partition(row, len(row) - again)[len(row) - again]
-                over, ties = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                near = np.concatenate([over, ties[: again - len(over) + 1]])  # ids ascend, so the smallest of equal ones stay
-            else:
-                near = np.arange(len(row))
-            near = near[ids[near] != qid]
+        u, own = unit[at : at + 64], ids == q_ids[at : at + 64, None]
+        scores = np.zeros((len(u), len(x)))
+        for book, code in zip(entries.astype(float), codes.T, strict=True):
+            scores += (u @ book.T)[:, code]
+        first = np.argpartition(np.where(own, -np.inf, scores * inverse), len(x) - again, 1)[:, len(x) - again :]
+        cosines = np.where(np.take_along_axis(own, first, 1), -np.inf, (mine[first] * u[:, None]).sum(2))
+        reach = np.partition(cosines, again - k, 1)[:, again - k] if again >= k else np.full(len(u), -np.inf)
+        can = (scores + off >= reach[:, None] - SLACK) & ~own
+        some = np.flatnonzero(can.any(0))
+        cosines = np.where(can[:, some], u @ mine[some].T, -np.inf)
+        if len(some) > k:
+            reach = np.maximum(reach, np.partition(cosines, len(some) - k, 1)[:, len(some) - k])
+        for row, least, qid, qv in zip(cosines, reach, q_ids[at : at + 64], q[at : at + 64], strict=True):
+            near = some[(row >= least - SLACK) & (row > -np.inf)]
             if len(near):
                 # each pair on its own, so that equal vectors get equal scores
                 exact = (x[near] * qv).sum(1) / (lengths[near] * np.sqrt((qv * qv).sum()))
@@ -149,8 +163,8 @@ def _search(model, block, dim: int, k: int, again: int):
                 ids, x = part.column("vec_id").to_numpy(zero_copy_only=False), _matrix(part.column("v"), dim)
                 order = np.argsort(ids, kind="stable")
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                norms = part.column("norm").to_numpy(zero_copy_only=False)
-                rows = list(_best(q_ids, q, ids[order], x[order], codes[order], norms[order], model.value.entries, k, again))
+                norms, off = (part.column(c).to_numpy(zero_copy_only=False) for c in ("norm", "off"))
+                rows = list(_best(q_ids, q, ids[order], x[order], codes[order], norms[order], off[order], model.value.entries, k, again))
                 found = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())
                 yield pa.RecordBatch.from_arrays([*found], ["query_id", "vec_id", "score"])
 
@@ -162,14 +176,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, again: int = AGAIN,
     spark = vectors.sparkSession
     sc = spark.sparkContext
     rows = usable(vectors)
-    sample = rows.select("v").orderBy(F.xxhash64("v")).limit(fit).toPandas()["v"]
+    sample = rows.select("v").distinct().orderBy(F.xxhash64("v")).limit(fit).toPandas()["v"]
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample):
         return none
     dim = len(sample.iloc[0])
     x = _unit(np.stack([np.asarray(v, float) for v in sample]))
     model = sc.broadcast(fit_codebooks(x))
-    index = staged(rows.repartition(partitions(spark)).mapInArrow(_encode(model, dim, BEAM), "vec_id long, v array<double>, code binary, norm double"), "index")
+    index = staged(rows.repartition(partitions(spark)).mapInArrow(_encode(model, dim, BEAM), "vec_id long, v array<double>, code binary, norm double, off double"), "index")
     queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
     blocks = max(1, -(-queries.count() * 5 // (4 * block)))
     found = None

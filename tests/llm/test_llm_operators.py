@@ -314,6 +314,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(d.limit(0)).count() == 0 and neighbours.nearest(d.where("vec_id = 50")).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    """A full chunk of 4,096 rows, a third of all rows being near copies of one vector."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4_500, 16))
+    x[::3] = x[0] + 1e-3 * rng.normal(size=(1_500, 16))
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {}
+        for r in neighbours.nearest(d).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    u = x / np.sqrt((x**2).sum(1, keepdims=True))
+    for q in range(0, 4_500, 50):
+        s = u @ u[q]
+        s[q] = -2
+        assert got[q] == np.argsort(-s)[:5].tolist()
+
+
 def test_pipeline(spark, odd, none):
     import corpus_pipeline
 
