@@ -59,8 +59,11 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(copyright|\(c\))([^a-z\n][^\n]*)?$"
+#: A line that only states a copyright: a sign, a year or a name follows the word. Sentences wrapped before the word go on otherwise.
+COPYRIGHT_LINE = (
+    r"(?md)^[^a-z0-9\n]*(\(c\)([^a-z\n][^\n]*)?"
+    r"|copyright(?=[^\n]*[^\x00-/:-@\[-`{-\x7f])[^a-z\n](?![^a-z0-9(\n]*(notices?|holders?|owners?|licen[sc]es?|licensors?|statements?|and|or)\b(?![ \t]*:))[^\n]*)$"
+)
 
 
 def canonical(text: Column) -> Column:

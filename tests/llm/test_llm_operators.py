@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -214,6 +215,15 @@ def test_licenses(spark, odd, none):
     assert ids(licenses.scan_licenses(odd)) == ALL and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Sentences wrapped before the word copyright keep it; lines that state a copyright go."""
+    wrapped = [(n, textwrap.fill(t, w, break_long_words=False, break_on_hyphens=False)) for n, t in licenses.KNOWN for w in range(8, 100, 3)]
+    wrapped += [("ISC", f"{line}\n\n" + licenses._ISC) for line in ("Copyright 2019 A. B.", "Copyright (c) 2001-2019, A", "copyright: Jane Doe", "Copyright Orion Labs", "# Copyright \xa9 2020", "Copyright2019 A", "Copyright holder: A. B.", "(c) 2019 A")]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wrapped)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(d).collect()}
+    assert [got[i] for i in range(len(wrapped))] == [n for n, _ in wrapped]
+
+
 def test_languages(odd, none, docs):
     found = languages.identify(docs)
     assert found.where("language = declared").count() >= 0.97 * docs.count()
