@@ -5,7 +5,7 @@ the record or its markup declares, the suffix of its address, and a prior of its
 hierarchically, host towards suffix towards all, from counts that one grouped aggregation of a first, text-and-declaration-only
 decision gives; hot hosts collapse in partial aggregation.
 
-The trigram models are fitted on a bounded sample of records with a declared language (PER_LANGUAGE of each); every row is counted
+Every declared language has a trigram model, fitted on a bounded sample of its distinct texts (about PER_LANGUAGE of each); every row is counted
 and judged, over its whole text. Defined results: missing evidence multiplies by one, so an empty text without declaration gets its host's
 prior; hosts and declarations may be null; equal posteriors go to the language first in the alphabet; without any declared
 language the result is null with posterior 0, and not accepted; rows that repeat count each.
@@ -18,13 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfield.llm.common import read, sized, staged
 
-#: Records of each declared language that its model is fitted on (expected number), longest of them in characters, most languages.
-PER_LANGUAGE, LONGEST, LANGUAGES = 200, 20_000, 32
+#: Distinct texts of each declared language that its model is fitted on (expected number; twice that at most), longest of them in characters.
+PER_LANGUAGE, LONGEST = 200, 20_000
 #: Trigram buckets.
 BUCKETS = 1 << 15
 #: Trigrams that count as independent, at most.
@@ -72,16 +72,21 @@ class TextModel:
 
 
 def fit_text_model(rows: DataFrame) -> TextModel:
-    """rows: (text, declared). A hashed share of the rows is fitted, about PER_LANGUAGE of each language."""
+    """rows: (text, declared). A hashed share of each language's distinct texts is fitted, about PER_LANGUAGE of them."""
     rows = rows.where("declared is not null")
-    sizes = rows.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
+    fits = F.length("text") <= LONGEST
+    sizes = rows.groupBy("declared").agg(F.approx_count_distinct(F.when(fits, F.xxhash64("text"))).alias("n")).collect()
     if not sizes:
         return TextModel([], np.zeros((BUCKETS, 0)))
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r.declared, min(1.0, PER_LANGUAGE / r["count"]))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where((chance < rates[F.col("declared")]) & (F.length("text") <= LONGEST)).limit(4 * PER_LANGUAGE * len(sizes)).toPandas()
+    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r.declared, min(1.0, PER_LANGUAGE / max(1, r.n)))])
+    h = F.xxhash64("text")
+    sample = rows.where(fits & (F.pmod(h, F.lit(1 << 20)) / float(1 << 20) < rates[F.col("declared")])).distinct()
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64(h), "text"))
+    sample = sample.withColumn("rank", rank).where(F.col("rank") <= 2 * PER_LANGUAGE).select("declared", "text")
     languages = sorted(r.declared for r in sizes)
-    counts = np.stack([sum((trigram_counts(t) for t in sample.loc[sample["declared"] == x, "text"]), np.zeros(BUCKETS)) for x in languages], 1)
+    index, counts = {x: i for i, x in enumerate(languages)}, np.zeros((BUCKETS, len(languages)))
+    for r in sample.toLocalIterator():
+        counts[:, index[r.declared]] += trigram_counts(r.text)
     return TextModel(languages, np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * BUCKETS))
 
 

@@ -233,6 +233,22 @@ def test_languages(odd, none, docs):
     assert hidden.where("doc_id % 3 = 0 and language = lang").count() >= 0.95 * hidden.where("doc_id % 3 = 0").count()
 
 
+def test_languages_are_not_capped(spark):
+    """Forty declared languages, one of them nearly all copies of one text: each is found where it isn't declared."""
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choice(list(letters), 6)) for _ in range(40)] for _ in range(40)]
+    text = lambda k: " ".join(rng.choice(words[k], 30))
+    rows = [(k, text(k), f"l{k:02d}" if i < 10 else None, None) for k in range(40) for i in range(12)] + [(0, "copied text of the first", "l00", None)] * 3_000
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = languages.fit_text_model(d.select("text", F.col("lang").alias("declared")))
+    assert model.languages == [f"l{k:02d}" for k in range(40)]
+    for k in range(40):
+        assert model.evidence(text(k)).argmax() == k
+    found = languages.identify(d).where("declared is null").collect()
+    assert len(found) == 80 and all(r.language == f"l{r.doc_id:02d}" for r in found)
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
