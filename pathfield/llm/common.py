@@ -46,12 +46,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
     """As staged, in buckets of a column: joins on it read the table as it lies, without a shuffle.
 
-    df should come partitioned by the column, else every task writes a file for every bucket.
+    df should come partitioned by the column, else every task writes a file for every bucket. The session's catalog
+    knows the table only until it is resolved here; its files stay in the shared folder.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     df.write.bucketBy(partitions(spark), column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def ascii_lower(c: Column) -> Column:
