@@ -15,7 +15,9 @@ long texts are cut like all others; memory follows one text and the open bins (a
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +31,8 @@ CAPACITY = 2048
 #: Remnants are shorter than this, so a full bin of them wastes less than SMALLEST ids.
 SMALLEST = 64
 END = 1
-#: Words kept with their ids by a worker before it starts anew.
-KNOWN_WORDS = 400_000
+#: Characters of words kept with their ids by a worker before it starts anew.
+KNOWN_CHARS = 2_000_000
 
 _PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, bin long, slot long"
 _PIECE = pa.schema([(x.split()[0], pa.int64()) for x in _PIECE_DDL.split(", ")])
@@ -56,26 +58,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words that are new, in one call."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        new: set[str] = set()
-        for text in texts:
-            new.update(self.split(text))
-        new -= self.known.keys()
-        words = list(new)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        self.chars = 0
 
     @staticmethod
     def split(text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
-    def encode(self, text: str) -> bytes:
-        """The ids, four little-endian bytes each."""
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four little-endian bytes each. The words that are new are encoded in one call."""
+        if self.chars > KNOWN_CHARS:
+            self.known, self.chars = {"": b""}, 0
+        split = [self.split(t) for t in texts]
+        known = self.known
+        words = list(set().union(*split) - known.keys())
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            known[w] = _bytes(e.ids)
+        self.chars += sum(map(len, words))
+        return [b"".join(map(known.__getitem__, x)) for x in split]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """Unsigned, little-endian, four bytes each."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tuple[int, int]]:
@@ -104,9 +111,8 @@ def _pieces(path: str, capacity: int, smallest: int):
             nonlocal bins
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for at in range(0, len(texts), 200):
-                encoder.learn(texts[at : at + 200])
-                for doc_id, text in zip(ids[at : at + 200], texts[at : at + 200], strict=True):
-                    data = encoder.encode(text) + end
+                for doc_id, data in zip(ids[at : at + 200], encoder.encode(texts[at : at + 200]), strict=True):
+                    data += end
                     n = len(data) // 4
                     for start, length in cuts(n, capacity, smallest):
                         piece = (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n)
@@ -130,18 +136,21 @@ def _pieces(path: str, capacity: int, smallest: int):
 def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, smallest: int = SMALLEST) -> DataFrame:
     """Pieces of all documents with the sequence and offset they get.
 
-    The windows below see only what the workers' open bins hold: fewer than capacity ids for each of at most
-    smallest + log2(capacity / smallest) lengths and worker.
+    Leftovers are ranked by the workers' counts: only the table of counts, a row for a length and worker, is summed up along the
+    workers. What is left of the last bins is fewer than capacity / length pieces of a length, whatever the number of workers.
     """
     if capacity & capacity - 1 or smallest & smallest - 1:
         raise ValueError("capacity and smallest are powers of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = staged(rows.mapInArrow(_pieces(path, capacity, smallest), _PIECE_DDL), "pieces")
     full = pieces.where("bin is not null").select(*pieces.columns[:5], F.expr("shiftleft(worker, 34) + bin").alias("sequence_id"), (F.col("slot") * F.col("length")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("length").orderBy("worker", "slot")) - 1
+    left = pieces.where("bin is null")
+    along, whole_length = Window.partitionBy("length").orderBy("worker"), Window.partitionBy("length")
+    counts = left.groupBy("length", "worker").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("length", "worker", before.alias("before"), F.sum("n").over(whole_length).alias("count"))
     k = F.expr(f"cast({capacity} div length as long)")
-    count = F.count(F.lit(1)).over(Window.partitionBy("length"))
-    left = pieces.where("bin is null").withColumns({"rank": rank.cast("long"), "k": k, "count": count})
+    left = left.join(places, ["length", "worker"]).withColumns({"rank": F.col("before") + F.col("slot"), "k": k})
     whole = F.col("rank") < F.expr("count div k * k")
     # sequence ids from 2^60 on; the length marks the class
     base = F.expr(f"{1 << 60} + shiftleft(length, 40)")
@@ -161,7 +170,7 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, smallest
     halved = halved.select(*pieces.columns[:5], (base + F.expr(f"{1 << 39} + p")).alias("sequence_id"), ((F.col("r") - F.col("first")) * F.col("length")).alias("offset"))
     # remnants of the last bins: at most capacity ids for each of fewer than smallest lengths
     order = Window.orderBy(F.desc("length"), "rank")
-    last = left.where(~whole & (F.col("length") < smallest)).withColumn("before", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    last = left.where(~whole & (F.col("length") < smallest)).drop("before").withColumn("before", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     last = last.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("bin", F.expr(f"before div {capacity - smallest + 1}"))
     start = F.min("before").over(Window.partitionBy("bin"))
     last = last.select(*pieces.columns[:5], (F.lit(1 << 61) + F.col("bin")).alias("sequence_id"), (F.col("before") - start).alias("offset"))
