@@ -6,7 +6,8 @@ of the quartiles. Two digests are compared by a difference that grows with every
 turned into a likeness from 0 to 1.
 
 Defined results: a null text counts as empty; texts under three bytes have an all-zero body; equal texts have equal
-fingerprints; very long texts are counted in slices, so memory follows the batch and not the text's windows.
+fingerprints; very long texts are counted in slices, so memory follows the batch and not the text's windows; an empty table has an empty
+result; of the table's columns only doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfield.llm.common import partitions, read
@@ -28,6 +30,9 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: A difference of this size or more means no likeness.
 MOST = 300
 SLICE = 1 << 18
+#: Sampled rows for each range, order of the rows.
+SAMPLE = 20
+_ORDER = [("key", np.int64), ("tie", np.int64)]
 _LOG = math.log(1.15)
 
 
@@ -115,32 +120,48 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT) if out else pa.RecordBatch.from_pylist([], _RESULT)
 
 
+def _borders(rows: DataFrame, n: int) -> np.ndarray:
+    """At most n - 1 borders (key, tie) of ranges of rows, from a hashed sample of about SAMPLE rows a range."""
+    whole = rows.count()
+    every = max(1, whole // (SAMPLE * n))
+    sample = rows.select("key", "tie").where(F.pmod(F.xxhash64("tie", "key"), F.lit(every)) == 0).toPandas()
+    found = np.unique(np.rec.fromarrays([sample["key"].to_numpy(np.int64), sample["tie"].to_numpy(np.int64)], dtype=_ORDER))
+    return found[np.unique(np.arange(1, n) * len(found) // n)] if len(found) else found
+
+
+def _placed(held):
+    """UDF of (key, tie) to the number of its range, by binary search in the borders."""
+
+    def run(key: pd.Series, tie: pd.Series) -> pd.Series:
+        rows = np.rec.fromarrays([key.to_numpy(np.int64), tie.to_numpy(np.int64)], dtype=_ORDER)
+        return pd.Series(np.searchsorted(held.value, rows, "right"))
+
+    return F.pandas_udf(run, "int")
+
+
 def fingerprint_chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprint of every document and of its text edited with the next document's.
 
-    Documents are dealt into ranges of doc_id whose borders are approximate quantiles; the first document of every
+    Documents are dealt into ranges of doc_id whose borders come from a bounded sample; the first document of every
     range is also sent to the range before it, so no task needs more than its range and the text moves once. A null
-    doc_id comes before all others; rows that share a doc_id follow each other in the order of their texts.
+    doc_id comes before all others; rows that share a doc_id follow each other in the order of a hash of their texts, and a range may end
+    between them.
     """
     spark = docs.sparkSession
     n = buckets or 4 * partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    (cuts,) = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col("key")))
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted((r.bucket, r.first) for r in rows.groupBy("bucket").agg(F.min("key").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    if before:
-        ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("key")]
-    else:
-        ahead = F.lit(None).cast("int")
-    here = F.struct(F.col("bucket"), F.lit(0).alias("ahead"))
-    there = F.struct(ahead.alias("bucket"), F.lit(1).alias("ahead"))
-    dealt = rows.select("doc_id", "text", "key", F.explode(F.when(ahead.isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to"))
-    dealt = dealt.select("to.bucket", "to.ahead", "doc_id", "key", "text").repartition("bucket")
-    dealt = dealt.sortWithinPartitions("bucket", "ahead", "key", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    borders = spark.sparkContext.broadcast(_borders(rows, n))
+    rows = rows.withColumn("bucket", _placed(borders)("key", "tie"))
+    # the first document of each range goes to the range before, that of the first to the last; of equal ones any, as its text is the same
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("first")).select("bucket", "first.*")
+    to = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
+    before = firsts.select(to.alias("to"), "key", "tie")
+    ends = rows.join(F.broadcast(before), ["key", "tie"]).groupBy("to", "key", "tie").agg(F.first("text").alias("text"))
+    ends = ends.select(F.col("to").alias("bucket"), F.lit(1).alias("ahead"), F.lit(None).cast("long").alias("doc_id"), "key", "tie", "text")
+    dealt = rows.select("bucket", F.lit(0).alias("ahead"), "doc_id", "key", "tie", "text").unionByName(ends).repartition("bucket")
+    dealt = dealt.sortWithinPartitions("bucket", "ahead", "key", "tie", "text")
     return dealt.select("bucket", "ahead", "doc_id", "text").mapInArrow(_walk, _RESULT_DDL)
 
 
