@@ -9,7 +9,8 @@ The models see a url's form: lower-case host and path, runs of digits as one 0,
 one sign. Forms are counted before anything is scored, so copies and hot hosts collapse in partial aggregation.
 
 Defined results: a null url, or one without ://, has an empty host and path and the verdict the models give the
-empty form; if either class has no url, every url without a rule is allowed. Rows that repeat get the same verdict each.
+empty form; if either class has no url, every url without a rule is allowed. Rows that repeat get the same verdict each; an empty table has
+an empty result; a very long url is judged over all its signs; of the table's columns only page_id and url are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ ORDER, PULL = 3, 4.0
 SIGNS = 33
 #: Bins a unit of the mean log ratio, for the calibration.
 BINS = 50
+#: Forms whose scores are broadcast: all of them, or the most frequent ones.
+FORMS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -59,7 +62,7 @@ def form_of(host: Column, path: Column) -> Column:
 def _ratios(forms: DataFrame) -> DataFrame:
     """forms (form, allowed, blocked) to (gram, ratio): log ratio of a sign after ORDER signs.
 
-    At most SIGNS ** (ORDER + 1) grams exist, however many urls there are.
+    At most SIGNS ** (ORDER + 1) grams exist, however many urls there are; the window of order 0, one task, sees no more.
     """
     padded = F.concat(F.lit("^" * ORDER), F.col("form"), F.lit("$"))
     grams = forms.select("allowed", "blocked", F.explode(F.transform(F.sequence(F.lit(1), F.length("form") + 1), lambda i: F.substring(padded, i, ORDER + 1))).alias("gram"))
@@ -98,16 +101,29 @@ def calibrate(scored: DataFrame, bins: int = BINS) -> float | None:
     return None if best is None else best.bin / bins
 
 
+def _with_scores(rows: DataFrame, scored: DataFrame, forms: DataFrame) -> DataFrame:
+    """rows with their forms' scores. The most frequent forms are broadcast by their digests, so no form's rows meet in one task."""
+    found = scored.select(F.md5("form").alias("digest"), "score")
+    rows = rows.withColumn("digest", F.md5("form")).drop("form")
+    if scored.count() <= FORMS:
+        return rows.join(F.broadcast(found), "digest")
+    often = forms.orderBy(F.desc("n"), "form").limit(FORMS).select(F.md5("form").alias("digest"))
+    often = staged(found.join(often, "digest", "left_semi"), "often")
+    first = rows.join(F.broadcast(often), "digest", "left")
+    return first.where("score is not null").unionByName(first.where("score is null").drop("score").join(found, "digest"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Verdict for every row: page_id, host, path, rule, verdict, score (null where a class has no url)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": text, "by_rule": verdict, "form": form_of(F.col("host"), F.col("path"))})
-    forms = rows.groupBy("form").agg(F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
-    scored = staged(markov_scores(staged(forms, "forms")), "scored")
+    counts = F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"), F.count(F.lit(1)).alias("n")
+    forms = staged(rows.groupBy("form").agg(*counts), "forms")
+    scored = staged(markov_scores(forms), "scored")
     cut = calibrate(scored)
-    judged = rows.join(scored.select("form", "score"), "form")
+    judged = _with_scores(rows, scored, forms)
     by_model = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
     score = F.lit(None).cast("double") if cut is None else F.col("score")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), score.alias("score"))
