@@ -6,14 +6,16 @@ hierarchically, host towards suffix towards all, from counts that one grouped ag
 decision gives; hot hosts collapse in partial aggregation.
 
 Every declared language has a trigram model, fitted on a bounded sample of its distinct texts (about PER_LANGUAGE of each); every row is counted
-and judged, over its whole text. Defined results: missing evidence multiplies by one, so an empty text without declaration gets its host's
+and judged, over its whole text; of a long text no more than EVIDENCE trigrams count as independent, so no text outweighs all else by its
+length. Defined results: missing evidence multiplies by one, so an empty text without declaration gets its host's
 prior; hosts and declarations may be null; equal posteriors go to the language first in the alphabet; without any declared
-language the result is null with posterior 0, and not accepted; rows that repeat count each.
+language the result is null with posterior 0, and not accepted; rows that repeat count each; an empty table has an empty result; other
+columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfield.llm.common import read, sized, staged
+from pathfield.llm.urls import host_of
 
 #: Distinct texts of each declared language that its model is fitted on (expected number; twice that at most), longest of them in characters.
 PER_LANGUAGE, LONGEST = 200, 20_000
@@ -146,38 +149,59 @@ def fuse(model: TextModel, suffixes: Mapping[str, str] = SUFFIX_LANGUAGES):
 
 
 def judged(rows: DataFrame, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    """rows with __found: struct(language, posterior).
+    """(row, found): each row as a struct, and struct(language, posterior).
 
     Host priors are joined by broadcast up to a counted size; a larger table is joined by host, where Spark splits skewed
     partitions.
     """
-    names = rows.columns
-    source = rows.select(F.col(text).cast("string").alias("text"), F.col(declared).cast("string").alias("declared"), F.col(host).cast("string").alias("host")).withColumn("suffix", suffix_of(F.col("host")))
+    of = lambda name: F.col("row").getField(name).cast("string")
+    packed = rows.select(F.struct("*").alias("row"))
+    source = packed.select(of(text).alias("text"), of(declared).alias("declared"), of(host).alias("host")).withColumn("suffix", suffix_of(F.col("host")))
     model = fit_text_model(source.select("text", "declared"))
     udf = fuse(model)
     nothing = F.lit(None).cast("array<double>")
+    if not model.languages:
+        return packed.withColumn("found", udf(of(text), of(declared), F.lit(None).cast("string"), nothing))
     firsts = source.select("host", "suffix", udf("text", "declared", "suffix", nothing)["language"].alias("first"))
-    priors = host_priors(firsts, model.languages).select(F.col("host").alias("__host"), F.col("prior").alias("__prior")) if model.languages else None
-    if priors is None:
-        return rows.withColumn("__found", udf(F.col(text), F.col(declared).cast("string"), F.lit(None).cast("string"), nothing))
-    priors = staged(priors, "priors")
-    joined = rows.join(sized(priors, priors.count(), 50_000), F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
-    found = udf(F.col(text).cast("string"), F.col(declared).cast("string"), suffix_of(F.col(host).cast("string")), F.col("__prior"))
-    return joined.withColumn("__found", found).select(*names, "__found")
-
-
-def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """key, declared, language, posterior, accepted (a posterior of at least `least`)."""
-    found = judged(rows.select(*dict.fromkeys([key, text, declared, host])), text, declared, host)
-    found = found.select(F.col(key), F.col(declared).alias("declared"), F.col("__found.language").alias("language"), F.col("__found.posterior").alias("posterior"))
+    priors = staged(host_priors(firsts, model.languages), "priors")
+    joined = packed.join(sized(priors, priors.count(), 50_000), of(host).eqNullSafe(F.col("host")), "left")
+    return joined.withColumn("found", udf(of(text), of(declared), suffix_of(of(host)), F.col("prior"))).select("row", "found")
+
+
+def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", keys: Sequence[str] = ("doc_id",), least: float = LEAST) -> DataFrame:
+    """keys, declared, language, posterior, accepted (a posterior of at least `least`)."""
+    found = judged(rows.select(*dict.fromkeys([*keys, text, declared, host])), text, declared, host)
+    own = [F.col("row").getField(k).alias(k) for k in keys]
+    found = found.select(*own, F.col("row").getField(declared).alias("declared"), F.col("found.language").alias("language"), F.col("found.posterior").alias("posterior"))
     return found.withColumn("accepted", F.col("posterior") >= least)
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs, all columns, whose language has a posterior of at least `least`."""
-    return judged(docs).where(F.col("__found.posterior") >= least).select(*docs.columns)
+    return judged(docs).where(F.col("found.posterior") >= least).select(*[F.col("row").getField(n).alias(n) for n in docs.columns])
+
+
+def markup_language(html: Column) -> Column:
+    """The language, without region, that a page's html element declares; null if none."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2,3})\b""", 1)), F.lit(""))
+
+
+def markup_text(html: Column) -> Column:
+    """A page without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(page_id, text, lang, source): a page's text, the language its markup declares, the host of its address; null where there is none."""
+    return pages.select("page_id", markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("lang"), F.nullif(host_of(F.col("url")), F.lit("")).alias("source"))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    """Query: language of every document, its record's language and source being the declared language and host."""
-    return identify(read(spark, sf_dir, "documents"))
+    """Query: language of every document and every page. doc_id, page_id (one of them null), declared, language, posterior, accepted.
+
+    A document's record gives its declared language and its source as host; a page's markup declares its language, its address has the
+    host and the suffix.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source")
+    pages = page_evidence(read(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "lang", "source")
+    return identify(docs.unionByName(pages), keys=("doc_id", "page_id"))
