@@ -4,8 +4,11 @@ A text is brought to a canonical form (A-Z lower-cased, copyright lines dropped,
 reduced to single spaces, equivalent spellings made equal) and its digest is hash-joined to the digests of known license
 texts, brought to the same form by the same expression.
 
-Defined results: a null text counts as empty; a text with an empty canonical form matches nothing; rows that repeat get the same
-result each; the whole of every text is digested, whatever its length.
+The closing line of a text, where declarations stand, is looked up in the same way.
+
+Defined results: a null text counts as empty; a text or line with an empty canonical form matches nothing; rows that repeat get the same
+result each; the whole of every text is digested, whatever its length; an empty table has an empty result; of the table's columns only
+doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pathfield.llm.common import ascii_lower, read
 # Spellings that license comparison treats as the same word.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("authorised", "authorized"),
-    ("catalogue", "catalog"), ("centre", "center"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("fulfil ", "fulfill "),
+    ("catalogue", "catalog"), ("centre", "center"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("fulfil", "fulfill"),
     ("initialise", "initialize"), ("licence", "license"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"),
     ("organisation", "organization"), ("per cent", "percent"), ("recognise", "recognize"), ("sub license", "sublicense"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
@@ -40,6 +43,35 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = _BSD.replace("\n\nTHIS SOFTWARE", """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE""")
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -53,16 +85,27 @@ KNOWN = (
     ("ISC", "ISC License\n\n" + _ISC),
     ("BSD-2-Clause", _BSD),
     ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_3),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("GPL-2.0-or-later", _GPL.format(n=2)),
+    ("GPL-3.0-or-later", _GPL.format(n=3)),
+    ("LGPL-2.1-or-later", _GPL.format(n=2.1).replace("GNU General", "GNU Lesser General")),
+    ("LGPL-3.0-or-later", _GPL.format(n=3).replace("GNU General", "GNU Lesser General")),
+    ("MPL-2.0", _MPL),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+# Words after "copyright" with which a sentence goes on.
+SENTENCE = "(notices?|holders?|owners?|licen[sc]es?|licensors?|statements?|interests?|laws?|and|or)"
 #: A line that only states a copyright: a sign, a year or a name follows the word. Sentences wrapped before the word go on otherwise.
 COPYRIGHT_LINE = (
     r"(?md)^[^a-z0-9\n]*(\(c\)([^a-z\n][^\n]*)?"
-    r"|copyright(?=[^\n]*[^\x00-/:-@\[-`{-\x7f])[^a-z\n](?![^a-z0-9(\n]*(notices?|holders?|owners?|licen[sc]es?|licensors?|statements?|and|or)\b(?![ \t]*:))[^\n]*)$"
+    rf"|copyright(?=[^\n]*[^\x00-/:-@\[-`{{-\x7f])[^a-z\n](?![^a-z0-9(\n]*{SENTENCE}\b(?![ \t]*:))[^\n]*)$"
 )
 
 
@@ -70,9 +113,17 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     c = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
     c = F.regexp_replace(F.regexp_replace(c, "https", "http"), r"[\x00-/:-@\[-`{-\x7f]+", " ")
-    for a, b in SPELLINGS:
+    # spellings are whole words: each word is set between spaces of its own
+    c = F.concat(F.lit(" "), F.replace(F.trim(c), F.lit(" "), F.lit("  ")), F.lit(" "))
+    for a, b in spellings():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(c)
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
+
+
+def spellings() -> list[tuple[str, str]]:
+    """The equivalent spellings and their forms with an s, each word between two spaces."""
+    both = [(a + end, b + end) for a, b in SPELLINGS for end in ("", "s")]
+    return [tuple(f" {x.replace(' ', '  ')} " for x in pair) for pair in both]
 
 
 def digest(text: Column) -> Column:
@@ -86,16 +137,33 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def known_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, license) of a folder of whole license texts, each a UTF-8 file named after its license, with or without .txt.
+
+    A path or pattern that Spark's readers open; texts stay on the executors.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"))
+    name = F.regexp_replace(F.url_decode("name"), r"\.txt$", "")
+    return files.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min(name).alias("license"))
+
+
+def closing_line(text: Column) -> Column:
+    """The last line of a text that holds more than spaces, tabs and line ends."""
+    return F.substring_index(F.substring_index(F.rtrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n")), "\n", -1), "\r", -1)
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, digest, license (null where the text as a whole is no known one).
+    """doc_id, digest, license (null where the text as a whole is no known one), notice (the license that the closing line alone declares).
 
     known: (digest, license) with one row a digest. A table of any size works: Spark broadcasts it only below its threshold.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("form"))
-    rows = rows.select("doc_id", F.sha2("form", 256).alias("digest"), F.when(F.col("form") != "", F.sha2("form", 256)).alias("found"))
-    known = known.select(F.col("digest").alias("found"), "license")
-    return rows.join(known, "found", "left").select("doc_id", "digest", "license")
+    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known
+    rows = docs.select("doc_id", canonical(F.col("text")).alias("form"), canonical(closing_line(F.col("text"))).alias("line"))
+    found = lambda c: F.when(F.col(c) != "", F.sha2(c, 256))
+    rows = rows.select("doc_id", F.sha2("form", 256).alias("digest"), found("form").alias("whole"), found("line").alias("end"))
+    rows = rows.join(known.select(F.col("digest").alias("whole"), "license"), "whole", "left")
+    rows = rows.join(known.select(F.col("digest").alias("end"), F.col("license").alias("notice")), "end", "left")
+    return rows.select("doc_id", "digest", "license", "notice")
 
 
 def op5_license_scans(spark, sf_dir: str) -> DataFrame:

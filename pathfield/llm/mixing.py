@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame operations alone.
 
 Each source gets a target share of the output. A document of source s is repeated Poisson(rate) times, with
-rate = share * rows wanted / documents of s: a uniform number hashed from (doc_id, text digest, seed) is put through the inverse
-of the distribution's cumulative sums, which are made once a source. The copies are exploded and shuffled globally by another hash.
+rate = share * rows wanted / documents of s. The rate is cut into equal parts of at most PART, whose draws add up: for each part a
+uniform number hashed from (doc_id, text digest, seed, part) is put through the inverse of the distribution's cumulative sums,
+which are made once a source and stay short whatever the rate. The copies are exploded and shuffled globally by another hash.
 
 Defined results: documents without a source form a source of their own; without given shares every source weighs
-the same; rows that repeat in every hashed column draw the same count; a null doc_id or text hashes as an empty string; an empty table stays empty.
+the same; rows that repeat in every hashed column draw the same count; a null doc_id or text hashes as an empty string; an empty table
+stays empty; a text's length doesn't matter. All columns of the caller are kept, whatever their names: where one is called copy or
+shuffle_key, the added column's name gets underscores.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 from pathfield.llm.common import read, sized
 
 SEED = "mix-1"
+#: Largest mean of one draw, copies exploded at once.
+PART, BLOCK = 16, 4_096
+#: Sources whose sums, at most about 100 numbers each, are broadcast.
+SOURCES = 20_000
 
 
 def uniform(key: Column) -> Column:
@@ -24,7 +31,7 @@ def uniform(key: Column) -> Column:
 
 
 def cumulative(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to where the rest is below double precision; logarithms, so no rate underflows."""
+    """P(X <= k) for k = 0, 1, ... up to where the rest is below double precision, for rates up to PART."""
     top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
 
@@ -36,6 +43,16 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), zero, step)["all"]).otherwise(F.array(F.lit(1.0)))
 
 
+def drawn(key: Column, parts: Column, sums: Column) -> Column:
+    """Sum of the parts' draws: of each part, how many of the cumulative sums its uniform number reaches."""
+
+    def draw(part: Column) -> Column:
+        u = uniform(F.when(part == 0, key).otherwise(F.concat_ws("|", key, part.cast("string"))))
+        return F.size(F.filter(sums, lambda c: c <= u)).cast("long")
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), F.lit(0).cast("long"), lambda acc, part: acc + draw(part))
+
+
 def source_rates(docs: DataFrame, shares: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """(source, rate): mean repetitions of a document of each source.
 
@@ -57,16 +74,29 @@ def source_rates(docs: DataFrame, shares: DataFrame | None = None, rows: int | N
 def poisson_mix(docs: DataFrame, shares: DataFrame | None = None, rows: int | None = None, seed: str = SEED) -> DataFrame:
     """The columns of docs and copy (from 1), shuffle_key: each document once for every copy, in an order dealt by shuffle_key."""
     names = docs.columns
+    copy, order = added(names, "copy"), added(names, "shuffle_key")
     rates = source_rates(docs, shares, rows)
-    cdf = rates.select(F.col("source").alias("__source"), cumulative(F.col("rate")).alias("__cdf"))
-    cdf = sized(cdf, rates.count(), 50_000)
+    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("long")
+    table = rates.select("source", parts.alias("parts"), F.col("rate")).select("source", "parts", cumulative(F.col("rate") / F.col("parts")).alias("sums"))
+    table = sized(table, rates.count(), SOURCES)
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit(seed))
-    drawn = docs.withColumn("__key", key).join(cdf, F.col("source").eqNullSafe(F.col("__source")), "left")
-    count = F.size(F.filter("__cdf", lambda c: c <= uniform(F.col("__key"))))
-    copies = drawn.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    mixed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", "__key", F.col("copy").cast("string"), F.lit("order"))))
-    mixed = mixed.select(*[n for n in names if n not in ("copy", "shuffle_key")], "copy", "shuffle_key")
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    packed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    counted = packed.join(table, F.col("row.source").eqNullSafe(F.col("source")), "left").withColumn("n", drawn(F.col("key"), F.col("parts"), F.col("sums"))).where("n > 0")
+    # a document's copies are exploded in blocks, so that no array grows with the rate
+    blocks = counted.select("row", "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))).alias("block"))
+    last = F.least(F.col("n"), (F.col("block") + 1) * BLOCK)
+    copies = blocks.select("row", "key", F.explode(F.sequence(F.col("block") * BLOCK + 1, last)).alias("copy")).withColumn("copy", F.col("copy").cast("int"))
+    deal = F.md5(F.concat_ws("|", "key", F.col("copy").cast("string"), F.lit("order")))
+    mixed = copies.select(*[F.col("row").getField(n).alias(n) for n in names], F.col("copy").alias(copy), deal.alias(order))
+    return mixed.repartition(F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
+
+
+def added(names: list[str], name: str) -> str:
+    """A name for a new column: the given one, with underscores if the caller has it."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

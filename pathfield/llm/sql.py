@@ -12,7 +12,7 @@ _LOWER = f"'{ascii_uppercase}', '{ascii_lowercase}'"
 def _jaccard() -> str:
     words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""
-WITH RECURSIVE words AS (SELECT doc_id, {words} AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, {licenses.SENTENCE} AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE
     WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -30,19 +30,28 @@ FROM documents d JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) O
 
 def _form(text: str) -> str:
     """SQL of licenses.canonical."""
-    c = f"regexp_replace(translate(coalesce({text}, ''), {_LOWER}), '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\))([^a-z\\n][^\\n]*)?$', '', 'g')"
-    c = f"regexp_replace(replace({c}, 'https', 'http'), '[\\x00-/:-@\\[-`{{-\\x7f]+', ' ', 'g')"
-    for a, b in licenses.SPELLINGS:
+    # RE2 has no look-ahead, so what licenses.COPYRIGHT_LINE tells at once takes several patterns
+    begin = "^[^a-z0-9]*copyright"
+    goes_on = rf"regexp_matches(l, '{begin}[^a-z][^a-z0-9(]*{licenses.SENTENCE}\b') AND NOT regexp_matches(l, '{begin}[^a-z][^a-z0-9(]*{licenses.SENTENCE}[ \t]*:')"
+    states = rf"regexp_matches(l, '{begin}[^a-z]') AND regexp_matches(l, '{begin}.*[^\x00-/:-@\[-`{{-\x7f]') AND NOT ({goes_on})"
+    line = rf"(regexp_matches(l, '^[^a-z0-9]*\(c\)([^a-z].*)?$') OR {states})"
+    c = f"translate(coalesce({text}, ''), {_LOWER})"
+    c = f"array_to_string(list_filter(string_split({c}, chr(10)), lambda l: NOT {line}), chr(10))"
+    c = rf"regexp_replace(replace({c}, 'https', 'http'), '[\x00-/:-@\[-`{{-\x7f]+', ' ', 'g')"
+    c = f"' ' || replace(trim({c}, ' '), ' ', '  ') || ' '"
+    for a, b in licenses.spellings():
         c = f"replace({c}, '{a}', '{b}')"
-    return f"trim({c}, ' ')"
+    return f"trim(replace({c}, '  ', ' '), ' ')"
 
 
 def _licenses() -> str:
     known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+    line = "split_part(split_part(rtrim(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10)), chr(10), -1), chr(13), -1)"
     return f"""
 WITH known AS (SELECT sha256({_form("t")}) AS digest, min(license) AS license FROM (VALUES {known}) AS k(license, t) GROUP BY 1),
-forms AS (SELECT doc_id, {_form("text")} AS form FROM documents)
-SELECT doc_id, sha256(form) AS digest, license FROM forms LEFT JOIN known ON form <> '' AND digest = sha256(form)
+forms AS (SELECT doc_id, {_form("text")} AS form, {_form(line)} AS line FROM documents)
+SELECT doc_id, sha256(form) AS digest, w.license, e.license AS notice
+FROM forms LEFT JOIN known w ON form <> '' AND w.digest = sha256(form) LEFT JOIN known e ON line <> '' AND e.digest = sha256(line)
 """
 
 
@@ -50,16 +59,19 @@ def _mixing() -> str:
     key = f"coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|{mixing.SEED}'"
     return f"""
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, (SELECT sum(n) FROM counts) / CAST((SELECT count(*) FROM counts) AS DOUBLE) / n AS rate FROM counts),
+means AS (SELECT source, (SELECT sum(n) FROM counts) / CAST((SELECT count(*) FROM counts) AS DOUBLE) / n AS mean FROM counts),
+rates AS (SELECT source, greatest(CAST(ceil(mean / {mixing.PART}) AS BIGINT), 1) AS parts, mean / greatest(CAST(ceil(mean / {mixing.PART}) AS BIGINT), 1) AS rate FROM means),
 terms AS (
   SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
   FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k)),
 sums AS (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-keyed AS (SELECT *, {key} AS key FROM documents),
-drawn AS (SELECT *, CAST('0x' || substr(md5(key), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM keyed),
-counted AS (SELECT d.*, (SELECT count(*) FROM sums s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u) AS times FROM drawn d)
+keyed AS (SELECT *, {key} AS key, row_number() OVER () AS r FROM documents),
+tries AS (
+  SELECT k.source, r, CAST('0x' || substr(md5(key || CASE WHEN part = 0 THEN '' ELSE '|' || CAST(part AS VARCHAR) END), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM keyed k JOIN rates ON k.source IS NOT DISTINCT FROM rates.source, LATERAL (SELECT unnest(range(0, parts)) AS part)),
+counted AS (SELECT r, sum((SELECT count(*) FROM sums s WHERE s.source IS NOT DISTINCT FROM t.source AND s.c <= t.u)) AS times FROM tries t GROUP BY r)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5(key || '|' || CAST(copy AS VARCHAR) || '|order') AS shuffle_key
-FROM counted, LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
+FROM keyed JOIN counted USING (r), LATERAL (SELECT unnest(range(1, CAST(times AS BIGINT) + 1)) AS copy)
 """
 
 

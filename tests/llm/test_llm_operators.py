@@ -176,6 +176,12 @@ def test_jaccard(spark, docs, odd, none):
         for at in rng.integers(0, 300, rng.integers(0, 9)):
             w[at] = f"z{k}-{at}"
         rows.append((1000 + k, " ".join(w)))
+    passage = " ".join(f"p{i}" for i in range(70))
+    for k in range(40):  # long texts that share a passage only, and near copies of a long text
+        rows.append((2000 + k, " ".join(f"u{k}-{i}" for i in range(2_000)) + f" {passage} " + " ".join(f"v{k}-{i}" for i in range(3_000 + 10 * k))))
+    long = [f"l{i}" for i in range(5_000)]
+    for k in range(6):
+        rows.append((3000 + k, " ".join(f"x{k}-{i}" if i % (37 + 3 * k) == k else w for i, w in enumerate(long))))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == brute_components(rows)
     found = jaccard.jaccard_components(odd).collect()
@@ -190,11 +196,15 @@ def test_jaccard(spark, docs, odd, none):
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(200) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(90)]
+    sets = [np.unique(np.concatenate([base[: 130 if k < 30 else 200][rng.random(130 if k < 30 else 200) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)])) for k in range(90)]
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    bits = np.stack([jaccard.bitmap(s) for s in sets]).view(np.uint64)
-    pairs = {(int(a), int(b)) for i, j in jaccard.SignatureTree(n, np.arange(90), bits).survivors() for a, b in zip(i, j, strict=True)}
+    packed = [jaccard.bitmap(s).tobytes() for s in sets]
+    words = np.array([len(b) // 8 for b in packed])
+    bits = jaccard._same_width(packed, words, int(words.max()))
+    slack = n - np.bitwise_count(bits).sum(1, dtype=np.int64) * words // words.max()
+    pairs = {(int(a), int(b)) for i, j in jaccard.SignatureTree(n, slack, np.arange(90), bits).survivors() for a, b in zip(i, j, strict=True)}
+    assert len(set(words)) > 1
     for a in range(90):
         for b in range(a + 1, 90):
             if jaccard.linked(jaccard.overlap(sets[a], sets[b]), n[a], n[b]):
@@ -215,6 +225,21 @@ def test_licenses(spark, odd, none):
     assert ids(licenses.scan_licenses(odd)) == ALL and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_from_files_and_at_the_end(spark, tmp_path):
+    for name, text in (("Own-1.0.txt", "You may use this.\nCopyright (c) 2020 A\nNothing else."), ("Other", "All rights reserved to centres.")):
+        (tmp_path / name).write_text(text)
+    known = licenses.known_from_files(spark, str(tmp_path))
+    given = [(1, "YOU MAY USE THIS -- nothing else!"), (2, "Some text.\nAll rights reserved to  centers. \r\n\n"), (3, "all rights reserved to centers"), (4, "epicentre"), (5, "epicenter")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string"), known).collect()}
+    assert {i: (r.license, r.notice) for i, r in got.items()} == {1: ("Own-1.0", "Own-1.0"), 2: (None, "Other"), 3: ("Other", "Other"), 4: (None, None), 5: (None, None)}
+    # spellings are whole words only
+    assert got[4].digest != got[5].digest
+    found = licenses.op5_license_scans(spark, "/root/testdata/sf0.01")
+    assert found.where("notice is not null").count() > 0
+
+
+
+
 def test_licenses_wrapped(spark):
     """Sentences wrapped before the word copyright keep it; lines that state a copyright go."""
     wrapped = [(n, textwrap.fill(t, w, break_long_words=False, break_on_hyphens=False)) for n, t in licenses.KNOWN for w in range(8, 100, 3)]
@@ -249,6 +274,59 @@ def test_languages_are_not_capped(spark):
     assert len(found) == 80 and all(r.language == f"l{r.doc_id:02d}" for r in found)
 
 
+def test_language_posterior(spark):
+    """The fused posterior against loops over the definition."""
+    import math
+
+    rows = [(1, "aaa bbb", "xx", "a.de"), (2, "aaa bab", "xx", "a.de"), (3, "ccc ddd", "yy", "b.fr"), (4, "ccc dcd", "yy", "b.fr"), (5, "aaa ccc", None, "a.de"), (6, "aaa ccc", None, "b.fr"), (7, "aaa ccc", "yy", "c.de"), (8, "", None, "c.de"), (9, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.language, r.posterior) for r in languages.identify(d).collect()}
+    names = ["xx", "yy"]
+    counts = {x: {} for x in names}
+    grams = lambda t: [int(k) for k in np.repeat(np.arange(languages.BUCKETS), languages.trigram_counts(t))]
+    for text in {(r[1], r[2]) for r in rows if r[2]}:
+        for g in grams(text[0]):
+            counts[text[1]][g] = counts[text[1]].get(g, 0) + 1
+    told = lambda x, right, what: 1.0 if what is None else right if x == what else 1 - right
+
+    def weights(text, declared, prior):
+        out = {}
+        for x in names:
+            total = sum(counts[x].values())
+            log = [math.log((counts[x].get(g, 0) + 0.5) / (total + 0.5 * languages.BUCKETS)) for g in grams(text or "")]
+            scale = min(1.0, languages.EVIDENCE / len(log)) if log else 1.0
+            out[x] = math.exp(scale * sum(log)) * told(x, languages.DECLARED, declared) * prior[x]
+        return {x: w / sum(out.values()) for x, w in out.items()}
+
+    flat = {x: 1.0 for x in names}
+    first = {r[0]: max(names, key=lambda x, r=r: weights(r[1], r[2], flat)[x]) for r in rows}
+    suffix = lambda h: h.rsplit(".", 1)[1] if h else None
+    share = lambda which: {x: sum(first[r[0]] == x and which(r) for r in rows) for x in names}
+    smooth = lambda n, above: {x: (n[x] + languages.PULL * above[x]) / (sum(n.values()) + languages.PULL) for x in names}
+    whole = share(lambda r: True)
+    everywhere = {x: (n + 1) / (sum(whole.values()) + 2) for x, n in whole.items()}
+    for r in rows:
+        prior = smooth(share(lambda o, r=r: o[3] == r[3]), smooth(share(lambda o, r=r: suffix(o[3]) == suffix(r[3])), everywhere))
+        expected = weights(r[1], r[2], prior)
+        best = max(names, key=expected.get)
+        assert got[r[0]][0] == best and got[r[0]][1] == pytest.approx(expected[best], rel=1e-9), r
+
+
+def test_language_evidence(spark):
+    """Each kind of evidence changes a result: text, markup, suffix, host."""
+    text = {"de": "und der die das nicht", "fr": "les des une est pas"}
+    page = lambda t, lang=None: f"<!DOCTYPE html><HTML{f' class=x LANG={lang}-XX' if lang else ''}><head><style>p {{}}</style></head><p>{t}</p><script>var a = '<p>';</script></html>"
+    rows = [(i, f"http://Host{i % 2}.example.com/a", page(text["de" if i % 2 else "fr"], "de" if i % 2 else "fr")) for i in range(60)]
+    unclear = "qq ww"
+    rows += [(100, "http://x.org/", page(text["fr"])), (101, "http://x.org/", page(unclear, "fr")), (102, "http://x.org/", page(unclear, "de")), (103, "http://y.fr/", page(unclear)), (104, "http://y.de/", page(unclear)), (105, "http://host0.example.com/", page(unclear)), (106, "http://host1.example.com/", page(unclear)), (107, None, None)]
+    evidence = languages.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [(r.lang, r.source, r.text.split()) for r in evidence.where("page_id in (1, 100, 107)").na.fill("").orderBy("page_id").collect()] == [("de", "host1.example.com", text["de"].split()), ("", "x.org", text["fr"].split()), ("", "", [])]
+    got = {r.page_id: r.language for r in languages.identify(evidence, keys=("page_id",)).collect()}
+    assert [got[i] for i in range(100, 107)] == ["fr", "fr", "de", "fr", "de", "fr", "de"]
+
+
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -278,6 +356,41 @@ def test_packing(spark, odd, none):
     assert sum(2048 - s for s in sizes if s & (s - 1)) < 0.03 * sum(sizes)
 
 
+def test_word_encoder():
+    """Words between spaces and line feeds, encoded apart, give the ids of the whole text."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    parts = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "the", "The", "don't", "12345", "x1", ".", "...", "naïve", "漢字", "😀", "\u00a0", "\u200b", "_", "--", "ß", "\x00"])
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.one_of(st.lists(parts, max_size=12).map("".join), st.text(max_size=30)), max_size=4))
+    def check(texts):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+
+
+def test_packing_ranks_over_workers(spark):
+    """Short pieces of many workers fill common bins."""
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.repeat(F.lit(" b"), (F.col("id") % 7).cast("int"))).alias("text")).repartition(23)
+    got = packing.harmonic_pack(docs, packing.tokenizer_path()).collect()
+    assert len(got) == 4_000
+    bins = {}
+    for p in got:
+        bins.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= sum(p.length for p in got) // 2048 + 9
+
+
 def test_mixing(spark, odd, none):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 > 0, "big").when(F.col("id") % 20 == 0, "small").alias("source"))
     counts = {r.source: r["count"] for r in mixing.poisson_mix(docs).groupBy("source").count().collect()}
@@ -289,8 +402,20 @@ def test_mixing(spark, odd, none):
     a, b = (sorted(r.shuffle_key for r in mixing.poisson_mix(d).collect()) for d in (docs, docs.repartition(3)))
     assert a == b
     assert mixing.poisson_mix(odd).count() >= 0 and mixing.poisson_mix(none).count() == 0
-    cdf = spark.range(1).select(mixing.cumulative(F.lit(900.0)).alias("c")).first().c
-    assert cdf[-1] == pytest.approx(1) and sum(1 - x for x in cdf) == pytest.approx(900, rel=1e-6)
+    cdf = spark.range(1).select(mixing.cumulative(F.lit(12.0)).alias("c")).first().c
+    assert cdf[-1] == pytest.approx(1) and sum(1 - x for x in cdf) == pytest.approx(12)
+
+
+def test_mixing_at_large_rates(spark):
+    """One text of a rare source, a million copies; the columns of the caller stay, whatever their names."""
+    docs = spark.createDataFrame([(1, "a", "rare", 7, 8, 9, 10), (2, "b", None, 70, 80, 90, 100)], "doc_id long, text string, source string, copy long, shuffle_key int, n int, key int")
+    got = mixing.poisson_mix(docs, rows=2_000_000)
+    assert got.columns == [*docs.columns, "copy_", "shuffle_key_"]
+    seen = got.groupBy("doc_id", "copy", "shuffle_key", "n", "key").agg(F.count("*").alias("times"), F.min("copy_").alias("lo"), F.max("copy_").alias("hi"), F.count_distinct("copy_").alias("kinds")).orderBy("doc_id").collect()
+    assert [tuple(r)[:5] for r in seen] == [(1, 7, 8, 9, 10), (2, 70, 80, 90, 100)]
+    assert all(abs(r.times - 1_000_000) < 6_000 and r.lo == 1 and r.hi == r.kinds == r.times for r in seen)
+    counts = [r["count"] for r in mixing.poisson_mix(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source")), rows=40_000).groupBy("doc_id").count().collect()]
+    assert np.mean(counts) == pytest.approx(100, abs=2) and np.var(counts) == pytest.approx(100, rel=0.25)
 
 
 def test_quality(odd, none, docs, labels):
