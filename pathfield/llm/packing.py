@@ -31,8 +31,12 @@ CAPACITY = 2048
 #: Remnants are shorter than this, so a full bin of them wastes less than SMALLEST ids.
 SMALLEST = 64
 END = 1
-#: Characters of words kept with their ids by a worker before it starts anew.
-KNOWN_CHARS = 2_000_000
+#: Characters of words, and of their stems, kept with their ids by a worker before it starts anew.
+KNOWN_CHARS, STEM_CHARS = 4_000_000, 4_000_000
+#: Characters tokenized at once; a longer text is cut after a space or line feed, if it has any.
+AT_ONCE = 1_500_000
+#: Signs that are split from a word's end.
+SIGNS = ".,;:!?*$%#)\"'-"
 
 _PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, bin long, slot long"
 _PIECE = pa.schema([(x.split()[0], pa.int64()) for x in _PIECE_DDL.split(", ")])
@@ -49,7 +53,8 @@ class WordEncoder:
     """Ids of a text, by the ids of its words.
 
     The vocabulary's pre-tokenizer never joins characters across a space or line feed, so the ids of a text are those
-    of the stretches between them, and each distinct stretch is encoded once.
+    of the stretches between them, and each distinct stretch is put together once: from its stem, in lower case as the vocabulary
+    has it, and the signs at its end, which the pre-tokenizer separates from a letter or digit before them. Only new stems and signs are tokenized.
     """
 
     def __init__(self, path: str):
@@ -58,23 +63,68 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.chars = 0
+        self.stems: dict[str, bytes] = {"": b""}
+        self.chars = self.stem_chars = 0
 
     @staticmethod
     def split(text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """The stem and the signs at a word's end; the word as it is where these might be one token."""
+        stem = word.rstrip(SIGNS)
+        if not stem or not stem[-1].isalnum():
+            return word, ""
+        return stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem, word[len(stem) :]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four little-endian bytes each. The words that are new are encoded in one call."""
+        """The ids of each text, four little-endian bytes each. All that is new in a stretch of texts is tokenized in one call."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for piece in self.cut(text):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= AT_ONCE:
+                    self._encode(held, out)
+                    held, size = [], 0
+        self._encode(held, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    @staticmethod
+    def cut(text: str) -> Iterator[str]:
+        """A text in pieces that end with spaces or line feeds, of about AT_ONCE characters each."""
+        while len(text) > AT_ONCE:
+            at = max(text.rfind(" ", 0, AT_ONCE), text.rfind("\n", 0, AT_ONCE))
+            if at < 0:
+                after = [p for p in (text.find(" ", AT_ONCE), text.find("\n", AT_ONCE)) if p >= 0]
+                if not after:
+                    break
+                at = min(after)
+            yield text[: at + 1]
+            text = text[at + 1 :]
+        yield text
+
+    def _encode(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
         if self.chars > KNOWN_CHARS:
             self.known, self.chars = {"": b""}, 0
-        split = [self.split(t) for t in texts]
-        known = self.known
+        if self.stem_chars > STEM_CHARS:
+            self.stems, self.stem_chars = {"": b""}, 0
+        split = [self.split(t) for _, t in held]
+        known, stems = self.known, self.stems
         words = list(set().union(*split) - known.keys())
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[w] = _bytes(e.ids)
+        parts = [self.parts(w) for w in words]
+        new = list({x for pair in parts for x in pair} - stems.keys())
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            stems[x] = _bytes(e.ids)
+        for w, (stem, signs) in zip(words, parts, strict=True):
+            known[w] = stems[stem] + stems[signs]
         self.chars += sum(map(len, words))
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        self.stem_chars += sum(map(len, new))
+        for (k, _), x in zip(held, split, strict=True):
+            out[k].append(b"".join(map(known.__getitem__, x)))
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -110,8 +160,8 @@ def _pieces(path: str, capacity: int, smallest: int):
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal bins
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 200):
-                for doc_id, data in zip(ids[at : at + 200], encoder.encode(texts[at : at + 200]), strict=True):
+            for at in range(0, len(texts), 1_000):
+                for doc_id, data in zip(ids[at : at + 1_000], encoder.encode(texts[at : at + 1_000]), strict=True):
                     data += end
                     n = len(data) // 4
                     for start, length in cuts(n, capacity, smallest):

@@ -356,7 +356,7 @@ def test_packing(spark, odd, none):
     assert sum(2048 - s for s in sizes if s & (s - 1)) < 0.03 * sum(sizes)
 
 
-def test_word_encoder():
+def test_word_encoder(monkeypatch):
     """Words between spaces and line feeds, encoded apart, give the ids of the whole text."""
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -364,7 +364,9 @@ def test_word_encoder():
 
     path = packing.tokenizer_path()
     plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
-    parts = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "the", "The", "don't", "12345", "x1", ".", "...", "naïve", "漢字", "😀", "\u00a0", "\u200b", "_", "--", "ß", "\x00"])
+    parts = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "the", "The", "don't", "12345", "x1", ".", "...", "naïve", "漢字", "😀", "\u00a0", "\u200b", "_", "--", "ß", "\x00", "\u0301", "DON'T", "Ünß.", "a'", "'s", "x_.", "İ", "ΣΑΣ.", ")-", "½.", "*a*"])
+
+    monkeypatch.setattr(packing, "AT_ONCE", 12)
 
     @settings(max_examples=150, deadline=None)
     @given(st.lists(st.one_of(st.lists(parts, max_size=12).map("".join), st.text(max_size=30)), max_size=4))
