@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,31 @@ def rr_form(t: Column, v0: float, dt: float, dr: float) -> Column:
     return 2 * lp * lp * (dr * t + F.expm1(-dr * t)) + 4 * dt * t
 
 
+def quartic(a: Column) -> Column:
+    return F.pow(a, F.lit(4.0))
+
+
+def _rr_part(s: Column, dt: float, lp: float, dr: float, tr: float, sign: int) -> Column:
+    colour, decay = math.exp(dr * tr), F.exp(-dr * s)
+    anisotropy = colour**4 * (quartic(decay) - 4 * decay + 3) / 12
+    return colour * lp * lp * (decay - 1 + dr * s + sign * anisotropy) + 2 * dt * s
+
+
+def rr_form_prog(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+    """Mean squared displacement along the first orientation."""
+    return _rr_part(s, dt, lp, dr, tr, 1)
+
+
+def rr_form_div(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+    """Mean squared displacement across the first orientation."""
+    return _rr_part(s, dt, lp, dr, tr, -1)
+
+
+def rr_form_total(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+    """Sum of both."""
+    return rr_form_prog(s, dt, lp, dr, tr) + rr_form_div(s, dt, lp, dr, tr)
+
+
 def rr_regimes(t: Column, v0: float, dt: float, dr: float) -> Column:
     """Limits of rr_form: diffusive, ballistic, diffusive again."""
     early, late = 4 * dt / v0**2, 1 / dr

@@ -75,3 +75,33 @@ def replace_all(c: Column, old: str, new: str) -> Column:
     for x in old:
         c = F.replace(c, F.lit(x), F.lit(new))
     return c
+
+
+def typed_value(c: Column) -> Column:
+    """struct(int, float, bool, text) of a metadata value: the first kind it can be read as is set, text always; all NULL for the literal None."""
+    text = parse_value(c)
+    quoted = F.trim(c).rlike(r"^(['\"]).*\1$")
+    plain = F.when(~quoted, text)
+    whole = plain.try_cast("bigint")
+    number = F.when(whole.isNull(), plain.try_cast("double"))
+    truth = F.when(plain.isin("True", "False"), plain == "True")
+    return F.struct(whole.alias("int"), number.alias("float"), truth.alias("bool"), text.alias("text"))
+
+
+def common_pattern(a: Column, b: Column) -> Column:
+    """The wildcard that two texts share: ? where characters of equally long ones differ, else their common beginning and end around a *."""
+    n, m = F.length(a), F.length(b)
+    chars = lambda c: F.split(c, "")
+    same = F.array_join(F.zip_with(chars(a), chars(b), lambda x, y: F.when(x == y, x).otherwise("?")), "")
+    least = F.least(n, m)
+    length_of = lambda x, y, k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (i <= k) & (F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))), i).otherwise(acc))
+    start = length_of(a, b, least)
+    end = length_of(F.reverse(a), F.reverse(b), least - start)
+    return F.when(a == b, a).when(n == m, same).otherwise(F.concat(F.substr(a, F.lit(1), start), F.lit("*"), F.substr(a, n - end + 1, end)))
+
+
+def with_error(value: Column, error: Column) -> Column:
+    """value +- error as text, both to the place of the error's first digit."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(error))))
+    show = lambda v: (F.rint(v / scale) * scale).cast("decimal(38,12)").cast("double").cast("string")
+    return F.when(error > 0, F.concat(show(value), F.lit(" +- "), show(error))).otherwise(value.cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,13 @@ def bin_index(c: Column, low: float, high: float, bins: int) -> Column:
     return F.when(c.between(low, high), F.least(F.floor((c - low) / width), F.lit(bins - 1)).cast("int"))
 
 
+def bin_edges(mids: DataFrame, mid: str, by: Sequence[str] = ()) -> DataFrame:
+    """mids with low, high: the edges half way to the neighbouring middles; the outer ones as far as the inner ones."""
+    w = Window.partitionBy(*by).orderBy(mid)
+    m, before, after = F.col(mid), F.lag(mid).over(w), F.lead(mid).over(w)
+    return mids.withColumns({"low": F.coalesce((before + m) / 2, m - (after - m) / 2), "high": F.coalesce((m + after) / 2, m + (m - before) / 2)})
+
+
 def bin_mid(i: Column, low: float, high: float, bins: int) -> Column:
     return low + (i + 0.5) * ((high - low) / bins)
 
@@ -25,9 +32,10 @@ def bin_average(df: DataFrame, keys: Mapping[str, Column], values: Mapping[str,
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
-def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Count and share, within each group, of the values in each bin."""
-    counts = df.select(*by, bin_index(value, low, high, bins).alias("bin")).dropna(subset=["bin"]).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: Sequence[str] = (), open_bounds: bool = False) -> DataFrame:
+    """Count and share, within each group, of the values in each bin; open_bounds: low and high themselves lie in none."""
+    inside = value.isNotNull() & (value > low) & (value < high) if open_bounds else F.lit(True)
+    counts = df.select(*by, F.when(inside, bin_index(value, low, high, bins)).alias("bin")).dropna(subset=["bin"]).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("__all")) if by else counts.agg(F.sum("n").alias("__all"))
     joined = counts.join(totals, [*by]) if by else counts.join(F.broadcast(totals))
     return joined.select(*by, "bin", "n", (F.col("n") / F.col("__all")).alias("share"))
@@ -38,8 +46,14 @@ def mean_histogram(counts: DataFrame, over: str = "f") -> DataFrame:
     return counts.groupBy("bin").agg(F.avg("n").alias("mean"), F.var_pop("n").alias("variance"), (F.stddev_pop("n") / F.sqrt(F.count(F.lit(1)))).alias("stderr"))
 
 
-def site_mean(df: DataFrame, value: str, step: float, coord: str = "xy", x: str = "x", y: str = "y") -> DataFrame:
-    """Average over places: cells of a grid (xy), rings about the origin (r) or rings and quadrants (polar)."""
+def site_mean(df: DataFrame, value: str, step: float, coord: str = "xy", x: str = "x", y: str = "y", recentre: bool = False) -> DataFrame:
+    """Average over places: cells of a grid (xy), rings about the origin (r) or rings and quadrants (polar).
+
+    recentre: about the mean place, if all coordinates are above 0.
+    """
+    if recentre:
+        m = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"), (F.least(F.min(x), F.min(y)) > 0).alias("__above"))
+        df = df.join(F.broadcast(m)).withColumns({x: F.when(F.col("__above"), F.col(x) - F.col("__mx")).otherwise(F.col(x)), y: F.when(F.col("__above"), F.col(y) - F.col("__my")).otherwise(F.col(y))})
     r, a = F.hypot(x, y), F.atan2(y, x)
     ring = F.floor(r / step).alias("i")
     keys = {"xy": [F.floor(F.col(x) / step).alias("i"), F.floor(F.col(y) / step).alias("j")], "r": [ring], "polar": [ring, F.floor(a / 1.5707963267948966).alias("j")]}[coord]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def joined_counts(df: DataFrame, key: str, name: str) -> DataFrame:
+def joined_counts(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """df with the number of rows of each key: a partial aggregate and a join, which a hot key does not gather in one task."""
-    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key)
+    keys = [key] if isinstance(key, str) else key
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)

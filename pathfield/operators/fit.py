@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathfield.checkpoints import staged
+from pathfield.operators.simulate import hashed_normal, uniform
+
+def _von_mises(x, m, *p):
+    """Sum of m von Mises densities (places, widths, weights) and a constant."""
+    places, k, a, c = p[:m], p[m : 2 * m], p[2 * m : 3 * m], p[-1]
+    return c + sum(w * np.exp(q * (np.cos(x - at) - 1)) / (2 * np.pi * np.i0(q) * np.exp(-q)) for at, q, w in zip(places, k, a, strict=True))
+
+
+def _anisotropy(s, dr, tr):
+    colour, decay = np.exp(dr * tr), np.exp(-dr * s)
+    return colour**4 * (decay**4 - 4 * decay + 3) / 12
+
+
+def _persistent(s, lp, dr, tr, sign):
+    return np.exp(dr * tr) * lp**2 * (np.expm1(-dr * s) + dr * s + sign * _anisotropy(s, dr, tr))
+
+
 FORMS: dict[str, tuple[Sequence[str], Callable]] = {
     "exp_decay": (("sig", "a", "c"), lambda t, sig, a, c: c + a * np.exp(-t / sig)),
     "powerlaw": (("b", "a", "c"), lambda t, b, a, c: c + a * np.power(t, -b)),
+    "chained_power": (("d1", "d2", "b1"), lambda t, d1, d2, b1: np.maximum(d1 * np.power(t, b1), d2 * t)),
+    "gauss": (("a", "x0", "sig", "c"), lambda x, a, x0, sig, c: c + a * np.exp(-(((x - x0) / sig) ** 2))),
     "nn": (("dr",), lambda t, dr: np.exp(-dr * t)),
+    "nn_colour": (("dr", "tr"), lambda t, dr, tr: np.exp(-dr * (t - tr * -np.expm1(-t / tr)))),
     "rn": (("lp", "dr"), lambda t, lp, dr: lp * np.sign(t) * -np.expm1(-dr * np.abs(t))),
+    "rn_colour": (("lp", "dr", "tr"), lambda t, lp, dr, tr: lp * np.sign(t) * -np.expm1(-dr * np.abs(t)) * np.exp(dr * tr)),
     "rr": (("v0", "dt", "dr"), lambda t, v0, dt, dr: 2 * (v0 / dr) ** 2 * (dr * t + np.expm1(-dr * t)) + 4 * dt * t),
+    "rr_total": (("dt", "lp", "dr", "tr"), lambda s, dt, lp, dr, tr: 2 * _persistent(s, lp, dr, tr, 0) + 4 * dt * s),
+    "rr_prog": (("dt", "lp", "dr", "tr"), lambda s, dt, lp, dr, tr: _persistent(s, lp, dr, tr, 1) + 2 * dt * s),
+    "rr_div": (("dt", "lp", "dr", "tr"), lambda s, dt, lp, dr, tr: _persistent(s, lp, dr, tr, -1) + 2 * dt * s),
 }
+#: Values that stand for parameters no fit has given yet.
+GUESSES = {"tr": 1.6, "dr": 1 / 16, "lp": 2.5, "v0": 0.16, "dt": 0.01}
+#: Fits in the order in which they are asked for a parameter.
+SOURCES = ("nn", "rn", "ra", "rp", "rr", "r0", "pr", "p0", "dr", "d0")
 
 
-def least_squares(f: Callable, x: np.ndarray, y: np.ndarray, sigma: np.ndarray, start: Sequence[float], fixed: Sequence[bool] | None = None, rounds: int = 200) -> np.ndarray:
-    """Parameters by damped Gauss-Newton steps with numeric slopes."""
+def least_squares(f: Callable, x: np.ndarray, y: np.ndarray, sigma: np.ndarray, start: Sequence[float], fixed: Sequence[bool] | None = None, lows: Sequence[float | None] | None = None, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters by damped Gauss-Newton steps with numeric slopes, and their standard errors (0 where fixed). lows: least values, None for none."""
     p = np.array(start, float)
     free = np.flatnonzero(~np.array(fixed if fixed is not None else [False] * len(p)))
+    low = np.array([-np.inf if v is None else v for v in (lows or [None] * len(p))])
     loss = lambda q: float(np.sum(((y - f(x, *q)) / sigma) ** 2))
+
+    def slopes(q):
+        h = 1e-6 * np.maximum(np.abs(q), 1e-3)
+        return np.stack([(f(x, *(q + np.eye(len(q))[k] * h[k])) - f(x, *q)) / h[k] / sigma for k in free], 1)
+
     damp, now = 1e-3, loss(p)
-    for _ in range(rounds):
-        r = (y - f(x, *p)) / sigma
-        h = 1e-6 * np.maximum(np.abs(p), 1e-3)
-        j = np.stack([(f(x, *(p + np.eye(len(p))[k] * h[k])) - f(x, *p)) / h[k] / sigma for k in free], 1)
+    for _ in range(rounds if len(free) else 0):
+        r, j = (y - f(x, *p)) / sigma, slopes(p)
         a = j.T @ j
         try:
             step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), j.T @ r)
@@ -35,6 +69,7 @@ def least_squares(f: Callable, x: np.ndarray, y: np.ndarray, sigma: np.ndarray,
             break
         q = p.copy()
         q[free] += step
+        q = np.maximum(q, low)
         then = loss(q)
         if np.isfinite(then) and then < now:
             done = now - then < 1e-12 * now
@@ -45,18 +80,139 @@ def least_squares(f: Callable, x: np.ndarray, y: np.ndarray, sigma: np.ndarray,
             damp *= 4
             if damp > 1e12:
                 break
-    return p
+    error = np.zeros(len(p))
+    if len(free):
+        j = slopes(p)
+        error[free] = np.sqrt(np.maximum(np.diag(np.linalg.pinv(j.T @ j)), 0) * now / max(1, len(x) - len(free)))
+    return p, error
+
 
+def fit(curves: DataFrame, form: str | tuple[Sequence[str], Callable], by: str, x: str, y: str, sigma: str | None, start: dict[str, float], fixed: Sequence[str] = (), lows: dict[str, float] | None = None, given: DataFrame | None = None) -> DataFrame:
+    """(by, param, value, stderr) of each curve. A curve is an ensemble's, so it has as many rows as lags, not as data.
 
-def fit(curves: DataFrame, form: str, by: str, x: str, y: str, sigma: str | None, start: dict[str, float], fixed: Sequence[str] = ()) -> DataFrame:
-    """(by, param, value) of each curve. A curve is an ensemble's, so it has as many rows as lags, not as data."""
-    names, f = FORMS[form]
+    given: (by, param, value) that replace the start values of a curve.
+    """
+    names, f = FORMS[form] if isinstance(form, str) else form
+    mine = [f"__{n}" for n in names]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna()
+        first = [rows[m].iloc[0] for m in mine]
+        begin = [start[n] if pd.isna(v) else float(v) for n, v in zip(names, first, strict=True)]
+        rows = rows.dropna(subset=["x", "y", "s"])
         s = rows["s"].to_numpy(float)
-        p = least_squares(f, rows["x"].to_numpy(float), rows["y"].to_numpy(float), np.where(s > 0, s, 1.0), [start[n] for n in names], [n in fixed for n in names])
-        return pd.DataFrame({by: [key[0]] * len(names), "param": list(names), "value": p})
+        p, e = least_squares(f, rows["x"].to_numpy(float), rows["y"].to_numpy(float), np.where(s > 0, s, 1.0), begin, [n in fixed for n in names], [(lows or {}).get(n) for n in names])
+        return pd.DataFrame({by: [key[0]] * len(names), "param": list(names), "value": p, "stderr": e})
 
     rows = curves.select(by, F.col(x).cast("double").alias("x"), F.col(y).alias("y"), (F.col(sigma) if sigma else F.lit(1.0)).cast("double").alias("s"))
-    return rows.groupBy(by).applyInPandas(one, f"{by} {dict(curves.dtypes)[by]}, param string, value double")
+    if given is None:
+        rows = rows.select("*", *[F.lit(None).cast("double").alias(m) for m in mine])
+    else:
+        known = given.groupBy(by).agg(*[F.max(F.when(F.col("param") == n, F.col("value"))).alias(m) for n, m in zip(names, mine, strict=True)])
+        rows = rows.join(known, by, "left")
+    return rows.groupBy(by).applyInPandas(one, f"{by} {dict(curves.dtypes)[by]}, param string, value double, stderr double")
+
+
+def sigma_for_fit(curve: DataFrame, x: str, y: str, error: str, const: float | None = None, relative: bool = False, power: float | str | None = None, ignore: Sequence[float] = ()) -> DataFrame:
+    """curve with sigma, the uncertainty a fit takes: the error, over the value if relative, with a constant added as a square, times x^power or ln(1 + x) ('log').
+
+    ignore: points left out instead of given endless uncertainty: 0 stands for the rows around x = 0, any other two for the range outside
+    them, a single other one for what lies beyond it.
+    """
+    rows = curve
+    others = sorted(v for v in ignore if v != 0)
+    if 0 in ignore:
+        rows = rows.where(F.abs(F.col(x)) >= 1e-12)
+    if others:
+        rows = rows.where(F.col(x) <= others[-1])
+    if len(others) > 1:
+        rows = rows.where(F.col(x) >= others[0])
+    s = F.try_divide(F.col(error), F.abs(F.col(y))) if relative else F.col(error)
+    if const is not None:
+        s = F.hypot(s, F.lit(float(const)))
+    if power is not None:
+        s = s * (F.log1p(F.col(x)) if power == "log" else F.pow(F.col(x), F.lit(float(power))))
+    return rows.withColumn("sigma", s)
+
+
+def parameter(fits: DataFrame, name: str, by: str = "dataset", sources: Sequence[str] = SOURCES) -> DataFrame:
+    """(by, param, value, source): of each dataset in fits (by, func, param, value) the parameter by the first function that has it, else the guess."""
+    rank = F.array_position(F.lit(list(sources)), F.col("func"))
+    found = fits.where((F.col("param") == name) & F.col("value").isNotNull()).withColumn("rank", rank).where("rank > 0")
+    best = found.groupBy(by).agg(F.min_by(F.struct("value", F.col("func").alias("source")), "rank").alias("b"))
+    rows = fits.select(by).distinct().join(best, by, "left")
+    return rows.select(by, F.lit(name).alias("param"), F.coalesce("b.value", F.lit(GUESSES[name])).alias("value"), F.coalesce("b.source", F.lit("guess")).alias("source"))
+
+
+def fit_chain(nn: DataFrame, rn: DataFrame, rr: DataFrame, by: str = "dataset", dtheta: float = 0.02, dx: float = 0.25, zoom: float = 1.0, mode: str = "full", colour: float | None = None) -> DataFrame:
+    """(by, func, param, value, stderr): curves (by, tau, mean, stderr) fitted one after the other.
+
+    The orientation correlation gives dr; the displacement along the orientation, with this dr, gives lp; the mean squared displacement,
+    with both, gives dt. mode, of the second: 'full', 'pos' (tau > 0 alone) or 'anti' (the antisymmetric part). colour: correlation time of the
+    turning noise; None for white noise.
+    """
+    if mode not in ("full", "pos", "anti"):
+        raise ValueError(f"unknown mode: {mode}")
+    fixed = {"tr": colour} if colour else {}
+    curve = lambda c: c.select(by, F.col("tau").cast("double").alias("tau"), "mean", "stderr")
+    first = sigma_for_fit(curve(nn), "tau", "mean", "stderr", dtheta / math.sqrt(2), ignore=[0, 50 * zoom])
+    a = staged(fit(first, "nn_colour" if colour else "nn", by, "tau", "mean", "sigma", {**GUESSES, **fixed}, [*fixed], {"dr": 0.0}), "fit")
+    rows = curve(rn)
+    if mode == "anti":
+        back = rows.select(by, (-F.col("tau")).alias("tau"), F.col("mean").alias("m2"), F.col("stderr").alias("s2"))
+        rows = rows.join(back, [by, "tau"]).select(by, "tau", ((F.col("mean") - F.col("m2")) / 2).alias("mean"), (F.hypot("stderr", "s2") / 2).alias("stderr"))
+    known = a.where("param = 'dr'")
+    reach = known.select(by, (3 * zoom / F.col("value")).alias("reach"))
+    rows = rows.join(reach, by).where((F.abs("tau") <= F.col("reach")) & ((F.col("tau") > 0) if mode == "pos" else F.lit(True)))
+    second = sigma_for_fit(rows, "tau", "mean", "stderr", math.hypot(dtheta, dx) / math.sqrt(2), ignore=[0])
+    b = staged(fit(second, "rn_colour" if colour else "rn", by, "tau", "mean", "sigma", {**GUESSES, **fixed}, ["dr", *fixed], {"lp": 0.0}, known.select(by, "param", "value")), "fit")
+    both = known.unionByName(b.where("param = 'lp'")).select(by, "param", "value")
+    third = sigma_for_fit(curve(rr), "tau", "mean", "stderr", math.sqrt(2) * dx, power=1, ignore=[0, 200 * zoom])
+    c = fit(third, "rr_total", by, "tau", "mean", "sigma", {**GUESSES, "tr": colour or 0.0}, ["dr", "lp", "tr"], {"dt": 0.0}, both)
+    name = {"full": "rn", "pos": "rp", "anti": "ra"}[mode]
+    parts = [t.withColumn("func", F.lit(n)) for t, n in ((a, "nn"), (b, name), (c, "rr"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(by, "func", "param", "value", "stderr")
+
+
+def primary_angles(angles: DataFrame, o: str, m: int = 4, bins: int = 720, by: str = "dataset") -> DataFrame:
+    """(by, param, value, stderr): the m directions a0.. that angles gather about: von Mises densities and a constant fitted to their histogram. Zeros don't count."""
+    turn = F.pmod(F.col(o), F.lit(2 * math.pi))
+    counts = angles.where(F.col(o) != 0).select(by, F.least(F.floor(turn / (2 * math.pi / bins)), F.lit(bins - 1)).alias("bin")).groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = grid.join(counts, [by, "bin"], "left").fillna(0, ["n"])
+    w = Window.partitionBy(by)
+    rows = counts.select(by, ((F.col("bin") + 0.5) * (2 * math.pi / bins)).alias("x"), (F.col("n") / F.sum("n").over(w) / (2 * math.pi / bins)).alias("y"))
+    top = rows.groupBy(by).agg(F.max_by("x", "y").alias("top"))
+    start = top.select(by, F.explode(F.array(*[F.struct(F.lit(f"a{k}").alias("param"), F.pmod(F.col("top") + 2 * math.pi * k / m, F.lit(2 * math.pi)).alias("value")) for k in range(m)])).alias("s")).select(by, "s.*")
+    names = [*(f"a{k}" for k in range(m)), *(f"k{k}" for k in range(m)), *(f"w{k}" for k in range(m)), "c"]
+    form = (names, lambda x, *p: _von_mises(x, m, *p))
+    begin = {n: 0.0 if n[0] == "a" else 100.0 if n[0] == "k" else 1.0 / m if n[0] == "w" else 1e-3 for n in names}
+    return fit(rows, form, by, "x", "y", None, begin, (), {n: 1e-6 for n in names if n[0] == "k"}, start)
+
+
+def parabola_peak(curve: DataFrame, x: str, y: str, x0: float, width: float, by: str = "dataset") -> DataFrame:
+    """(by, at, height): top of the parabola through a curve's points within half a width of x0, in closed form."""
+    rows = curve.where(F.abs(F.col(x) - x0) <= width / 2).select(by, (F.col(x) - x0).alias("u"), F.col(y).alias("v"))
+    s = lambda p, v=False: F.sum(F.pow("u", F.lit(float(p))) * (F.col("v") if v else 1))
+    g = rows.groupBy(by).agg(F.count("v").cast("double").alias("s0"), *[s(p).alias(f"s{p}") for p in (1, 2, 3, 4)], *[s(p, True).alias(f"t{p}") for p in (0, 1, 2)])
+    c = {k: F.col(k) for k in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")}
+    det = lambda a: a[0] * (a[4] * a[8] - a[5] * a[7]) - a[1] * (a[3] * a[8] - a[5] * a[6]) + a[2] * (a[3] * a[7] - a[4] * a[6])
+    m = [c[f"s{i + j}"] for i in range(3) for j in range(3)]
+    t = [c["t0"], c["t1"], c["t2"]]
+    solved = [F.try_divide(det([t[i] if j == k else m[3 * i + j] for i in range(3) for j in range(3)]), det(m)) for k in range(3)]
+    g = g.select(by, *[v.alias(f"c{k}") for k, v in enumerate(solved)])
+    return g.select(by, (x0 - F.try_divide(F.col("c1"), 2 * F.col("c2"))).alias("at"), (F.col("c0") - F.try_divide(F.col("c1") * F.col("c1"), 4 * F.col("c2"))).alias("height"))
+
+
+def propagated(spark: SparkSession, kind: str, errors: tuple[float, float], size: int = 100_000, span: tuple[float, float] = (2 * math.pi, 10.0), seed: int = 1) -> DataFrame:
+    """(predicted, sampled): error of a product by the rule of squares and by sampling, for 'nn' (cos a cos b), 'rn' (cos a x) or 'rr' (x y).
+
+    Values are uniform over the spans, errors normal; both hashed from the row's number, so the sample is the same wherever it is drawn.
+    """
+    rows = spark.range(size)
+    u = [uniform(F.col("id"), seed, k) * span[0 if kind == "nn" else 1 if kind == "rr" else k] for k in (0, 1)]
+    e = [(errors[0] if kind != "rn" or k == 0 else errors[1]) * hashed_normal(F.col("id"), F.lit(seed), k + 2) for k in (0, 1)]
+    f = {"nn": lambda a, b: F.cos(a) * F.cos(b), "rn": lambda a, b: F.cos(a) * b, "rr": lambda a, b: a * b}[kind]
+    rows = rows.select(u[0].alias("a"), u[1].alias("b"), e[0].alias("ea"), e[1].alias("eb"))
+    a, b = F.col("a"), F.col("b")
+    size_of = {"nn": F.lit(errors[0] / math.sqrt(2)), "rn": F.avg(F.sqrt(errors[1] ** 2 + F.pow(b * errors[0], 2))) / math.sqrt(2), "rr": math.sqrt(2) * errors[0] * F.sqrt(F.avg(a * a))}[kind]
+    return rows.agg(size_of.alias("predicted"), F.stddev_pop(f(a + F.col("ea"), b + F.col("eb")) - f(a, b)).alias("sampled"))

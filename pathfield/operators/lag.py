@@ -7,7 +7,9 @@ array on the left side of one equi-join on (t, f).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfield.operators.groups import uneven_mean
@@ -76,6 +78,26 @@ def msd_ensemble(tracks: DataFrame, least: int = 3, max_lag: int | None = None,
     return uneven_mean(rows, "msd", "tau", least)
 
 
+def tau_grid(frames: int, step: int | float, first: int = 1, most: int | None = None) -> list[int]:
+    """Lags up to a number of frames: every step-th for a whole step, else first times the powers of the step, rounded, each once."""
+    if isinstance(step, int):
+        taus = list(range(step, frames + 1, step))
+    else:
+        if step <= 1:
+            raise ValueError("a factor above 1")
+        n = int(math.log((frames + 1) / first) / math.log(step) + 1e-9)
+        taus = sorted({t for k in range(n + 1) if (t := round(first * step**k)) <= frames})
+    return taus[:most]
+
+
+def rr_stack(tracks: DataFrame, least: int = 3, max_lag: int | None = None) -> DataFrame:
+    """(tau, total, total_err, prog, prog_err, div, div_err, n): ensemble means of the body-frame displacements and of their sum; errors of the sum add as squares."""
+    parts = msd_body(tracks, max_lag)
+    err = lambda c: F.stddev_samp(c) / F.sqrt(F.count(c).cast("double"))
+    g = parts.groupBy("tau").agg(*[a for c in ("prog", "div") for a in (F.avg(c).alias(c), err(c).alias(f"{c}_err"))], F.count("prog").alias("n")).where(F.col("n") >= least)
+    return g.select("tau", (F.col("prog") + F.col("div")).alias("total"), F.hypot("prog_err", "div_err").alias("total_err"), "prog", "prog_err", "div", "div_err", "n")
+
+
 def angular_msd(tracks: DataFrame, max_lag: int | None = None) -> DataFrame:
     """(t, tau, msd) of unwrapped orientations."""
     return lag_pairs(tracks, ["o"], max_lag).groupBy("t", "tau").agg(F.avg(F.pow(F.col("o2") - F.col("o1"), 2)).alias("msd"))
@@ -106,10 +128,21 @@ def autocorr(tracks: DataFrame, c: str, max_lag: int | None = None, norm: bool =
     return crosscorr(tracks, c, c, "mean", False, norm, max_lag)
 
 
-def nn_corr(tracks: DataFrame, max_lag: int | None = None, least: int = 3) -> DataFrame:
-    """(tau, mean, stderr, n): orientation correlation cos(o2 - o1) over tracks."""
+def field_autocorr(series: DataFrame, fields: list[str], max_lag: int | None = None) -> DataFrame:
+    """(t, tau, field, c): autocorrelation about the means, not normalised, of several fields from one pass over the pairs."""
+    p = lag_pairs(series, fields, max_lag)
+    g = p.groupBy("t", "tau").agg(*[(F.avg(F.col(f"{c}2") * F.col(f"{c}1")) - F.avg(f"{c}2") * F.avg(f"{c}1")).alias(c) for c in fields])
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("c")) for c in fields]))
+    return g.select("t", "tau", long.alias("s")).select("t", "tau", "s.*")
+
+
+def nn_corr(tracks: DataFrame, max_lag: int | None = None, least: int = 3, dot: bool = True) -> DataFrame:
+    """(tau, mean, stderr, n): orientation correlation over tracks: cos(o2 - o1), or, not dot, both components' products as series of their own."""
     p = lag_pairs(tracks, ["o"], max_lag)
-    return uneven_mean(p.groupBy("t", "tau").agg(F.avg(F.cos(F.col("o2") - F.col("o1"))).alias("c")), "c", "tau", least)
+    if dot:
+        return uneven_mean(p.groupBy("t", "tau").agg(F.avg(F.cos(F.col("o2") - F.col("o1"))).alias("c")), "c", "tau", least)
+    both = F.array(F.avg(F.cos("o1") * F.cos("o2")), F.avg(F.sin("o1") * F.sin("o2")))
+    return uneven_mean(p.groupBy("t", "tau").agg(both.alias("cs")).select("tau", F.explode("cs").alias("c")), "c", "tau", least)
 
 
 def rn_corr(tracks: DataFrame, side: float = 1.0, max_lag: int | None = None, least: int = 3) -> DataFrame:
@@ -120,26 +153,34 @@ def rn_corr(tracks: DataFrame, side: float = 1.0, max_lag: int | None = None, le
 
 
 def symmetry(curve: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, even, odd): a curve's symmetric and antisymmetric parts where both x and -x are known."""
+    """(x, even, odd, even_degree): a curve's symmetric and antisymmetric parts where both x and -x are known, and the first one's share of their sizes."""
     a, b = curve.select(F.col(x).alias("x"), F.col(y).alias("a")), curve.select((-F.col(x)).alias("x"), F.col(y).alias("b"))
-    return a.join(b, "x").select("x", ((F.col("a") + F.col("b")) / 2).alias("even"), ((F.col("a") - F.col("b")) / 2).alias("odd"))
+    both = a.join(b, "x").select("x", ((F.col("a") + F.col("b")) / 2).alias("even"), ((F.col("a") - F.col("b")) / 2).alias("odd"))
+    return both.withColumn("even_degree", F.try_divide(F.abs("even"), F.abs("even") + F.abs("odd")))
+
+
+def symmetry_degree(curve: DataFrame, x: str, y: str) -> DataFrame:
+    """(even, odd): mean shares of a curve's parts over x >= 0."""
+    share = F.avg("even_degree")
+    return symmetry(curve, x, y).where("x >= 0").agg(share.alias("even"), (1 - share).alias("odd"))
 
 
 def decay_scale(curves: DataFrame, x: str, y: str, by: list[str], method: str = "mean") -> DataFrame:
-    """Decay length of each curve by trapezoids: mean of x under y, or the integral over the first value; or the 1/e crossing."""
-    w = Window.partitionBy(*by).orderBy(x)
-    value = F.greatest(F.col(y), F.lit(0.0))
-    rows = curves.select(*by, F.col(x).cast("double").alias("x"), value.alias("y"))
+    """Decay length of each curve, of its values or 0 if these are less, by trapezoids.
+
+    mean: of x under y; integrate: the integral over the first value; inverse: the integral over that of y / (x + 1); threshold: the
+    first crossing of 1/e of the first value.
+    """
     w = Window.partitionBy(*by).orderBy("x")
-    step = F.lead("x").over(w) - F.col("x")
-    rows = rows.withColumns({"area": step * (F.col("y") + F.lead("y").over(w)) / 2, "first_x": step * (F.col("x") * F.col("y") + F.lead("x").over(w) * F.lead("y").over(w)) / 2})
-    rows = rows.withColumns({"y0": F.first("y").over(w), "ny": F.lead("y").over(w), "nx": F.lead("x").over(w)})
-    if method == "mean":
-        scale: Column = F.try_divide(F.sum("first_x"), F.sum("area"))
-    elif method == "integrate":
-        scale = F.try_divide(F.sum("area"), F.max("y0"))
-    else:
-        level = F.col("y0") * 0.36787944117144233
-        crossed = (F.col("y") > level) & (F.col("ny") <= level)
-        scale = F.min(F.when(crossed, F.col("x") + (F.col("nx") - F.col("x")) * (F.col("y") - level) / (F.col("y") - F.col("ny"))))
+    rows = curves.select(*by, F.col(x).cast("double").alias("x"), F.greatest(F.col(y), F.lit(0.0)).alias("y"))
+    rows = rows.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "y0": F.first("y").over(w)})
+    area = lambda f: F.sum((F.col("nx") - F.col("x")) * (f(F.col("x"), F.col("y")) + f(F.col("nx"), F.col("ny"))) / 2)
+    level = F.col("y0") * math.exp(-1)
+    crossed = (F.col("y") > level) & (F.col("ny") <= level)
+    scale = {
+        "mean": lambda: F.try_divide(area(lambda x, y: x * y), area(lambda x, y: y)),
+        "integrate": lambda: F.try_divide(area(lambda x, y: y), F.max("y0")),
+        "inverse": lambda: F.try_divide(area(lambda x, y: y), area(lambda x, y: y / (x + 1))),
+        "threshold": lambda: F.min(F.when(crossed, F.col("x") + (F.col("nx") - F.col("x")) * (F.col("y") - level) / (F.col("y") - F.col("ny")))),
+    }[method]()
     return rows.groupBy(*by).agg(scale.alias("scale"))

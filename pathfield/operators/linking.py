@@ -12,6 +12,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfield.checkpoints import staged
+from pathfield.operators.graph import roots
+
 
 def parents(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | None = None) -> DataFrame:
     """(id, f, parent): parent NULL for a root.
@@ -41,40 +44,22 @@ def parents(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | N
     return rows.select("id", "f").join(linked, "id", "left").select("id", "f", "parent")
 
 
-def roots(pointers: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root) by pointer doubling; each round is a checkpoint, so a long chain's plan stays short."""
-    state = pointers.select("id", F.coalesce("parent", "id").alias("root")).checkpoint()
-    for _ in range(rounds):
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        state = state.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")).checkpoint()
-        moved = state.where("moved").limit(1).count()
-        state = state.drop("moved")
-        if not moved:
-            break
-    return state
-
-
 def track_labels(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | None = None, stub: int = 0) -> DataFrame:
     """(id, t): tracks numbered from 0 by their first dot's id; -1 for cut dots and for tracks of fewer than `stub` dots."""
-    spark = dots.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/pathfield-checkpoints")
     found = roots(parents(dots, reach, giveup, cut))
     if cut:
         found = found.join(dots.where(F.coalesce(F.col(cut), F.lit(False))).select("id"), "id", "left_anti")
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     # a global rank of the roots alone, in ranges: counts of the ranges before, then ranks inside
-    numbered = _dense(sizes.select("root"), "root")
+    numbered = dense_rank(sizes.select("root"), "root")
     labels = found.join(numbered, "root").join(sizes, "root")
     labels = labels.select("id", F.when(F.col("n") >= stub, F.col("rank")).otherwise(-1).alias("t"))
     return dots.select("id").join(labels, "id", "left").select("id", F.coalesce("t", F.lit(-1)).cast("long").alias("t"))
 
 
-def _dense(keys: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """(key, rank from 0) of distinct keys, without a window over all rows: ranges by quantiles, then ranks within each."""
-    cuts = sorted(set(keys.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col(key)))
-    rows = keys.withColumn("__p", part)
+def dense_rank(keys: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """(key, rank from 0) of distinct keys, without a window over all rows: a staged table in ranges, the ranges' counts summed up, ranks within each."""
+    rows = staged(keys.repartitionByRange(parts, key).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = rows.groupBy("__p").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
     return rows.withColumn("__r", inner).join(F.broadcast(sizes.select("__p", "__before")), "__p").select(key, (F.col("__r") + F.col("__before")).alias("rank"))

@@ -7,12 +7,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfield.functions.scalars import wrap_angle
 
-def match_corners(dots: DataFrame, corners: DataFrame, rc: float, drc: float | None = None, nc: int = 2) -> DataFrame:
+
+def match_corners(
+    dots: DataFrame, corners: DataFrame, rc: float, drc: float | None = None, nc: int = 2, angle: float | None = None, dangle: float | None = None, rank_by: str = "rc", average: bool = True
+) -> DataFrame:
     """(f, id, orient, corner, cdisp): every dot, with NULLs where fewer than nc corners lie within rc +- drc of it.
 
-    The nc corners whose distance is nearest to rc count (ties by id); the orientation is that of the sum of unit
-    vectors to them. drc: sqrt(rc) by default. A join on (frame, cell), cells being as large as the longest distance.
+    angle: only corners that some other one is seen at this angle from, within dangle, count; without dangle, or with rank_by 'ang',
+    the nc - 1 pairs nearest to the angle are taken, and a dot whose pairs have more than nc corners has none. Else the nc corners whose
+    distance is nearest to rc count (ties by id). The orientation is that of the sum of unit vectors to them, or, not average, each
+    corner's own, as an array. drc: sqrt(rc) by default. A join on (frame, cell), cells being as large as the longest distance.
     """
     drc = drc or math.sqrt(rc)
     size = rc + drc
@@ -22,11 +28,32 @@ def match_corners(dots: DataFrame, corners: DataFrame, rc: float, drc: float | N
     b = corners.select("f", F.col("id").alias("cid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.explode(around).alias("k"))
     b = b.select("f", "cid", "qx", "qy", (cell("qx") + F.col("k.i")).alias("cx"), (cell("qy") + F.col("k.j")).alias("cy"))
     d = F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
-    near = a.join(b, ["f", "cx", "cy"]).withColumn("d", d).where(F.abs(F.col("d") - rc) < drc)
+    near = a.join(b, ["f", "cx", "cy"]).withColumn("d", d).where(F.abs(F.col("d") - rc) < drc).drop("cx", "cy")
+    if angle is not None:
+        near = _at_angle(near, angle, dangle, nc, "ang" if dangle is None else rank_by)
     rank = F.row_number().over(Window.partitionBy("f", "id").orderBy(F.round(F.abs(F.col("d") - rc), 9), "cid"))
     best = near.withColumn("rank", rank).where(F.col("rank") <= nc)
-    angle = F.pmod(F.atan2(F.sum((F.col("qy") - F.col("y")) / F.col("d")), F.sum((F.col("qx") - F.col("x")) / F.col("d"))), F.lit(2 * math.pi))
-    members = F.sort_array(F.collect_list(F.struct("rank", "qx", "qy", "d")))
-    found = best.groupBy("f", "id").agg(F.count(F.lit(1)).alias("n"), angle.alias("orient"), members.alias("m")).where(F.col("n") >= nc)
-    found = found.select("f", "id", "orient", F.transform("m", lambda c: F.struct(c["qx"].alias("x"), c["qy"].alias("y"))).alias("corner"), F.transform("m", lambda c: c["d"]).alias("cdisp"))
+    mean = F.pmod(F.atan2(F.sum((F.col("qy") - F.col("y")) / F.col("d")), F.sum((F.col("qx") - F.col("x")) / F.col("d"))), F.lit(2 * math.pi))
+    own = F.pmod(F.atan2(F.col("qy") - F.col("y"), F.col("qx") - F.col("x")), F.lit(2 * math.pi))
+    members = F.sort_array(F.collect_list(F.struct("rank", "qx", "qy", "d", own.alias("own"))))
+    found = best.groupBy("f", "id").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"), members.alias("m")).where(F.col("n") >= nc)
+    orient = F.col("mean") if average else F.transform("m", lambda c: c["own"])
+    found = found.select("f", "id", orient.alias("orient"), F.transform("m", lambda c: F.struct(c["qx"].alias("x"), c["qy"].alias("y"))).alias("corner"), F.transform("m", lambda c: c["d"]).alias("cdisp"))
     return dots.select("f", "id").join(found, ["f", "id"], "left")
+
+
+def _at_angle(near: DataFrame, angle: float, dangle: float | None, nc: int, rank_by: str) -> DataFrame:
+    """Rows (f, id, cid, ...) of the corners that the pair angles leave. Pairs are those of one dot's few corners in reach."""
+    seen = near.select("f", "id", "cid", F.atan2(F.col("qy") - F.col("y"), F.col("qx") - F.col("x")).alias("a"))
+    other = seen.select("f", "id", F.col("cid").alias("cid2"), F.col("a").alias("a2"))
+    off = F.abs(F.abs(wrap_angle(F.col("a2") - F.col("a"))) - angle)
+    pairs = seen.join(other, ["f", "id"]).where("cid < cid2").withColumn("off", F.round(off, 9))
+    if dangle is not None:
+        pairs = pairs.where(F.col("off") < dangle)
+    if rank_by == "ang":
+        rank = F.row_number().over(Window.partitionBy("f", "id").orderBy("off", "cid", "cid2"))
+        pairs = pairs.withColumn("k", rank).where(F.col("k") <= nc - 1)
+    legal = pairs.select("f", "id", F.explode(F.array("cid", "cid2")).alias("cid")).distinct()
+    if rank_by == "ang":
+        legal = legal.join(legal.groupBy("f", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= nc).select("f", "id"), ["f", "id"], "left_semi")
+    return near.join(legal, ["f", "id", "cid"], "left_semi")

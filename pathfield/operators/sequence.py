@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,24 @@ def densify(tracks: DataFrame, t: str = "t", f: str = "f", drop_over: int | None
 
 
 def interpolate(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f") -> DataFrame:
-    """NULL runs of at most so many frames become straight lines; at a track's ends the nearest value."""
-    w = _by(t, f)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """NULL runs of at most so many frames become straight lines; at a track's ends the nearest value.
+
+    The known values before and after come from two running windows, one in descending order, so the work grows with a track's rows.
+    """
+    past = _by(t, f).rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy(t).orderBy(F.desc(f)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(t)
     out = tracks.withColumns({"__lo": F.min(f).over(whole), "__hi": F.max(f).over(whole)})
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.col(f))
-        out = out.withColumns({"__a": F.last(c, True).over(past), "__b": F.first(c, True).over(future), "__fa": F.last(known, True).over(past), "__fb": F.first(known, True).over(future)})
-        run = F.coalesce("__fb", F.col("__hi") + 1) - F.coalesce("__fa", F.col("__lo") - 1) - 1
-        line = F.col("__a") + (F.col("__b") - F.col("__a")) * F.try_divide((F.col(f) - F.col("__fa")).cast("double"), (F.col("__fb") - F.col("__fa")).cast("double"))
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(run <= most, F.coalesce(line, "__a", "__b")))
-    return out.select(*tracks.columns)
+    for k, c in enumerate(columns):
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(f).alias("f")))
+        out = out.withColumns({f"__a{k}": F.last(known, True).over(past), f"__b{k}": F.last(known, True).over(future)})
+    filled = {}
+    for k, c in enumerate(columns):
+        a, b = F.col(f"__a{k}"), F.col(f"__b{k}")
+        run = F.coalesce(b["f"], F.col("__hi") + 1) - F.coalesce(a["f"], F.col("__lo") - 1) - 1
+        line = a["v"] + (b["v"] - a["v"]) * F.try_divide((F.col(f) - a["f"]).cast("double"), (b["f"] - a["f"]).cast("double"))
+        filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(run <= most, F.coalesce(line, a["v"], b["v"]))
+    return out.withColumns(filled).select(*tracks.columns)
 
 
 def repair(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f") -> DataFrame:
@@ -110,16 +118,17 @@ def gauss_filter(c: str, sigma: float = 0.65, order: int = 1, t: str = "t", f: s
 
 def log_slope(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Slope of ln y over ln x between neighbouring rows, at their middle."""
-    w = Window.partitionBy(*by).orderBy(x)
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*by, F.col(x).alias("a"), F.ln(x).alias("lx"), F.ln(y).alias("ly"))
     w = Window.partitionBy(*by).orderBy("a")
     rows = rows.select(*by, ((F.col("a") + F.lead("a").over(w)) / 2).alias("mid"), F.try_divide(F.lead("ly").over(w) - F.col("ly"), F.lead("lx").over(w) - F.col("lx")).alias("slope"))
     return rows.where("mid is not null")
 
 
-def cumulative_trapezoid(y: str, x: str, t: str) -> Column:
+def cumulative_trapezoid(df: DataFrame, y: str, x: str, t: str, name: str = "area") -> DataFrame:
+    """df with the area under y over x, by trapezoids, from each group's first row to each row."""
     w = Window.partitionBy(t).orderBy(x)
-    return F.sum(F.coalesce((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2, F.lit(0.0)))
+    part = F.coalesce((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2, F.lit(0.0))
+    return df.withColumn("__part", part).withColumn(name, F.sum("__part").over(w)).drop("__part")
 
 
 def limited_means(series: DataFrame, c: str, t: str = "t", f: str = "f") -> DataFrame:
@@ -132,11 +141,65 @@ def limited_means(series: DataFrame, c: str, t: str = "t", f: str = "f") -> Data
     return heads.join(tails, [t, "lag"])
 
 
-def running_extrema_start(series: DataFrame, c: str, t: str, f: str) -> DataFrame:
-    """(t, start): the first frame whose running maximum so far equals the running minimum from there on; NULL if none."""
+def running_extrema_start(series: DataFrame, c: str, t: str, f: str, bounds: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """(t, start): the first frame, within [low, high) if given, whose running maximum so far equals the running minimum from there on; NULL if none."""
+    up, down = (Window.partitionBy(t).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(f), F.desc(f)))
+    rows = series.select(t, f, F.max(c).over(up).alias("top"), F.min(c).over(down).alias("low"))
+    inside = (F.col(f) >= bounds[0] if bounds[0] is not None else F.lit(True)) & (F.col(f) < bounds[1] if bounds[1] is not None else F.lit(True))
+    return rows.groupBy(t).agg(F.min(F.when((F.col("top") == F.col("low")) & inside, F.col(f))).alias("start"))
+
+
+def displaced(tracks: DataFrame, t: str = "t", f: str = "f") -> DataFrame:
+    """tracks with dx, dy: the way from each track's first place."""
     w = _by(t, f)
-    rows = series.select(t, f, F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"), F.min(c).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("low"))
-    return rows.groupBy(t).agg(F.min(F.when(F.col("top") == F.col("low"), F.col(f))).alias("start"))
+    return tracks.withColumns({"dx": F.col("x") - F.first("x").over(w), "dy": F.col("y") - F.first("y").over(w)})
+
+
+def motion_onset(tracks: DataFrame, bounds: tuple[int | None, int | None] = (None, None), dataset: str = "dataset") -> DataFrame:
+    """(dataset, start): the frame before the one at which a dataset's motion, mean displacement times mean step, stops falling back.
+
+    Only frames in which every track of the dataset has a row count, up to the first that some track lacks. Steps are central differences.
+    """
+    moved = displaced(tracks).withColumns({"__step": F.hypot(gradient("x"), gradient("y"))})
+    frames = moved.groupBy(dataset, "f").agg((F.avg(F.hypot("dx", "dy")) * F.avg("__step")).alias("s"), F.count_distinct("t").alias("n"))
+    tracks_of = tracks.groupBy(dataset).agg(F.count_distinct("t").alias("members"))
+    frames = frames.join(tracks_of, dataset)
+    short = frames.groupBy(dataset).agg(F.min(F.when(F.col("n") < F.col("members"), F.col("f"))).alias("end"))
+    frames = frames.join(short, dataset).where((F.col("n") == F.col("members")) & (F.col("end").isNull() | (F.col("f") < F.col("end"))))
+    return running_extrema_start(frames, "s", dataset, "f", bounds).select(dataset, (F.col("start") - 1).alias("start"))
+
+
+def variable_smooth(series: DataFrame, c: str, width: Column, t: str = "t", f: str = "f") -> DataFrame:
+    """series with c smoothed by a Gaussian whose width is a Column of the row: weights exp(-(k / s)^2) over the rows k = -w .. w, w = round(2 s).
+
+    Rows beyond the ends are left out of sum and weights. Each row meets its own neighbours in one equi-join on (t, row number).
+    """
+    rows = series.withColumns({"__i": F.row_number().over(_by(t, f)), "__s": width.cast("double")})
+    reach = F.rint(2 * F.col("__s")).cast("int")
+    left = rows.select(t, "__i", F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s")).alias("__s"), F.explode(F.sequence(-reach, reach)).alias("__k"))
+    left = left.withColumn("__j", F.col("__i") + F.col("__k"))
+    right = rows.select(t, F.col("__i").alias("__j"), F.col(c).alias("__v"))
+    weight = F.exp(-F.pow(F.col("__k") / F.col("__s"), 2))
+    sums = left.join(right, [t, "__j"]).groupBy(t, "__i").agg((F.sum(weight * F.col("__v")) / F.sum(F.when(F.col("__v").isNotNull(), weight))).alias("__v"))
+    return rows.join(sums, [t, "__i"], "left").withColumn(c, F.col("__v")).select(*series.columns)
+
+
+def is_sorted(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
+    """(by, sorted): whether a value never falls along a group's order."""
+    step = F.col(value) >= F.lag(value).over(Window.partitionBy(by).orderBy(order))
+    return df.select(by, F.coalesce(step, F.lit(True)).alias("__ok")).groupBy(by).agg(F.bool_and("__ok").alias("sorted"))
+
+
+def every_kth(df: DataFrame, k: int, by: list[str] | None = None, f: str = "f") -> DataFrame:
+    """Rows of every k-th frame, counted from the first of all or of each group."""
+    first = df.groupBy(*(by or [])).agg(F.min(f).alias("__first"))
+    rows = df.join(first, by) if by else df.join(F.broadcast(first))
+    return rows.where((F.col(f) - F.col("__first")) % k == 0).drop("__first")
+
+
+def truncated(tracks: DataFrame, n: int, t: str = "t", f: str = "f") -> DataFrame:
+    """The first n rows of each track."""
+    return tracks.withColumn("__i", F.row_number().over(_by(t, f))).where(F.col("__i") <= n).drop("__i")
 
 
 def rezero(tracks: DataFrame, by: str, f: str = "f", backwards: bool = False) -> DataFrame:
@@ -145,9 +208,44 @@ def rezero(tracks: DataFrame, by: str, f: str = "f", backwards: bool = False) ->
     return tracks.join(ends, by).withColumn(f, F.col("__e") - F.col(f) if backwards else F.col(f) - F.col("__e")).drop("__e")
 
 
-def peaks(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rows above both neighbours (kind max) or below both (min)."""
+def peaks(df: DataFrame, x: str, y: str, by: list[str], lookahead: int = 1, delta: float = 0.0) -> DataFrame:
+    """Rows above all of the `lookahead` rows on either side (kind max), or below them (min), and by at least delta apart from the farthest.
+
+    A row needs that many neighbours on both sides.
+    """
     w = Window.partitionBy(*by).orderBy(x)
-    a, b = F.lag(y).over(w), F.lead(y).over(w)
-    kind = F.when((F.col(y) > a) & (F.col(y) > b), "max").when((F.col(y) < a) & (F.col(y) < b), "min")
-    return df.withColumn("kind", kind).where("kind is not null")
+    before, after = w.rowsBetween(-lookahead, -1), w.rowsBetween(1, lookahead)
+    v = F.col(y)
+    whole = (F.count(y).over(before) == lookahead) & (F.count(y).over(after) == lookahead)
+    high = (v > F.max(y).over(before)) & (v > F.max(y).over(after)) & (v - F.min(y).over(before) >= delta) & (v - F.min(y).over(after) >= delta)
+    low = (v < F.min(y).over(before)) & (v < F.min(y).over(after)) & (F.max(y).over(before) - v >= delta) & (F.max(y).over(after) - v >= delta)
+    return df.withColumn("kind", F.when(whole & high, "max").when(whole & low, "min")).where("kind is not null")
+
+
+def envelope(series: DataFrame, c: str, sigma: float | None = None, t: str = "t", f: str = "f") -> DataFrame:
+    """(t, f, envelope): a series' smooth course plus the amplitude of what it leaves, by the analytic signal.
+
+    sigma: of the smoothing, by default a tenth of the series' rows; 0 takes the mean. The transform needs a whole series, so a series is
+    one group of a vectorised function; NULLs are left out.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(f)
+        a = rows[c].to_numpy(float)
+        n = len(a)
+        width = n / 10 if sigma is None else sigma
+        if width:
+            r = int(4 * width + 0.5)
+            k = np.exp(-((np.arange(-r, r + 1) / width) ** 2) / 2)
+            smooth = np.convolve(np.pad(a, r, "symmetric"), k / k.sum(), "valid")
+        else:
+            smooth = np.full(n, a.mean())
+        turn = np.zeros(n)
+        turn[0] = 1
+        turn[1 : (n + 1) // 2] = 2
+        if n % 2 == 0:
+            turn[n // 2] = 1
+        return pd.DataFrame({t: rows[t], f: rows[f], "envelope": np.abs(np.fft.ifft(np.fft.fft(a - smooth) * turn)) + smooth})
+
+    kinds = dict(series.dtypes)
+    return series.select(t, f, F.col(c).cast("double").alias(c)).dropna().groupBy(t).applyInPandas(one, f"{t} {kinds[t]}, {f} {kinds[f]}, envelope double")

@@ -1,7 +1,7 @@
 """Structure within frames: pairs, neighbours, order parameters, pair distribution.
 
 Pairs within a distance come from a join on (frame, cell), one side copied to the nine cells around its own, so a frame's
-density and not its size bounds the pairs. Operators without a cut-off pair all dots of a frame, as the definitions ask.
+density and not its size bounds the pairs. Only `pairs` itself pairs all dots of a frame, as it is asked to.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfield.functions.scalars import project
 from pathfield.operators.binning import bin_index
+from pathfield.operators.sequence import every_kth
 
 
 def _side(dots: DataFrame, n: str, columns: list[str]) -> DataFrame:
-    return dots.select("f", *[F.col(c).alias(f"{c}{n}") for c in ("id", "x", "y", *columns)])
+    return dots.select("f", *[F.col(c).alias(f"{c}{n}") for c in dict.fromkeys(("id", "x", "y", *columns))])
 
 
 def pairs(dots: DataFrame, columns: list[str] | None = None, ordered: bool = False) -> DataFrame:
@@ -25,29 +27,86 @@ def pairs(dots: DataFrame, columns: list[str] | None = None, ordered: bool = Fal
     return a.join(b, "f").where(on).withColumn("d", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
 
 
-def close_pairs(dots: DataFrame, reach: float, columns: list[str] | None = None, ordered: bool = True) -> DataFrame:
-    """As pairs, those nearer than reach, by a join on cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    a = _side(dots, "1", columns or []).withColumns({"cx": cell("x1"), "cy": cell("y1")})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = _side(dots, "2", columns or []).withColumn("k", F.explode(around))
-    b = b.withColumns({"cx": cell("x2") + F.col("k.i"), "cy": cell("y2") + F.col("k.j")}).drop("k")
-    on = (F.col("id1") != F.col("id2")) if ordered else (F.col("id1") < F.col("id2"))
-    d = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    return a.join(b, ["f", "cx", "cy"]).where(on).withColumn("d", d).where(F.col("d") < reach).drop("cx", "cy")
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
 
+def _cells(a: DataFrame, b: DataFrame, size: Column) -> DataFrame:
+    """Rows of both sides in the same or neighbouring cells of a frame; size is a Column of either side."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])
+    a = a.withColumns({"__cx": cell("x1"), "__cy": cell("y1")})
+    b = b.withColumn("__k", F.explode(around))
+    b = b.withColumns({"__cx": cell("x2") + F.col("__k.i"), "__cy": cell("y2") + F.col("__k.j")}).drop("__k")
+    return a.join(b, ["f", "__cx", "__cy"]).drop("__cx", "__cy")
 
-def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float | None = None) -> DataFrame:
-    """The k nearest of each dot in its frame, ties by id: pairs with rank. reach: none beyond it, found by cells."""
-    found = pairs(dots, columns, True) if reach is None else close_pairs(dots, reach, columns)
-    w = Window.partitionBy("f", "id1").orderBy("d", "id2")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+def _distance() -> Column:
+    return F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
 
-def adaptive_neighbours(dots: DataFrame, most: int, factor: float) -> DataFrame:
-    """Of each dot's nearest `most`, those within factor times its mean distance to them."""
-    near = knn(dots, most)
-    return near.withColumn("limit", factor * F.avg("d").over(Window.partitionBy("f", "id1"))).where("d <= limit").drop("limit")
+
+def close_pairs(dots: DataFrame, reach: float, columns: list[str] | None = None, ordered: bool = True, closed: bool = False) -> DataFrame:
+    """As pairs, those nearer than reach (or as near, if closed), by a join on cells of that size."""
+    on = (F.col("id1") != F.col("id2")) if ordered else (F.col("id1") < F.col("id2"))
+    found = _cells(_side(dots, "1", columns or []), _side(dots, "2", columns or []), F.lit(reach * (1 + 1e-9))).where(on).withColumn("d", _distance())
+    return found.where(F.col("d") <= reach if closed else F.col("d") < reach)
+
+
+def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float | None = None, ties: int | None = None) -> DataFrame:
+    """The k nearest of each dot in its frame, ties by id: pairs with rank. reach: none beyond it, found by cells. ties: distances count as equal to so many digits.
+
+    Without reach, a frame's cells have a size by which a dot has about six times k others in the nine around it. A dot with k of them
+    within that size has its nearest there; only the few others meet all dots of their frame.
+    """
+    order = Window.partitionBy("f", "id1").orderBy(F.col("d") if ties is None else F.round("d", ties), "id2")
+    top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if reach is not None:
+        return top(close_pairs(dots, reach, columns))
+    box = dots.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    longest = F.greatest("w", "h")
+    side = F.greatest(F.sqrt(2.0 * k * F.col("w") * F.col("h") / F.col("n")), 2.0 * k * longest / F.col("n"))
+    size = box.select("f", F.when(side > 0, side).otherwise(1.0).alias("__s"))
+    a = _side(dots, "1", columns or []).join(size, "f")
+    b = _side(dots, "2", columns or []).join(size.withColumnRenamed("__s", "__s2"), "f")
+    b = b.withColumn("__k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])))
+    cell = lambda c, s: F.floor(F.col(c) / F.col(s))
+    a = a.withColumns({"__cx": cell("x1", "__s"), "__cy": cell("y1", "__s")})
+    b = b.withColumns({"__cx": cell("x2", "__s2") + F.col("__k.i"), "__cy": cell("y2", "__s2") + F.col("__k.j")}).drop("__k", "__s2")
+    near = a.join(b, ["f", "__cx", "__cy"]).drop("__cx", "__cy").where("id1 <> id2").withColumn("d", _distance()).where(F.col("d") <= F.col("__s") * (1 - 1e-9)).drop("__s")
+    settled = near.groupBy("f", "id1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("f", "id1")
+    rest = _side(dots, "1", columns or []).join(settled, ["f", "id1"], "left_anti").join(_side(dots, "2", columns or []), "f").where("id1 <> id2").withColumn("d", _distance())
+    return top(near.join(settled, ["f", "id1"], "left_semi").unionByName(rest))
+
+
+def diameter(dots: DataFrame, directions: int = 32) -> DataFrame:
+    """(f, d): the largest distance between two dots of each frame; 0 for a single one.
+
+    The extents in some directions give a lower bound w. The farthest two lie at least w less the radius about the middle
+    away from it, so only the dots near the rim are paired.
+    """
+    turns = F.array(*[F.struct(F.lit(math.cos(math.pi * k / directions)).alias("c"), F.lit(math.sin(math.pi * k / directions)).alias("s")) for k in range(directions)])
+    along = dots.select("f", "x", "y", F.posexplode(turns).alias("k", "u")).select("f", "k", (F.col("x") * F.col("u.c") + F.col("y") * F.col("u.s")).alias("p"))
+    width = along.groupBy("f", "k").agg((F.max("p") - F.min("p")).alias("w")).groupBy("f").agg(F.max("w").alias("w"))
+    rows = centred(dots).join(width, "f").where(F.col("d0") >= F.col("w") * (1 - 1e-9) - F.col("d_max"))
+    far = pairs(rows).groupBy("f").agg(F.max("d").alias("far"))
+    return width.join(far, "f", "left").select("f", F.greatest(F.coalesce("far", F.lit(0.0)), F.lit(0.0)).alias("d"))
+
+
+def adaptive_neighbours(dots: DataFrame, most: int, factor: float, of: str = "mean", least: int = 0) -> DataFrame:
+    """Of each dot's nearest `most`, those within factor times the mean, least ('min'), largest ('max') or median of its distances to them.
+
+    A dot left with fewer than `least` has none.
+    """
+    w = Window.partitionBy("f", "id1")
+    scale = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}[of]
+    near = knn(dots, most).withColumn("limit", factor * scale("d").over(w)).where("d <= limit").drop("limit")
+    return near if not least else near.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") >= least).drop("__n")
+
+
+def close_ratio_neighbours(dots: DataFrame, most: int = 4, ratio: float = 1.8, least: int = 2) -> DataFrame:
+    """Of each dot's nearest `most`, those whose squared distance is below ratio times the least; dots left with fewer than `least` have none."""
+    w = Window.partitionBy("f", "id1")
+    near = knn(dots, most).withColumn("limit", ratio * F.pow(F.min("d").over(w), 2)).where("d * d < limit").drop("limit")
+    return near.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") >= least).drop("__n")
 
 
 def bond_angles(neighbours: DataFrame) -> DataFrame:
@@ -57,6 +116,15 @@ def bond_angles(neighbours: DataFrame) -> DataFrame:
     return neighbours.withColumn("angle", angle).withColumn("relative", F.pmod(F.col("angle") - first, F.lit(2 * math.pi)))
 
 
+def angle_gaps(neighbours: DataFrame, k: int) -> DataFrame:
+    """(f, id, gap): angles between the neighbours that follow each other around a dot, for dots with exactly k of them."""
+    a = bond_angles(neighbours)
+    w = Window.partitionBy("f", "id1")
+    after = F.lead("angle").over(w.orderBy("angle", "id2"))
+    gap = F.coalesce(after, F.min("angle").over(w) + 2 * math.pi) - F.col("angle")
+    return a.withColumns({"gap": gap, "n": F.count(F.lit(1)).over(w)}).where(F.col("n") == k).select("f", F.col("id1").alias("id"), "gap")
+
+
 def psi_complex(neighbours: DataFrame, m: int = 4) -> DataFrame:
     """(f, id, re, im, n): mean of exp(i m angle) over a dot's neighbours."""
     a = bond_angles(neighbours)
@@ -74,10 +142,22 @@ def psi_global(neighbours: DataFrame, m: int = 4) -> DataFrame:
     return g.select("f", F.hypot("re", "im").alias("psi"), (F.atan2("im", "re") / m).alias("phase"))
 
 
-def phi_global(dots: DataFrame, m: int = 4) -> DataFrame:
-    """(f, phi, phase): molecular order of each frame's orientations."""
-    g = dots.groupBy("f").agg(F.avg(F.cos(m * F.col("o"))).alias("re"), F.avg(F.sin(m * F.col("o"))).alias("im"))
-    return g.select("f", F.hypot("re", "im").alias("phi"), (F.atan2("im", "re") / m).alias("phase"))
+def phi_global(dots: DataFrame, m: int = 4, margin: float | None = None) -> DataFrame:
+    """(f, phi, phase, stderr): molecular order of each frame's orientations, of the dots inside the margin if given.
+
+    stderr: the deviation of the dots' complex values about their mean, over the root of their number.
+    """
+    rows = dots if margin is None else inside(dots, margin)
+    g = rows.groupBy("f").agg(F.avg(F.cos(m * F.col("o"))).alias("re"), F.avg(F.sin(m * F.col("o"))).alias("im"), F.count("o").alias("n"))
+    rest = F.greatest(1 - F.col("re") * F.col("re") - F.col("im") * F.col("im"), F.lit(0.0))
+    return g.select("f", F.hypot("re", "im").alias("phi"), (F.atan2("im", "re") / m).alias("phase"), F.sqrt(rest / F.col("n")).alias("stderr"))
+
+
+def phi_local(neighbours: DataFrame, m: int = 4) -> DataFrame:
+    """(f, id, phi): order of a dot's orientation differences to its neighbours, which have the columns o1 and o2."""
+    turn = F.col("o2") - F.col("o1")
+    g = neighbours.groupBy("f", F.col("id1").alias("id")).agg(F.avg(F.cos(m * turn)).alias("re"), F.avg(F.sin(m * turn)).alias("im"))
+    return g.select("f", "id", F.hypot("re", "im").alias("phi"))
 
 
 def density(neighbours: DataFrame, method: str = "dist") -> DataFrame:
@@ -96,20 +176,45 @@ def centred(dots: DataFrame) -> DataFrame:
     return out.withColumn("d_max", F.max("d0").over(w))
 
 
-def bulk_weight(dots: DataFrame, margin: float, side: float) -> DataFrame:
-    """(f, id, weight): share of a dot of that side that lies inside the frame's disk less a margin."""
-    depth = (F.col("d0") - (F.col("d_max") + side / 2 - margin)) / side
+def inside(dots: DataFrame, margin: float) -> DataFrame:
+    """Dots nearer to the middle of their frame than its farthest dot less a margin."""
+    return centred(dots).where(F.col("d0") < F.col("d_max") - margin).select(*dots.columns)
+
+
+def bulk_weight(dots: DataFrame, margin: float, side: float, radius: float | None = None) -> DataFrame:
+    """(f, id, weight): share of a dot of that side that lies inside the frame's disk less a margin. radius: of the disk, by default the farthest dot's outer side."""
+    edge = F.col("d_max") + side / 2 if radius is None else F.lit(radius)
+    depth = (F.col("d0") - (edge - margin)) / side
     return centred(dots).select("f", "id", F.greatest(F.least(0.5 - depth, F.lit(1.0)), F.lit(0.0)).alias("weight"))
 
 
-def pair_distribution(dots: DataFrame, bins: int, rmax: float, margin: float, side: float) -> DataFrame:
-    """(f, bin, g): radial distribution of each frame, corrected for the part of a ring that the disk leaves out."""
+def bulk_count(dots: DataFrame, margin: float, side: float, radius: float | None = None, whole: float | None = None) -> DataFrame:
+    """(f, n): sum of the bulk weights of each frame; whole: scaled to that many dots of a full frame."""
+    g = bulk_weight(dots, margin, side, radius).groupBy("f").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("all"))
+    return g.select("f", (F.col("w") if whole is None else F.col("w") * whole / F.col("all")).alias("n"))
+
+
+def bulk_density(dots: DataFrame, margins: list[float], side: float, radius: float) -> DataFrame:
+    """(margin, density): dots inside a disk less each margin, over what such a disk holds, summed over all frames. margins: a list known beforehand, each dot meets them all."""
+    capacity = lambda m: math.pi * ((radius - m) / side) ** 2
+    known = F.array(*[F.struct(F.lit(float(m)).alias("margin"), F.lit(capacity(m)).alias("capacity")) for m in margins])
+    rows = centred(dots).select("f", "d0", F.explode(known).alias("k")).select("f", "d0", "k.*")
+    depth = (F.col("d0") - (radius - F.col("margin"))) / side
+    sums = rows.groupBy("margin").agg(F.sum(F.greatest(F.least(0.5 - depth, F.lit(1.0)), F.lit(0.0))).alias("n"), F.max("capacity").alias("capacity"), F.count_distinct("f").alias("frames"))
+    return sums.select("margin", (F.col("n") / F.col("capacity") / F.col("frames")).alias("density"))
+
+
+def pair_distribution(dots: DataFrame, bins: int, rmax: float, margin: float, side: float, frame_step: int = 1) -> DataFrame:
+    """(f, bin, g): radial distribution of each frame, corrected for the part of a ring that the disk leaves out.
+
+    frame_step: of every so manieth frame, from the first one on. Only pairs within rmax are formed; bin i ends at (i + 1) rmax / bins.
+    """
+    if frame_step > 1:
+        dots = every_kth(dots, frame_step)
     rows = centred(dots)
-    p = pairs(rows, ["d0"])
-    half = p.groupBy("f").agg((F.max("d") / 2).alias("half"))
-    frames = rows.groupBy("f").agg(F.max("d_max").alias("top")).join(half, "f").select("f", (F.greatest("half", "top") + side / 2).alias("rs"))
+    frames = rows.groupBy("f").agg(F.max("d_max").alias("top")).join(diameter(dots), "f").select("f", (F.greatest(F.col("d") / 2, "top") + side / 2).alias("rs"))
     counts = rows.join(frames, "f").where(F.col("d0") <= F.col("rs") - margin).groupBy("f").agg(F.count(F.lit(1)).alias("inner"))
-    q = p.where("d > 0").join(frames, "f").join(counts, "f")
+    q = close_pairs(rows, rmax, ["d0"], False, True).where("d > 0").join(frames, "f").join(counts, "f")
     dr = rmax / bins
 
     def weight(c: str) -> Column:
@@ -123,22 +228,25 @@ def pair_distribution(dots: DataFrame, bins: int, rmax: float, margin: float, si
 
 def displacement_histogram(dots: DataFrame, bins: int, rmax: float) -> DataFrame:
     """(i, j, n): ordered pairs by their displacement in x and y, both within rmax."""
-    p = pairs(dots, None, True)
+    p = close_pairs(dots, rmax * math.sqrt(2) * (1 + 1e-12), None, True, True)
     i, j = bin_index(F.col("x2") - F.col("x1"), -rmax, rmax, bins), bin_index(F.col("y2") - F.col("y1"), -rmax, rmax, bins)
     return p.select(i.alias("i"), j.alias("j")).dropna().groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
-def radial_correlation(dots: DataFrame, value, columns: list[str], bins: int, rmax: float) -> DataFrame:
-    """(bin, n, c): mean over all pairs at a distance of value(first, second), a function of the two sides' Columns by name."""
-    p = pairs(dots, columns)
+def radial_correlation(dots: DataFrame, value, columns: list[str], bins: int, rmax: float, margin: float | None = None, total: bool = False) -> DataFrame:
+    """(bin, n, c): mean, or sum if total, over all pairs at a distance of value(first, second), a function of the two sides' Columns by name.
+
+    margin: of the dots inside it alone.
+    """
+    p = close_pairs(dots if margin is None else inside(dots, margin), rmax, columns, False, True)
     side = lambda n: {c: F.col(f"{c}{n}") for c in columns}
     rows = p.select(bin_index(F.col("d"), 0.0, rmax, bins).alias("bin"), value(side("1"), side("2")).alias("v")).where("bin is not null")
-    return rows.groupBy("bin").agg(F.count("v").alias("n"), F.avg("v").alias("c"))
+    return rows.groupBy("bin").agg(F.count("v").alias("n"), (F.sum("v") if total else F.avg("v")).alias("c"))
 
 
-def orientation_correlation(dots: DataFrame, bins: int, rmax: float, m: int = 4) -> DataFrame:
-    """(bin, n, c): mean cos(m (o1 - o2)) against distance."""
-    return radial_correlation(dots, lambda a, b: F.cos(m * (a["o"] - b["o"])), ["o"], bins, rmax)
+def orientation_correlation(dots: DataFrame, bins: int, rmax: float, m: int = 4, margin: float | None = None) -> DataFrame:
+    """(bin, n, c): mean cos(m (o1 - o2)) against distance, of the dots inside the margin if given."""
+    return radial_correlation(dots, lambda a, b: F.cos(m * (a["o"] - b["o"])), ["o"], bins, rmax, margin)
 
 
 def bond_correlation(neighbours: DataFrame, dots: DataFrame, bins: int, rmax: float, m: int = 4) -> DataFrame:
@@ -170,8 +278,11 @@ def square_overlaps(dots: DataFrame, half: float, shrink: float = 0.9) -> DataFr
     return p.where(~(apart[0] | apart[1] | apart[2] | apart[3])).select("f", "id1", "id2")
 
 
-def polygon_area(xs: Column, ys: Column) -> Column:
-    """Area of a polygon whose corners are given in order as two arrays."""
-    n = F.size(xs)
-    cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(xs, i) * F.get(ys, (i + 1) % n) - F.get(xs, (i + 1) % n) * F.get(ys, i))
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)) / 2
+def rectify(dots: DataFrame, m: int = 4) -> DataFrame:
+    """dots turned back by their frame's bond axis, the phase of the two nearest neighbours' order, about the frame's mean place."""
+    axis = psi_global(knn(dots, 2), m).select("f", F.col("phase").alias("__a"))
+    w = Window.partitionBy("f")
+    rows = dots.join(axis, "f").withColumns({"__x": F.col("x") - F.avg("x").over(w), "__y": F.col("y") - F.avg("y").over(w)})
+    x, y = project(F.col("__x"), F.col("__y"), F.col("__a"))
+    turned = rows.withColumns({"x": x, "y": y})
+    return (turned.withColumn("o", F.col("o") - F.col("__a")) if "o" in dots.columns else turned).select(*dots.columns)
