@@ -32,7 +32,7 @@ CAPACITY = 2048
 SMALLEST = 64
 END = 1
 #: Characters of words, and of their stems, kept with their ids by a worker before it starts anew.
-KNOWN_CHARS, STEM_CHARS = 4_000_000, 4_000_000
+KNOWN_CHARS, STEM_CHARS = 3_000_000, 3_000_000
 #: Characters tokenized at once; a longer text is cut after a space or line feed, if it has any.
 AT_ONCE = 1_500_000
 #: Signs that are split from a word's end.
