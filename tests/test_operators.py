@@ -136,7 +136,7 @@ def test_merge_and_scalars(spark):
 def test_detect_two_disks(spark):
     px = [(0, r, c, 1.0 if min((r - 8) ** 2 + (c - 8) ** 2, (r - 20) ** 2 + (c - 22) ** 2) <= 9 else 0.0) for r in range(30) for c in range(30)]
     pixels = spark.createDataFrame(px, "f int, r int, c int, v double")
-    got = detect.segments(detect.label(detect.convolve(pixels, detect.disk_kernel(spark, 1.0, 2.0)), 2.0), 3, 100, 0.9).orderBy("x").collect()
+    got = detect.segments(detect.label(detect.convolve(pixels, detect.disk_kernel(1.0, 2.0)), 2.0), 3, 100, 0.9).orderBy("x").collect()
     assert [(round(g.x), round(g.y)) for g in got] == [(8, 8), (22, 20)]
 
 
