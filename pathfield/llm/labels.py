@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of the chosen labels' documents; of rows that repeat an id the one with the least text, so that the sample is the same every time."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, as text, leaves that remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))

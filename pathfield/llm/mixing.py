@@ -75,20 +75,19 @@ def poisson_mix(docs: DataFrame, shares: DataFrame | None = None, rows: int | No
     """The columns of docs and copy (from 1), shuffle_key: each document once for every copy, in an order dealt by shuffle_key."""
     names = docs.columns
     copy, order = added(names, "copy"), added(names, "shuffle_key")
+    key, of, parts, sums, n, block = (added(names, f"__{x}") for x in ("key", "of", "parts", "sums", "n", "block"))
     rates = source_rates(docs, shares, rows)
-    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("long")
-    table = rates.select("source", parts.alias("parts"), F.col("rate")).select("source", "parts", cumulative(F.col("rate") / F.col("parts")).alias("sums"))
+    pieces = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("long")
+    table = rates.select("source", "rate", pieces.alias("pieces")).select(F.col("source").alias(of), F.col("pieces").alias(parts), cumulative(F.col("rate") / F.col("pieces")).alias(sums))
     table = sized(table, rates.count(), SOURCES)
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit(seed))
-    packed = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    counted = packed.join(table, F.col("row.source").eqNullSafe(F.col("source")), "left").withColumn("n", drawn(F.col("key"), F.col("parts"), F.col("sums"))).where("n > 0")
+    text = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit(seed))
+    counted = docs.withColumn(key, text).join(table, F.col("source").eqNullSafe(F.col(of)), "left").withColumn(n, drawn(F.col(key), F.col(parts), F.col(sums))).where(F.col(n) > 0)
     # a document's copies are exploded in blocks, so that no array grows with the rate
-    blocks = counted.select("row", "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))).alias("block"))
-    last = F.least(F.col("n"), (F.col("block") + 1) * BLOCK)
-    copies = blocks.select("row", "key", F.explode(F.sequence(F.col("block") * BLOCK + 1, last)).alias("copy")).withColumn("copy", F.col("copy").cast("int"))
-    deal = F.md5(F.concat_ws("|", "key", F.col("copy").cast("string"), F.lit("order")))
-    mixed = copies.select(*[F.col("row").getField(n).alias(n) for n in names], F.col("copy").alias(copy), deal.alias(order))
-    return mixed.repartition(F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
+    blocks = counted.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BLOCK))))
+    last = F.least(F.col(n), (F.col(block) + 1) * BLOCK)
+    copies = blocks.withColumn(copy, F.explode(F.sequence(F.col(block) * BLOCK + 1, last))).withColumn(copy, F.col(copy).cast("int"))
+    mixed = copies.withColumn(order, F.md5(F.concat_ws("|", F.col(key), F.col(copy).cast("string"), F.lit("order"))))
+    return mixed.select(*[F.col(f"`{c}`") for c in (*names, copy, order)]).repartition(F.col(order)).sortWithinPartitions(order)
 
 
 def added(names: list[str], name: str) -> str:

@@ -9,7 +9,8 @@ plus its distance reaches that bound is ranked by exact cosines on the original
 Queries come in blocks of bounded size, each met with all candidates where these lie; no pair is shuffled but the few
 nearest of each part. Defined results: vectors that are null, zero, hold null or non-finite components, or don't have the
 most common length (the larger of equally common ones) take no part; equal scores go to the smaller vec_id; a repeated vec_id is
-a candidate once for each distinct row and never of its own query; a query without candidates has no row.
+a candidate once for each distinct row and never of its own query; a query without candidates has no row; an empty table has an empty
+result; of the table's columns only vec_id and embedding are read, so others may have any name. Results don't depend on how the table is dealt.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ is split into sequences whose lengths are powers of two, which need no padding.
 their class are mixed with each other.
 
 Defined results: a null or empty text is one id, the end mark. Rows that repeat a doc_id are documents of their own. Very
-long texts are cut like all others; memory follows one text and the open bins (at most capacity ids for a class).
+long texts are cut like all others; memory follows one text and the open bins (at most capacity ids for a class). An empty table has an
+empty result; of the table's columns only doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations

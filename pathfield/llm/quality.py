@@ -7,7 +7,8 @@ through the logistic function.
 
 The model is fitted on a bounded sample of labelled rows (FIT); scoring covers every row and the whole of every text. Defined
 results: a null text counts as empty, an empty one has all features 0 and gets the score of that bin; without labels of both
-kinds every score is the smoothed share of label 1; rows that repeat get the same score.
+kinds every score is the smoothed share of label 1; rows that repeat get the same score; very long texts have the same features; an empty
+table has an empty result; of the table's columns only doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathfield.llm.common import read
-from pathfield.llm.labels import held_out, training_labels
+from pathfield.llm.labels import held_out, labelled_texts, training_labels
 
 #: Labelled rows the model is fitted on, at most.
 FIT = 20_000
@@ -157,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", mos
     """Model from the labelled documents outside the held-out fold. Only features come to the driver, at most `most` rows."""
     chosen = training_labels(labels, column, folds, fold, most)
     values = F.pandas_udf(lambda s: pd.Series([list(features(t or "")) for t in s]), "array<double>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", values("text").alias("x")).limit(2 * most).toPandas()
+    rows = labelled_texts(docs, chosen).select("doc_id", "y", values("text").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_additive(x, rows["y"].to_numpy(float))
 

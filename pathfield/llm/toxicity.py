@@ -8,7 +8,8 @@ are scored; a text's logit is that of its highest window, calibrated to a probab
 Training is multiple-instance learning on a bounded sample of labelled texts (FIT): each step learns from the highest window of
 every text. Scoring covers every row and the whole of every text. Defined results: null and empty texts, and those
 of white space, score 0; a word of over PART characters is read as several; without labels of both kinds every other
-text gets the smoothed share of label 1; rows that repeat get the same score.
+text gets the smoothed share of label 1; rows that repeat get the same score; an empty table has an empty result; of the table's
+columns only doc_id and text are read, so others may have any name. Labelled texts of over LONGEST characters are not learnt from, but scored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathfield.llm.common import read
-from pathfield.llm.labels import held_out, training_labels
+from pathfield.llm.labels import held_out, labelled_texts, training_labels
 
 #: Labelled texts trained on, at most, half of them of each label where there are so many; longest of them in characters.
 FIT, LONGEST = 3_000, 20_000
@@ -377,7 +378,7 @@ def _scorer(held, key: str):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = FIT, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """Network from a bounded sample of labelled documents outside the held-out fold, each of at most LONGEST characters."""
     chosen = training_labels(labels, column, folds, fold, most, balanced=True)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("text", "y").limit(2 * most).toPandas()
+    rows = labelled_texts(docs.where(F.length("text") <= LONGEST), chosen).toPandas().sort_values("doc_id")
     outside = labels.where(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col(column).cast("double")).alias("share"), F.count(column).alias("n")).first()
     share = ((outside.share or 0.0) * outside.n + 1) / (outside.n + 2)
     return train(rows["text"].tolist(), rows["y"].to_numpy(float), share)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pathfield.llm import fingerprints, jaccard, languages, licenses, mixing, neighbours, packing, quality, toxicity, urls
 from pathfield.llm.common import staged
-from pathfield.llm.components import components
+from pathfield.operators.graph import components
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, bucket int, label string"
@@ -498,3 +498,28 @@ def test_pipeline(spark, odd, none):
             assert name == "packing" or out.columns == rows.columns
             rows = out if name != "packing" else rows
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+CLASHING = "row long, key long, found long, id long, host long, source_ long, n long, c long, one long, doc long, prior long, bucket long, tie long, digest long, copy long, rank long"
+
+
+def test_names_of_the_caller_stay(spark, docs, labels):
+    """Every stage of the pipeline over a table whose other columns have the names that operators use themselves."""
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    extra = docs.limit(60).select("*", *[F.lit(k).cast("long").alias(n) for k, n in enumerate(names)])
+    model = quality.fit_quality(extra, labels)
+    for kept in (quality.keep_quality(extra, model), languages.keep_identified(extra), jaccard.keep_one(extra), mixing.poisson_mix(extra).select(*extra.columns)):
+        assert kept.columns == extra.columns
+        seen = kept.select(*names).distinct().collect()
+        assert [tuple(r) for r in seen] == [tuple(range(len(names)))]
+    for other in (fingerprints.fingerprint_chain(extra), packing.harmonic_pack(extra, packing.tokenizer_path()), licenses.scan_licenses(extra), languages.identify(extra), jaccard.jaccard_components(extra)):
+        assert other.count() >= 60
+
+
+def test_fits_are_the_same_every_time(spark, docs, labels):
+    """Repeated ids, in any order and partitions, give the same model."""
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), F.col("text"))))
+    a, b = (quality.fit_quality(d, labels) for d in (twice, twice.repartition(5, "text")))
+    texts = [r.text for r in docs.limit(20).collect()]
+    x = np.array([quality.features(t) for t in texts], float)
+    assert a.score(x).tolist() == b.score(x).tolist()
