@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -75,7 +76,9 @@ class WordEncoder:
     def parts(word: str) -> tuple[str, str]:
         """The stem and the signs at a word's end; the word as it is where these might be one token."""
         stem = word.rstrip(SIGNS)
-        if not stem or not stem[-1].isalnum():
+        # the vocabulary composes and lower-cases first, which can leave a mark behind a letter
+        last = stem[-1:] if stem.isascii() else unicodedata.normalize("NFC", stem).lower()[-1:]
+        if not last.isalnum():
             return word, ""
         return stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem, word[len(stem) :]
 
