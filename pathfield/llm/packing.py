@@ -15,6 +15,7 @@ empty result; of the table's columns only doc_id and text are read, so others ma
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 import unicodedata
@@ -51,6 +52,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def _stays(c: str) -> bool:
+    """Whether a character is a letter or digit, and still ends as one when the vocabulary has composed and lower-cased it, which can leave a mark behind a letter."""
+    return c.isalnum() and unicodedata.normalize("NFC", c).lower()[-1].isalnum()
+
+
 class WordEncoder:
     """Ids of a text, by the ids of its words.
 
@@ -76,9 +83,7 @@ class WordEncoder:
     def parts(word: str) -> tuple[str, str]:
         """The stem and the signs at a word's end; the word as it is where these might be one token."""
         stem = word.rstrip(SIGNS)
-        # the vocabulary composes and lower-cases first, which can leave a mark behind a letter
-        last = stem[-1:] if stem.isascii() else unicodedata.normalize("NFC", stem).lower()[-1:]
-        if not last.isalnum():
+        if not stem or not _stays(stem[-1]):
             return word, ""
         return stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem, word[len(stem) :]
 
