@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pathfield.llm import licenses, mixing, urls
+from pathfield.llm import leaks, licenses, manifest, mixing, urls
 
 _LOWER = f"'{ascii_uppercase}', '{ascii_lowercase}'"
 
@@ -115,4 +115,70 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """
 
-ORACLES = {"op3_url_filters": _urls(), "op4_jaccard": _jaccard(), "op5_license_scans": _licenses(), "op8_mixing": _mixing(), "op10_nearest": _NEAREST}
+def _framed(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _manifest() -> str:
+    leaf = lambda n: "sha256(" + " || ".join(_framed(n if c == "n_chars" else c) for c in manifest.FIELDS) + ")"
+    #: crc32 of a decimal number, bit by bit over its digits
+    step = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+crc(doc_id, s, i, bit, c) AS (
+  SELECT doc_id, s, 1, 0, xor(4294967295, CAST(ascii(s) AS BIGINT)) FROM ids
+  UNION ALL SELECT doc_id, s, CASE WHEN bit = 7 THEN i + 1 ELSE i END, (bit + 1) % 8,
+    CASE WHEN bit = 7 AND i < length(s) THEN xor({step}, CAST(ascii(substr(s, i + 1, 1)) AS BIGINT)) ELSE {step} END FROM crc WHERE i <= length(s)),
+touched AS (SELECT doc_id FROM crc WHERE i > length(s) AND xor(c, 4294967295) % 7 = 0),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, {leaf("n_chars")} AS leaf,
+    CASE WHEN doc_id IN (SELECT doc_id FROM touched) THEN {leaf("CAST(n_chars AS HUGEINT) + 1")} END AS given FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+low(tree, k, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT tree, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, k, pos // 2, n),
+tops AS (SELECT tree, h, k AS depth, count(*) OVER () AS n FROM low WHERE n = 1),
+high(k, pos, h, n) AS (
+  SELECT 0, tree, h, n FROM tops
+  UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY k, pos // 2, n),
+steps AS (
+  SELECT p.tree, p.pos, l.k, (p.pos >> l.k) % 2 = 1 AS before, s.h FROM placed p JOIN low l ON l.tree = p.tree AND l.pos = p.pos >> l.k AND l.n > 1
+    LEFT JOIN low s ON s.tree = p.tree AND s.k = l.k AND s.pos = xor(l.pos, 1)
+  UNION ALL SELECT p.tree, p.pos, t.depth + l.k, l.pos % 2 = 1, s.h FROM placed p JOIN tops t USING (tree) JOIN high l ON l.pos = p.tree >> l.k AND l.n > 1
+    LEFT JOIN high s ON s.k = l.k AND s.pos = xor(l.pos, 1)),
+proofs AS (SELECT tree, pos, string_agg(h, '' ORDER BY k) AS proof FROM steps GROUP BY tree, pos),
+fold(tree, pos, k, h) AS (
+  SELECT tree, pos, 0, coalesce(given, leaf) FROM placed
+  UNION ALL SELECT f.tree, f.pos, f.k + 1, sha256(CASE WHEN s.before THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END) FROM fold f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.k = f.k),
+ends AS (SELECT tree, pos, arg_max(h, k) AS h FROM fold GROUP BY tree, pos),
+root AS (SELECT h FROM high WHERE n = 1)
+SELECT doc_id, leaf, t.h AS subroot, root.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, e.h AS folded_root, e.h = root.h AS verified
+FROM placed p JOIN tops t USING (tree) JOIN ends e ON e.tree = p.tree AND e.pos = p.pos LEFT JOIN proofs o ON o.tree = p.tree AND o.pos = p.pos, root
+"""
+
+
+def _leaks() -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+items AS (SELECT item_id, {words} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), {leaks.WINDOW}) AS k, array_to_string(w[i:i + {leaks.WINDOW - 1}], ' ') AS g FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - {leaks.WINDOW - 1}, 1) + 1)) AS i) WHERE len(w) > 0),
+found AS (
+  SELECT r, i, windows.k, item_id
+  FROM (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM docs, (SELECT DISTINCT k FROM windows), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)) s JOIN windows ON windows.k = s.k AND windows.g = s.g),
+hits AS (SELECT r, count(DISTINCT j) AS n FROM found, LATERAL (SELECT unnest(range(i, i + k)) AS j) GROUP BY r),
+listed AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits h USING (r) LEFT JOIN listed l USING (r)
+"""
+
+
+ORACLES = {
+    "op11_manifest": _manifest(),
+    "op12_leaks": _leaks(),
+    "op3_url_filters": _urls(),
+    "op4_jaccard": _jaccard(),
+    "op5_license_scans": _licenses(),
+    "op8_mixing": _mixing(),
+    "op10_nearest": _NEAREST,
+}
