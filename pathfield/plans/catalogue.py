@@ -465,7 +465,7 @@ _SCALE = (
 
 
 def _decay(d: DataFrame, method: str) -> DataFrame:
-    c = lag.lag_pairs(d, ["o"]).groupBy("t", "tau").agg(F.avg(F.cos(F.col("o2") - F.col("o1"))).alias("c"))
+    c = lag.orientation_means(d).select("t", "tau", F.col("cc").alias("c"))
     return lag.decay_scale(c, "tau", "c", ["t"], method)
 
 
