@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pathfield.operators.binning import bin_index
 from pathfield.operators.groups import kurtosis_test, moments, skew_test, uneven_mean_weighted
 from pathfield.operators.lag import field_autocorr
-from pathfield.operators.sequence import gauss_filter
+from pathfield.operators.scans import Scan
+from pathfield.operators.sequence import gauss_filtered
 from pathfield.operators.spatial import close_pairs
 
 #: Velocity fields, as in schema.VELOCITY.
@@ -19,10 +20,11 @@ FIELDS = ["o", "v", "x", "y", "par", "perp", "eta", "etax", "etay", "etapar"]
 
 def velocities(tracks: DataFrame, width: float = 0.65, side: float = 1.0, fps: float = 1.0) -> DataFrame:
     """(t, f, o, v, x, y, par, perp, etax, etay, eta, etapar): smoothed derivatives, along and across o, and what a track's mean speed leaves."""
-    rows = tracks.select("t", "f", F.col("o").alias("a"), *[(gauss_filter(c, width, 1) * s).alias(f"v{c}") for c, s in (("o", fps), ("x", fps / side), ("y", fps / side))])
+    rows = gauss_filtered(tracks.select("t", "f", "x", "y", "o"), {f"__{c}": (c, width, 1) for c in "oxy"})
+    rows = rows.select("t", "f", F.col("o").alias("a"), *[(F.col(f"__{c}") * s).alias(f"v{c}") for c, s in (("o", fps), ("x", fps / side), ("y", fps / side))])
     c, s = F.cos("a"), F.sin("a")
     rows = rows.withColumns({"par": F.col("vx") * c + F.col("vy") * s, "perp": F.col("vx") * s - F.col("vy") * c})
-    rows = rows.withColumn("v0", F.avg("par").over(Window.partitionBy("t")))
+    rows = Scan(rows).add(__p=("total", F.col("par")), __n=("total", F.when(F.col("par").isNotNull(), 1))).done((F.col("__p") / F.col("__n")).alias("v0"))
     rows = rows.withColumns({"etax": F.col("vx") - F.col("v0") * c, "etay": F.col("vy") - F.col("v0") * s})
     return rows.select("t", "f", F.col("vo").alias("o"), F.hypot("vx", "vy").alias("v"), F.col("vx").alias("x"), F.col("vy").alias("y"), "par", "perp", "etax", "etay", F.hypot("etax", "etay").alias("eta"), (F.col("par") - F.col("v0")).alias("etapar"))
 

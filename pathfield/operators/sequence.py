@@ -1,4 +1,4 @@
-"""Ordered operators within tracks: windows over (t, f)."""
+"""Ordered operators within tracks, by running values that cut large tracks into pieces (`scans`); Columns that a caller puts into a select are plain windows over (t, f)."""
 
 from __future__ import annotations
 
@@ -9,18 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfield.operators.scans import LARGE, Scan, halo
+
 
 def _by(t: str, f: str):
     return Window.partitionBy(t).orderBy(f)
 
 
-def unwrap(tracks: DataFrame, o: str = "o", t: str = "t", f: str = "f") -> DataFrame:
+def unwrap(tracks: DataFrame, o: str = "o", t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
     """Angles without jumps of more than pi between a track's neighbouring known values; NULLs stay."""
-    w = _by(t, f)
-    before = F.last(F.when(F.col(o).isNotNull(), F.col(o)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.col(o) - before
-    turn = F.when(F.abs(step) > math.pi, F.signum(step)).otherwise(0.0)
-    return tracks.withColumn("__turn", F.coalesce(turn, F.lit(0.0))).withColumn(o, F.col(o) - 2 * math.pi * F.sum("__turn").over(w)).drop("__turn")
+    scan = Scan(tracks, t, f, large).add(__before=("before", F.col(o)))
+    step = F.col(o) - F.col("__before.v")
+    scan.with_columns(__turn=F.when(F.abs(step) > math.pi, F.signum(step)).otherwise(0.0)).add(__turns=("sum", F.coalesce("__turn", F.lit(0.0))))
+    return scan.with_columns(**{o: F.col(o) - 2 * math.pi * F.col("__turns")}).done()
 
 
 def dedupe(tracks: DataFrame, ties: str = "first", t: str = "t", f: str = "f", x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
@@ -39,45 +40,49 @@ def dedupe(tracks: DataFrame, ties: str = "first", t: str = "t", f: str = "f", x
     return scored.withColumn("__k", rank.over(order)).where("__k = 1").select(*tracks.columns)
 
 
-def densify(tracks: DataFrame, t: str = "t", f: str = "f", drop_over: int | None = None) -> DataFrame:
+def densify(tracks: DataFrame, t: str = "t", f: str = "f", drop_over: int | None = None, large: int | None = LARGE) -> DataFrame:
     """One row for every frame between a track's first and last; added rows have NULLs and is_filled.
 
     drop_over: tracks with a longer gap are left out.
     """
-    gap = F.lead(f).over(_by(t, f)) - F.col(f) - 1
-    rows = tracks.withColumn("__gap", F.coalesce(gap, F.lit(0)))
+    scan = Scan(tracks, t, f, large).add(__next=("lead", F.col(f))).with_columns(__gap=F.coalesce(F.col("__next.f") - F.col(f) - 1, F.lit(0)))
     if drop_over is not None:
-        rows = rows.withColumn("__most", F.max("__gap").over(Window.partitionBy(t))).where(F.col("__most") <= drop_over).drop("__most")
-    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__gap").cast("int"))))
+        scan.add(__most=("top", F.col("__gap")))
+        scan.df = scan.df.where(F.col("__most") <= drop_over)
+    rows = scan.done("__gap").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__gap").cast("int"))))
     own = F.col("__i") == 0
     keep = [F.col(c) if c == t else (F.col(f) + F.col("__i")).cast("int").alias(f) if c == f else F.when(own, F.col(c)).alias(c) for c in tracks.columns]
     return rows.select(*keep, (~own).alias("is_filled"))
 
 
-def interpolate(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f") -> DataFrame:
+def interpolate(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
     """NULL runs of at most so many frames become straight lines; at a track's ends the nearest value.
 
-    The known values before and after come from two running windows, one in descending order, so the work grows with a track's rows.
+    The known values before and after come from two running values, one from the end, so the work grows with a track's rows.
     """
-    past = _by(t, f).rowsBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(t).orderBy(F.desc(f)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(t)
-    out = tracks.withColumns({"__lo": F.min(f).over(whole), "__hi": F.max(f).over(whole)})
-    for k, c in enumerate(columns):
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(f).alias("f")))
-        out = out.withColumns({f"__a{k}": F.last(known, True).over(past), f"__b{k}": F.last(known, True).over(future)})
+    ends = {"__lo": ("top", -F.col(f)), "__hi": ("top", F.col(f))}
+    known = {f"__{n}{k}": (kind, F.col(c)) for k, c in enumerate(columns) for n, kind in (("a", "last"), ("b", "next"))}
+    scan = Scan(tracks, t, f, large).add(**ends, **known)
     filled = {}
     for k, c in enumerate(columns):
         a, b = F.col(f"__a{k}"), F.col(f"__b{k}")
-        run = F.coalesce(b["f"], F.col("__hi") + 1) - F.coalesce(a["f"], F.col("__lo") - 1) - 1
+        run = F.coalesce(b["f"], F.col("__hi") + 1) - F.coalesce(a["f"], -F.col("__lo") - 1) - 1
         line = a["v"] + (b["v"] - a["v"]) * F.try_divide((F.col(f) - a["f"]).cast("double"), (b["f"] - a["f"]).cast("double"))
         filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(run <= most, F.coalesce(line, a["v"], b["v"]))
-    return out.withColumns(filled).select(*tracks.columns)
+    return scan.with_columns(**filled).done()
 
 
-def repair(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f") -> DataFrame:
+def repair(tracks: DataFrame, columns: list[str], most: int = 10, t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
     """densify, then interpolate."""
-    return interpolate(densify(tracks, t, f), columns, most, t, f)
+    return interpolate(densify(tracks, t, f, large=large), columns, most, t, f, large)
+
+
+def differenced(tracks: DataFrame, name: str, c: str, central: bool = False, t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
+    """tracks with the step to the next row (the last row repeats the step before), or central differences by rows, one-sided at the ends."""
+    scan = Scan(tracks, t, f, large).add(__p=("lag", F.col(c)), __q=("lead", F.col(c)))
+    before, after = F.col("__p.v"), F.col("__q.v")
+    step = F.coalesce((after - before) / 2, after - F.col(c), F.col(c) - before) if central else F.coalesce(after - F.col(c), F.col(c) - before)
+    return scan.with_columns(**{name: step}).done(*([] if name in tracks.columns else [name]))
 
 
 def forward_difference(tracks: DataFrame, c: str, t: str = "t", f: str = "f") -> Column:
@@ -104,11 +109,12 @@ def gauss_weights(sigma: float, order: int = 0, truncate: float = 4.0) -> list[f
 def gauss_filter(c: str, sigma: float = 0.65, order: int = 1, t: str = "t", f: str = "f") -> Column:
     """Smoothed value or derivative by rows; beyond the ends the end values count on."""
     w, whole = _by(t, f), Window.partitionBy(t).orderBy(f).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weights = gauss_weights(sigma, order)
-    r = len(weights) // 2
-    first, last = F.first(c).over(whole), F.last(c).over(whole)
+    return _weighted(c, gauss_weights(sigma, order), w, F.first(c).over(whole), F.last(c).over(whole), F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(t)))
+
+
+def _weighted(c: str, weights: list[float], w, first: Column, last: Column, row: Column, n: Column) -> Column:
     # presence decides at the ends, so a NULL inside stays one
-    row, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(t))
+    r = len(weights) // 2
     terms = []
     for k, x in zip(range(-r, r + 1), weights, strict=True):
         value = F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w)
@@ -116,6 +122,17 @@ def gauss_filter(c: str, sigma: float = 0.65, order: int = 1, t: str = "t", f: s
     return sum(terms[1:], terms[0])
 
 
+def gauss_filtered(tracks: DataFrame, what: dict[str, tuple[str, float, int]], t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
+    """tracks with columns by name: (column, sigma, order) as in gauss_filter, in one pass. Groups of a cut track hold the rows that the filter reaches on either side."""
+    weights = {k: gauss_weights(sigma, order) for k, (_, sigma, order) in what.items()}
+    rows, keys = halo(tracks, max(len(w) // 2 for w in weights.values()), t, f, large)
+    w, inside = Window.partitionBy(*keys).orderBy("__row"), Window.partitionBy(*keys)
+    # the end values are in the groups that need them, as row 1 and row n
+    end = lambda c, at: F.max(F.when(F.col("__row") == at, F.col(c))).over(inside)
+    made = {k: _weighted(c, weights[k], w, end(c, F.lit(1)), end(c, F.col("__n")), F.col("__row"), F.col("__n")) for k, (c, *_) in what.items()}
+    return rows.withColumns(made).where("__own").select(*tracks.columns, *[k for k in what if k not in tracks.columns])
+
+
 def log_slope(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Slope of ln y over ln x between neighbouring rows, at their middle."""
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*by, F.col(x).alias("a"), F.ln(x).alias("lx"), F.ln(y).alias("ly"))
@@ -124,35 +141,36 @@ def log_slope(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return rows.where("mid is not null")
 
 
-def cumulative_trapezoid(df: DataFrame, y: str, x: str, t: str, name: str = "area") -> DataFrame:
+def cumulative_trapezoid(df: DataFrame, y: str, x: str, t: str, name: str = "area", large: int | None = LARGE) -> DataFrame:
     """df with the area under y over x, by trapezoids, from each group's first row to each row."""
-    w = Window.partitionBy(t).orderBy(x)
-    part = F.coalesce((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2, F.lit(0.0))
-    return df.withColumn("__part", part).withColumn(name, F.sum("__part").over(w)).drop("__part")
+    scan = Scan(df, t, x, large).add(__p=("lag", F.col(y)))
+    part = F.coalesce((F.col(x) - F.col("__p.f")) * (F.col(y) + F.col("__p.v")) / 2, F.lit(0.0))
+    return scan.with_columns(__part=part).add(__area=("sum", F.col("__part"))).with_columns(**{name: F.col("__area")}).done(name)
 
 
-def limited_means(series: DataFrame, c: str, t: str = "t", f: str = "f") -> DataFrame:
+def limited_means(series: DataFrame, c: str, t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
     """(t, lag, head, tail): means of the first and of the last L - lag values of each series."""
-    up, down = Window.partitionBy(t).orderBy(f), Window.partitionBy(t).orderBy(F.desc(f))
-    n = F.count(F.lit(1)).over(Window.partitionBy(t))
-    rows = series.select(t, F.row_number().over(up).alias("i"), F.row_number().over(down).alias("j"), n.alias("n"), F.avg(c).over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.avg(c).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("tail"))
-    heads = rows.select(t, (F.col("n") - F.col("i")).alias("lag"), "head")
-    tails = rows.select(t, (F.col("n") - F.col("j")).alias("lag"), "tail")
+    one, known = F.lit(1), F.when(F.col(c).isNotNull(), 1)
+    scan = Scan(series.select(t, f, c), t, f, large).add(
+        i=("sum", one), j=("sum_back", one), n=("total", one), __a=("sum", F.col(c)), __m=("sum", known), __b=("sum_back", F.col(c)), __k=("sum_back", known)
+    )
+    rows = scan.df
+    heads = rows.select(t, (F.col("n") - F.col("i")).alias("lag"), (F.col("__a") / F.col("__m")).alias("head"))
+    tails = rows.select(t, (F.col("n") - F.col("j")).alias("lag"), (F.col("__b") / F.col("__k")).alias("tail"))
     return heads.join(tails, [t, "lag"])
 
 
-def running_extrema_start(series: DataFrame, c: str, t: str, f: str, bounds: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+def running_extrema_start(series: DataFrame, c: str, t: str, f: str, bounds: tuple[int | None, int | None] = (None, None), large: int | None = LARGE) -> DataFrame:
     """(t, start): the first frame, within [low, high) if given, whose running maximum so far equals the running minimum from there on; NULL if none."""
-    up, down = (Window.partitionBy(t).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(f), F.desc(f)))
-    rows = series.select(t, f, F.max(c).over(up).alias("top"), F.min(c).over(down).alias("low"))
+    rows = Scan(series.select(t, f, c), t, f, large).add(top=("max", F.col(c)), low=("min_back", F.col(c))).df
     inside = (F.col(f) >= bounds[0] if bounds[0] is not None else F.lit(True)) & (F.col(f) < bounds[1] if bounds[1] is not None else F.lit(True))
     return rows.groupBy(t).agg(F.min(F.when((F.col("top") == F.col("low")) & inside, F.col(f))).alias("start"))
 
 
-def displaced(tracks: DataFrame, t: str = "t", f: str = "f") -> DataFrame:
+def displaced(tracks: DataFrame, t: str = "t", f: str = "f", large: int | None = LARGE) -> DataFrame:
     """tracks with dx, dy: the way from each track's first place."""
-    w = _by(t, f)
-    return tracks.withColumns({"dx": F.col("x") - F.first("x").over(w), "dy": F.col("y") - F.first("y").over(w)})
+    scan = Scan(tracks, t, f, large).add(__x=("first", F.col("x")), __y=("first", F.col("y")))
+    return scan.with_columns(dx=F.col("x") - F.col("__x.v"), dy=F.col("y") - F.col("__y.v")).done("dx", "dy")
 
 
 def motion_onset(tracks: DataFrame, bounds: tuple[int | None, int | None] = (None, None), dataset: str = "dataset") -> DataFrame:
@@ -199,7 +217,7 @@ def every_kth(df: DataFrame, k: int, by: list[str] | None = None, f: str = "f")
 
 def truncated(tracks: DataFrame, n: int, t: str = "t", f: str = "f") -> DataFrame:
     """The first n rows of each track."""
-    return tracks.withColumn("__i", F.row_number().over(_by(t, f))).where(F.col("__i") <= n).drop("__i")
+    return Scan(tracks, t, f).add(__i=("sum", F.lit(1))).done("__i").where(F.col("__i") <= n).drop("__i")
 
 
 def rezero(tracks: DataFrame, by: str, f: str = "f", backwards: bool = False) -> DataFrame:

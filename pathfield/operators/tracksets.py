@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfield.operators import groups, linking, sequence
+from pathfield.operators.scans import Scan
 
 
 def parse_slice(text: str | slice | None) -> slice:
@@ -38,11 +39,10 @@ def sliced(df: DataFrame, rows: str | slice | None, by: str = "t", order: str =
     step = s.step or 1
     if step < -1:
         raise ValueError("a step of -1 or more")
-    w = Window.partitionBy(by)
     if step == -1:
-        df = df.withColumn(order, F.max(order).over(w) - F.col(order))
+        df = Scan(df, by, order).add(__top=("top", F.col(order))).with_columns(**{order: F.col("__top") - F.col(order)}).done()
         step = 1
-    at = df.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count(F.lit(1)).over(w)})
+    at = Scan(df, by, order).add(__r=("sum", F.lit(1)), __n=("total", F.lit(1))).with_columns(__i=F.col("__r") - 1).done("__i", "__n")
     low, high = _position("__i", "__n", s.start, "0"), _position("__i", "__n", s.stop, "n")
     return at.where((F.col("__i") >= low) & (F.col("__i") < high) & ((F.col("__i") - low) % step == 0)).drop("__i", "__n")
 

@@ -281,12 +281,12 @@ def unwrap(d):
 
 @query("tracks_dense", "SELECT t, f, round(coalesce(lead(x) OVER w - x, x - lag(x) OVER w), 6) AS dx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f)")
 def diff_forward(d):
-    return d.select("t", "f", sequence.forward_difference(d, "x").alias("dx"))
+    return sequence.differenced(d, "dx", "x").select("t", "f", "dx")
 
 
 @query("tracks_dense", "SELECT t, f, round(coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w), 6) AS dx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f)")
 def gradient(d):
-    return d.select("t", "f", sequence.gradient("x").alias("dx"))
+    return sequence.differenced(d, "dx", "x", True).select("t", "f", "dx")
 
 
 def _gauss_sql(c: str, sigma: float = 0.65, order: int = 1) -> str:
@@ -303,7 +303,7 @@ _FILTER = "WINDOW w AS (PARTITION BY t ORDER BY f), z AS (PARTITION BY t ORDER B
 
 @query("tracks_dense", f"SELECT t, f, round({_gauss_sql('x')}, 6) AS dx FROM tracks_dense {_FILTER}")
 def gauss_derivative(d):
-    return d.select("t", "f", sequence.gauss_filter("x").alias("dx"))
+    return sequence.gauss_filtered(d, {"dx": ("x", 0.65, 1)}).select("t", "f", "dx")
 
 
 @query("tracks_dense", "SELECT t, f, round(sum(coalesce((f - lf) * (x + lx) / 2, 0)) OVER (PARTITION BY t ORDER BY f), 6) AS area FROM (SELECT *, lag(f) OVER w AS lf, lag(x) OVER w AS lx FROM tracks_dense WINDOW w AS (PARTITION BY t ORDER BY f))")
@@ -340,7 +340,7 @@ def repaired(d):
 
 @query("tracks_dense", f"SELECT t, f, round({_gauss_sql('x', 1.5, 0)}, 6) AS x FROM tracks_dense {_FILTER}")
 def gauss_smooth(d):
-    return d.select("t", "f", sequence.gauss_filter("x", 1.5, 0).alias("x"))
+    return sequence.gauss_filtered(d, {"x": ("x", 1.5, 0)}).select("t", "f", "x")
 
 
 @query("tracks_dense", "SELECT t, max(f) OVER (PARTITION BY t) - f AS f, id FROM tracks_dense")
