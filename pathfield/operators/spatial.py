@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfield.checkpoints import staged
 from pathfield.functions.scalars import project
 from pathfield.operators.binning import bin_index
 from pathfield.operators.sequence import every_kth
@@ -51,30 +52,94 @@ def close_pairs(dots: DataFrame, reach: float, columns: list[str] | None = None,
     return found.where(F.col("d") <= reach if closed else F.col("d") < reach)
 
 
+#: Dots of a cell, for each of k, from which it counts as crowded; dots in the cells around one, for each of k, that a search wants; halvings of a frame's width at most.
+CROWD, WANTED, DEEPEST = 64, 6, 40
+
+
 def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float | None = None, ties: int | None = None) -> DataFrame:
     """The k nearest of each dot in its frame, ties by id: pairs with rank. reach: none beyond it, found by cells. ties: distances count as equal to so many digits.
 
     Without reach, a frame's cells have a size by which a dot has about six times k others in the nine around it. A dot with k of them
-    within that size has its nearest there; only the few others meet all dots of their frame.
+    within that size has its nearest there; the few others search coarser cells (`_searched`). Where some cell is crowded, all dots search cells of their own depth.
     """
     order = Window.partitionBy("f", "id1").orderBy(F.col("d") if ties is None else F.round("d", ties), "id2")
     top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if reach is not None:
         return top(close_pairs(dots, reach, columns))
-    box = dots.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    dots = dots.where("x is not null and y is not null")
+    box = dots.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     longest = F.greatest("w", "h")
     side = F.greatest(F.sqrt(2.0 * k * F.col("w") * F.col("h") / F.col("n")), 2.0 * k * longest / F.col("n"))
     size = box.select("f", F.when(side > 0, side).otherwise(1.0).alias("__s"))
-    a = _side(dots, "1", columns or []).join(size, "f")
+    cell = lambda c, s: F.floor(F.col(c) / F.col(s))
+    crowd = dots.select("f", "x", "y").join(size, "f").groupBy("f", cell("x", "__s").alias("i"), cell("y", "__s").alias("j")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    a = _side(dots, "1", columns or [])
+    if crowd is not None and crowd > CROWD * k:
+        return top(_searched(a, dots, k, columns or [], box, True))
+    a = a.join(size, "f")
     b = _side(dots, "2", columns or []).join(size.withColumnRenamed("__s", "__s2"), "f")
     b = b.withColumn("__k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])))
-    cell = lambda c, s: F.floor(F.col(c) / F.col(s))
     a = a.withColumns({"__cx": cell("x1", "__s"), "__cy": cell("y1", "__s")})
     b = b.withColumns({"__cx": cell("x2", "__s2") + F.col("__k.i"), "__cy": cell("y2", "__s2") + F.col("__k.j")}).drop("__k", "__s2")
     near = a.join(b, ["f", "__cx", "__cy"]).drop("__cx", "__cy").where("id1 <> id2").withColumn("d", _distance()).where(F.col("d") <= F.col("__s") * (1 - 1e-9)).drop("__s")
     settled = near.groupBy("f", "id1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("f", "id1")
-    rest = _side(dots, "1", columns or []).join(settled, ["f", "id1"], "left_anti").join(_side(dots, "2", columns or []), "f").where("id1 <> id2").withColumn("d", _distance())
-    return top(near.join(settled, ["f", "id1"], "left_semi").unionByName(rest))
+    rest = _side(dots, "1", columns or []).join(settled, ["f", "id1"], "left_anti")
+    return top(near.join(settled, ["f", "id1"], "left_semi").unionByName(_searched(rest, dots, k, columns or [], box, False)))
+
+
+def _searched(seekers: DataFrame, dots: DataFrame, k: int, columns: list[str], box: DataFrame, clustered: bool) -> DataFrame:
+    """Pairs of each seeker (a side 1) with dots, its k nearest among them, by cells of several depths.
+
+    A cell of depth e is a 2^-e part of its frame's width. The deepest cell with k others in the nine around it bounds the distance to the k nearest by less than three of
+    its widths, so the nine cells two depths higher hold them. Where dots are clustered, a first search goes deeper, to the deepest nine cells with WANTED k dots, and only dots without k
+    within a cell's width go on. Dots at one place count up to the k + 1 with the least ids, as no more can be anyone's nearest; so cells are split until few dots share one.
+    Only dots far from a crowd meet it whole, and of these there are a few times k for each halving of the distance to it.
+    """
+    b = _side(dots, "2", columns)
+    if clustered:
+        place = Window.partitionBy("f", "x2", "y2").orderBy("id2")
+        b = b.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k + 1).drop("__r")
+    width = F.greatest("w", "h")
+    depth = F.least(F.ceil(F.log2(F.col("n") / k + 1) / 2), F.lit(DEEPEST)).cast("int")
+    grid = box.select("f", "x0", "y0", F.when(width > 0, width * (1 + 1e-9)).otherwise(1.0).alias("w"), depth.alias("deep"))
+    # cells of the deepest level; those above come by halving their numbers
+    at = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.col("w") * float(1 << DEEPEST)).cast("long")
+    up = lambda c, e="e", low=DEEPEST: F.call_function("shiftright", F.col(c), F.lit(low) - F.col(e) if isinstance(low, int) else F.col(low) - F.col(e))
+    depths = F.explode(F.sequence(F.lit(0), F.col("deep"))).alias("e")
+    if clustered:
+        # each frame is halved until its cells are no longer crowded
+        placed = b.join(grid, "f").groupBy("f", at("x2", "x0").alias("i"), at("y2", "y0").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+        every = placed.select("f", "i", "j", "n", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))).alias("e")).groupBy("f", "e", up("i").alias("i"), up("j").alias("j")).agg(F.sum("n").alias("n"))
+        even = every.groupBy("f", "e").agg(F.max("n").alias("n")).groupBy("f").agg(F.coalesce(F.min(F.when(F.col("n") <= CROWD * k, F.col("e"))), F.lit(DEEPEST)).alias("deep"))
+        grid = staged(grid.drop("deep").join(even, "f"), "grid")
+    b = b.join(grid, "f").withColumns({"__i": at("x2", "x0"), "__j": at("y2", "y0")}).drop("x0", "y0")
+    cells = b.groupBy("f", up("__i", "deep").alias("i"), up("__j", "deep").alias("j"), "deep").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("f", "deep", "i", "j", "n", depths).groupBy("f", "e", up("i", low="deep").alias("i"), up("j", low="deep").alias("j")).agg(F.sum("n").alias("n"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])).alias("k")
+    blocks = cells.select("f", "e", "i", "j", "n", around).groupBy("f", "e", (F.col("i") + F.col("k.i")).alias("i"), (F.col("j") + F.col("k.j")).alias("j")).agg(F.sum("n").alias("n"))
+    blocks = blocks.where(F.col("n") > k).select("f", "e", "i", "j", "n")
+    a = seekers.join(grid, "f").withColumns({"__i": at("x1", "x0"), "__j": at("y1", "y0")})
+    levels = a.select("f", "id1", "__i", "__j", depths).select("f", "id1", "e", up("__i").alias("i"), up("__j").alias("j")).join(blocks, ["f", "e", "i", "j"])
+    wanted = F.max(F.when(F.col("n") > WANTED * k, F.col("e")))
+    levels = levels.groupBy("f", "id1").agg(F.greatest(F.max("e") - 2, F.lit(0)).alias("sure"), F.coalesce(wanted, F.lit(0)).alias("near"))
+    # a frame with fewer than k others is met whole
+    a = a.join(levels, ["f", "id1"], "left").fillna(0, ["sure", "near"])
+    many = b.select("f", "id2", "x2", "y2", *[f"{c}2" for c in columns if c not in ("id", "x", "y")], "__i", "__j", depths)
+    many = many.withColumns({"__i": up("__i"), "__j": up("__j")})
+
+    def met(a: DataFrame, level: str) -> DataFrame:
+        rows = a.withColumn("e", F.col(level)).withColumns({"__i": up("__i"), "__j": up("__j")}).select("*", around)
+        rows = rows.withColumns({"__i": F.col("__i") + F.col("k.i"), "__j": F.col("__j") + F.col("k.j")}).drop("k")
+        found = rows.join(many, ["f", "e", "__i", "__j"]).where("id1 <> id2").withColumn("d", _distance())
+        return found.withColumn("__s", F.when(F.col("e") > 0, F.col("w") / F.pow(F.lit(2.0), F.col("e")) * (1 - 1e-9)).otherwise(F.lit(float("inf"))))
+
+    kept = ["f", *[c for c in seekers.columns if c != "f"], *[c for c in many.columns if c.endswith("2")], "d"]
+    if not clustered:
+        return met(a, "sure").select(*kept)
+    first = met(a, "near").where(F.col("d") <= F.col("__s"))
+    settled = first.groupBy("f", "id1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("f", "id1")
+    rest = met(a.join(settled, ["f", "id1"], "left_anti"), "sure")
+    return first.join(settled, ["f", "id1"], "left_semi").select(*kept).unionByName(rest.select(*kept))
 
 
 def diameter(dots: DataFrame, directions: int = 32) -> DataFrame:
