@@ -265,11 +265,14 @@ def planted(doc_id, text):
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
     w = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    n = F.size(w)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    body = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
-    return F.when(h % 10 == 0, F.when(n > 0, F.array_join(body, " ")).otherwise(text)).otherwise(text)
+    # arrays of one bind what would else be computed for every word
+    start = lambda w: F.struct(w.alias("w"), (g % F.size(w)).alias("a"), (3 + g % 8).alias("parts"))
+    bound = lambda s: F.struct(s["w"].alias("w"), s["a"].alias("a"), (1 + F.floor((F.size(s["w"]) - s["a"]) / s["parts"])).alias("p"))
+    body = lambda s: F.transform(s["w"], lambda x, i: F.when(i < s["a"], x).otherwise(F.get(s["w"], (s["a"] + (i - s["a"]) % s["p"]).cast("int"))))
+    made = F.array(w)
+    for step in (start, bound, body):
+        made = F.transform(F.filter(made, lambda x: F.size(x) > 0) if step is start else made, step)
+    return F.when(h % 10 == 0, F.coalesce(F.array_join(F.get(made, 0), " "), text)).otherwise(text)
 
 
 def op13_periodic(spark, sf_dir: str) -> DataFrame:
