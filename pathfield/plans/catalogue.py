@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathfield.functions import forms, scalars
-from pathfield.operators import binning, detect, fit, groups, lag, linking, noise, orient, sequence, shells, simulate, spatial, tracksets
+from pathfield.operators import binning, detect, fit, groups, lag, linking, noise, orient, sequence, shells, simulate, spatial, tracksets, voronoi
 from pathfield.sources import adapters
 from pathfield.streaming import frames
 
@@ -842,6 +842,40 @@ def corner_best_angle(d):
     return orient.match_corners(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.1, 0.05, 2, 1.5).select("f", "id", "orient")
 
 
+# -- Voronoi cells
+
+_BISECTED = (
+    "pair AS (SELECT a.f, a.id AS i, b.id AS j, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM points a JOIN points b ON a.f = b.f AND a.id <> b.id), "
+    # where the bisector of i and j, from its middle on, is nearer to k: c t <= r is what k leaves of it
+    "part AS (SELECT p.f, p.i, p.j, p.d, (p.dx * (k.y - p.y) - p.dy * (k.x - p.x)) / p.d AS c, ((k.x - p.x) ** 2 + (k.y - p.y) ** 2 - p.dx * (k.x - p.x) - p.dy * (k.y - p.y)) / 2 AS r FROM pair p JOIN points k ON k.f = p.f AND k.id NOT IN (p.i, p.j)), "
+    "edge AS (SELECT f, i, j, d, max(CASE WHEN c < 0 THEN r / c END) AS lo, min(CASE WHEN c > 0 THEN r / c END) AS hi FROM part GROUP BY ALL), "
+    "kept AS (SELECT *, hi - lo AS size FROM edge WHERE lo IS NULL OR hi IS NULL OR hi - lo > 1e-9)"
+)
+
+
+@query("points", f"{_BISECTED} SELECT f, i AS id, CASE WHEN count(size) = count(*) THEN round(sum(size * d) / 4, 6) END AS area, count(*) AS n, min(j) AS first FROM kept GROUP BY f, i")
+def voronoi_cells(d):
+    return voronoi.voronoi(d).select("f", "id", "area", F.size("edges").cast("long").alias("n"), F.array_min("edges.id").alias("first"))
+
+
+@query("points", f"{_BISECTED} SELECT f, i AS id1, j AS id2, round(d, 6) AS d, row_number() OVER (PARTITION BY f, i ORDER BY d, j) AS rank FROM kept")
+def voronoi_neighbours(d):
+    return voronoi.voronoi_neighbours(d).select("f", "id1", "id2", "d", "rank")
+
+
+@query("points", f"{_BISECTED} SELECT f, i AS id, CASE WHEN count(size) = count(*) THEN round(4 / sum(size * d), 4) ELSE 0 END AS dens FROM kept GROUP BY f, i", 4)
+def voronoi_density(d):
+    return voronoi.voronoi_density(voronoi.voronoi(d))
+
+
+@query(
+    "points",
+    f"{_BISECTED}, z AS (SELECT f, i AS id, avg(cos(6 * atan2(q.y - p.y, q.x - p.x))) AS re, avg(sin(6 * atan2(q.y - p.y, q.x - p.x))) AS im FROM kept JOIN points p USING (f) JOIN points q USING (f) WHERE p.id = i AND q.id = j GROUP BY f, i) SELECT f, id, round(sqrt(re * re + im * im), 6) AS psi FROM z",
+)
+def voronoi_psi(d):
+    return spatial.psi_local(voronoi.voronoi_neighbours(d), 6)
+
+
 # -- linking
 
 _PARENTS = (
