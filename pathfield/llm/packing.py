@@ -35,9 +35,11 @@ CAPACITY = 2048
 SMALLEST = 64
 END = 1
 #: Characters of words, and of their stems, kept with their ids by a worker before it starts anew.
-KNOWN_CHARS, STEM_CHARS = 3_000_000, 3_000_000
+KNOWN_CHARS, STEM_CHARS = 8_000_000, 6_000_000
 #: Characters tokenized at once; a longer text is cut after a space or line feed, if it has any.
 AT_ONCE = 1_500_000
+#: Stems of letters alone that are tokenized as one text; the ids that end words tell them apart.
+TOGETHER = 64
 #: Signs that are split from a word's end.
 SIGNS = ".,;:!?*$%#)\"'-"
 
@@ -71,6 +73,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: whether an id is the last of what the pre-tokenizer keeps together; None if the vocabulary doesn't tell
+        self.ends: list[bool] | None = None
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.ends = [(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
         self.chars = self.stem_chars = 0
@@ -82,9 +88,11 @@ class WordEncoder:
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
         """The stem and the signs at a word's end; the word as it is where these might be one token."""
-        stem = word.rstrip(SIGNS)
-        if not stem or not _stays(stem[-1]):
-            return word, ""
+        stem = word
+        if not word.isalpha():
+            stem = word.rstrip(SIGNS)
+            if not stem or not _stays(stem[-1]):
+                return word, ""
         return stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem, word[len(stem) :]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -123,12 +131,16 @@ class WordEncoder:
             self.stems, self.stem_chars = {"": b""}, 0
         split = [self.split(t) for _, t in held]
         known, stems = self.known, self.stems
-        words = list(set().union(*split) - known.keys())
-        parts = [self.parts(w) for w in words]
-        new = list({x for pair in parts for x in pair} - stems.keys())
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            stems[x] = _bytes(e.ids)
-        for w, (stem, signs) in zip(words, parts, strict=True):
+        words = set().union(*split).difference(known)
+        # words without signs share their stem's ids, others add the signs'
+        whole = list(filter(str.isalpha, words))
+        plain = [w.lower() if w.isascii() or max(w) < "\u0100" else w for w in whole]
+        signed = list(words.difference(whole))
+        parts = [self.parts(w) for w in signed]
+        new = set(plain).union(*parts).difference(stems)
+        self._tokenize(new)
+        known.update(zip(whole, map(stems.__getitem__, plain), strict=True))
+        for w, (stem, signs) in zip(signed, parts, strict=True):
             known[w] = stems[stem] + stems[signs]
         self.chars += sum(map(len, words))
         self.stem_chars += sum(map(len, new))
@@ -136,6 +148,24 @@ class WordEncoder:
             out[k].append(b"".join(map(known.__getitem__, x)))
 
 
+    def _tokenize(self, new: set[str]) -> None:
+        """The ids of stems and signs."""
+        stems, ends = self.stems, self.ends
+        plain = list(filter(str.isalpha, new)) if ends is not None else []
+        rest = list(new.difference(plain))
+        at_once = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for part, e in zip(at_once, self.tokenizer.encode_batch_fast([" ".join(p) for p in at_once], add_special_tokens=False), strict=True):
+            ids = e.ids
+            cuts = [4 * k for k, i in enumerate(ids, 1) if ends[i]]
+            if len(cuts) != len(part):  # a letter that the vocabulary takes apart
+                rest += part
+                continue
+            data = _bytes(ids)
+            stems.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            stems[x] = _bytes(e.ids)
+
+
 def _bytes(ids: list[int]) -> bytes:
     """Unsigned, little-endian, four bytes each."""
     found = array("I", ids)
