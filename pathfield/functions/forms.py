@@ -1,4 +1,4 @@
-"""Functional forms as Column expressions."""
+"""Functional forms as Column expressions; parameters are numbers or Columns. Without a colour (tr) the noise is white."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def powerlaw(t: Column, b=1.0, a=1.0, c=0.0) -> Column:
     return c + a * F.pow(t, F.lit(-b))
 
 
-def chained_power(t: Column, d1: float, d2: float, b1: float, b2: float, c1=0.0, c2=0.0) -> Column:
+def chained_power(t: Column, d1, d2, b1, b2=1.0, c1=0.0, c2=0.0) -> Column:
     """The larger of two growing power laws."""
     return F.greatest(c1 + d1 * F.pow(t, F.lit(b1)), c2 + d2 * F.pow(t, F.lit(b2)))
 
@@ -42,61 +42,72 @@ def poly_exp(x: Column, gamma: float, a: float, *c: float) -> Column:
     return a * F.exp(-F.pow(x, F.lit(gamma)) / poly)
 
 
-def shift_power(t: Column, tc=0.0, a=1.0, b=1.0, c=0.0) -> Column:
-    """c + a / (tc - t)^b before tc."""
-    return F.when(t < tc, c + a * F.pow(tc - t, F.lit(-b)))
+def shift_power(t: Column, tc=0.0, a=1.0, b=1.0, c=0.0, dt: float | None = None) -> Column:
+    """c + a / (tc - t)^b before tc. dt: the spacing of t, at which values within dt of tc stop growing; without it they have no bound."""
+    before = tc - t if dt is None else F.greatest(tc - t, F.lit(dt))
+    return F.when(t < tc, c + a * F.pow(before, F.lit(-b)))
 
 
-def _coloured(t: Column, dr: float, tr: float | None) -> Column:
-    return -dr * t if not tr else -dr * (t - tr * (1 - F.exp(-t / tr)))
+def critical_power(t: Column, tc=0.0, a=1.0, b=1.0, c=0.0) -> Column:
+    """c + a |tc - t|^b on either side of a critical value."""
+    return c + a * F.pow(F.abs(tc - t), F.lit(b))
 
 
-def nn_form(t: Column, dr: float, tr: float | None = None, components: bool = False) -> Column:
-    """Orientation correlation of a rotating walker, white or (with tr) coloured noise."""
-    return (0.5 if components else 1.0) * F.exp(_coloured(t, dr, tr))
+def _turned(t: Column, dr, tr) -> Column:
+    """Mean square turn, halved, after a time; coloured noise begins to turn after its own time."""
+    return dr * t if tr is None else dr * (t + tr * F.expm1(-t / tr))
 
 
-def rn_form(t: Column, lp: float, dr: float, tr: float | None = None, components: bool = False) -> Column:
+def nn_form(t: Column, dr, tr=None, components: bool = False) -> Column:
+    """Orientation correlation of a rotating walker; of one component of the orientation, half of it."""
+    return (0.5 if components else 1.0) * F.exp(-_turned(t, dr, tr))
+
+
+def rn_form(t: Column, lp, dr, tr=None, components: bool = False) -> Column:
     """Displacement along the first orientation; odd in t."""
-    scale = (0.5 if components else 1.0) * lp
-    return scale * F.signum(t) * -F.expm1(-dr * F.abs(t)) * (F.exp(F.lit(dr * tr)) if tr else 1.0)
+    way = F.signum(t) * -F.expm1(-dr * F.abs(t))
+    return (0.5 if components else 1.0) * lp * way * (1.0 if tr is None else F.exp(F.lit(dr * tr)))
 
 
-def rr_form(t: Column, v0: float, dt: float, dr: float) -> Column:
+def rr_form(t: Column, v0, dt, dr) -> Column:
     """Mean squared displacement of an active walker in the plane."""
-    lp = v0 / dr
-    return 2 * lp * lp * (dr * t + F.expm1(-dr * t)) + 4 * dt * t
+    return 2 * (v0 / dr) * (v0 / dr) * (dr * t + F.expm1(-dr * t)) + 4 * dt * t
 
 
-def quartic(a: Column) -> Column:
-    return F.pow(a, F.lit(4.0))
+def rr_share(s: Column, dt, lp, dr, tr=None, along: int = 0) -> Column:
+    """Mean squared displacement in one direction: along (1) or across (-1) the first orientation, or half of both (0).
 
+    Swimming straight for lp spreads as much over both, but for what the second harmonic of the turn, which fades four times as fast, has not yet evened out.
+    """
+    turn = dr * s
+    spread = F.expm1(-turn) + turn
+    colour = 1.0 if tr is None else F.exp(F.lit(dr * tr))
+    uneven = (F.expm1(-4 * turn) - 4 * F.expm1(-turn)) / 12 * F.pow(F.lit(colour), F.lit(4.0)) if along else F.lit(0.0)
+    return colour * lp * lp * (spread + along * uneven) + 2 * dt * s
 
-def _rr_part(s: Column, dt: float, lp: float, dr: float, tr: float, sign: int) -> Column:
-    colour, decay = math.exp(dr * tr), F.exp(-dr * s)
-    anisotropy = colour**4 * (quartic(decay) - 4 * decay + 3) / 12
-    return colour * lp * lp * (decay - 1 + dr * s + sign * anisotropy) + 2 * dt * s
 
-
-def rr_form_prog(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+def rr_form_prog(s: Column, dt, lp, dr, tr=None) -> Column:
     """Mean squared displacement along the first orientation."""
-    return _rr_part(s, dt, lp, dr, tr, 1)
+    return rr_share(s, dt, lp, dr, tr, 1)
 
 
-def rr_form_div(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+def rr_form_div(s: Column, dt, lp, dr, tr=None) -> Column:
     """Mean squared displacement across the first orientation."""
-    return _rr_part(s, dt, lp, dr, tr, -1)
+    return rr_share(s, dt, lp, dr, tr, -1)
 
 
-def rr_form_total(s: Column, dt: float, lp: float, dr: float, tr: float = 0.0) -> Column:
+def rr_form_total(s: Column, dt, lp, dr, tr=None) -> Column:
     """Sum of both."""
-    return rr_form_prog(s, dt, lp, dr, tr) + rr_form_div(s, dt, lp, dr, tr)
+    return 2 * rr_share(s, dt, lp, dr, tr)
+
 
+def rr_regimes(t: Column, v0, dt, dr) -> Column:
+    """Limits of rr_form: 4 dt t up to 4 dt / v0^2, v0^2 t^2 up to 2 / dr, and from there 2 v0^2 / dr t, each beginning where it overtakes the one before.
 
-def rr_regimes(t: Column, v0: float, dt: float, dr: float) -> Column:
-    """Limits of rr_form: diffusive, ballistic, diffusive again."""
-    early, late = 4 * dt / v0**2, 1 / dr
-    return F.when(t < early, 4 * dt * t).when(t < late, v0**2 * t * t).otherwise((2 * v0**2 / dr + 4 * dt) * t)
+    The borders are where neighbouring limits of this form meet, so the guide has no jumps.
+    """
+    early, late = 4 * dt / (v0 * v0), 2 / dr
+    return F.when(t < early, 4 * dt * t).when(t < late, v0 * v0 * t * t).otherwise(2 * v0 * v0 / dr * t)
 
 
 def kernel_moment(kernel: Column, n: int) -> Column:

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfield.checkpoints import staged
+from pathfield.operators.combine import joined_stats
 from pathfield.operators.graph import components
 
 
 def clip_scale(pixels: DataFrame, width: float = 2.0) -> DataFrame:
     """Values clipped to mean +- width standard deviations of their frame and scaled to [0, 1]."""
-    w = Window.partitionBy("f")
-    m, s = F.avg("v").over(w), F.stddev_pop("v").over(w)
-    rows = pixels.withColumn("v", F.greatest(F.least("v", m + width * s), m - width * s))
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    return rows.withColumn("v", F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)))
+    rows = joined_stats(pixels, "f", __m=F.avg("v"), __s=F.stddev_pop("v"))
+    m, s = F.col("__m"), width * F.col("__s")
+    return stretch(rows.withColumn("v", F.greatest(F.least("v", m + s), m - s)).select(*pixels.columns))
 
 
 def disk_kernel(width: float, inner: float, outer: float | None = None) -> list[tuple[int, int, float]]:
@@ -41,9 +40,8 @@ def convolve(pixels: DataFrame, kernel: list[tuple[int, int, float]]) -> DataFra
 
 def stretch(pixels: DataFrame) -> DataFrame:
     """Values of each frame moved and scaled to 0 .. 1; a frame of one value becomes 0."""
-    w = Window.partitionBy("f")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    return pixels.withColumn("v", F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)))
+    rows = joined_stats(pixels, "f", __low=F.min("v"), __high=F.max("v"))
+    return rows.withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))).select(*pixels.columns)
 
 
 def label(pixels: DataFrame, threshold: float) -> DataFrame:
@@ -52,9 +50,8 @@ def label(pixels: DataFrame, threshold: float) -> DataFrame:
     A threshold of 1 or more counts in standard deviations over the frame's mean, a smaller one is a value. Pieces are the connected components of
     the links between neighbours.
     """
-    w = Window.partitionBy("f")
-    level = threshold * F.stddev_pop("v").over(w) + F.avg("v").over(w) if threshold >= 1 else F.lit(threshold)
-    on = staged(pixels.withColumn("k", level).where("v > k").select("f", "r", "c", "v"), "pixels")
+    rows = joined_stats(pixels, "f", k=threshold * F.stddev_pop("v") + F.avg("v")) if threshold >= 1 else pixels.withColumn("k", F.lit(threshold))
+    on = staged(rows.where("v > k").select("f", "r", "c", "v"), "pixels")
     # the number of a pixel: frame, row and column in 20, 22 and 22 bits
     pixel = lambda r, c: F.shiftleft(F.col("f").cast("long"), 44) + F.shiftleft(F.col(r).cast("long"), 22) + F.col(c)
     on = on.withColumn("id", pixel("r", "c"))
@@ -74,8 +71,8 @@ def remove_disks(pixels: DataFrame, found: DataFrame, radius: float, value: floa
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-n, n + 1) for j in range(-n, n + 1) if math.hypot(i, j) <= radius])
     gone = found.select("f", F.rint("y").cast("int").alias("y"), F.rint("x").cast("int").alias("x"), F.explode(cells).alias("k"))
     gone = gone.select("f", (F.col("y") + F.col("k.i")).alias("r"), (F.col("x") + F.col("k.j")).alias("c")).distinct().withColumn("gone", F.lit(True))
-    fill = F.avg("v").over(Window.partitionBy("f")) if value is None else F.lit(float(value))
-    rows = pixels.withColumn("fill", fill).join(gone, ["f", "r", "c"], "left")
+    filled = joined_stats(pixels, "f", fill=F.avg("v")) if value is None else pixels.withColumn("fill", F.lit(float(value)))
+    rows = filled.join(gone, ["f", "r", "c"], "left")
     return rows.withColumn("v", F.when(F.col("gone"), F.col("fill")).otherwise(F.col("v"))).select(*pixels.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathfield.checkpoints import staged
 
 
-def _staged_and_seen(df: DataFrame, label: str, *what: Column) -> tuple[DataFrame, dict]:
+def staged_and_seen(df: DataFrame, label: str, *what: Column) -> tuple[DataFrame, dict]:
     """df as a staged table, with aggregates that the write itself takes."""
     seen = Observation()
     return staged(df.observe(seen, *what), label), seen.get
@@ -30,7 +30,7 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges, now = _staged_and_seen(after, label, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        edges, now = staged_and_seen(after, label, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         if now == before:
             break
         before = now
@@ -45,7 +45,7 @@ def roots(pointers: DataFrame) -> DataFrame:
         up = lambda s: s.select(F.col("id").alias("root"), F.col("root").alias("next"))
         once = state.join(up(state), "root").select("id", F.col("next").alias("root"))
         twice = once.join(up(state), "root").select("id", F.col("root").alias("before"), F.col("next").alias("root"))
-        state, seen = _staged_and_seen(twice, "roots", F.count_if(F.col("before") != F.col("root")).alias("moved"))
+        state, seen = staged_and_seen(twice, "roots", F.count_if(F.col("before") != F.col("root")).alias("moved"))
         state = state.select("id", "root")
         if not seen["moved"]:
             return state

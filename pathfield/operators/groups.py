@@ -87,14 +87,15 @@ def gap_distribution(tracks: DataFrame, t: str = "t", f: str = "f", field: str |
 def merge(datasets: list[DataFrame], t: str = "t", dedupe: bool = False) -> DataFrame:
     """All rows of several datasets, each one's tracks numbered on from those before; a dataset column tells them apart. dedupe: equal rows of a dataset once."""
     out = None
-    offset = F.lit(0).cast("long")
     for k, d in enumerate(datasets):
-        d = d.distinct() if dedupe else d
-        part = d.withColumn("dataset", F.lit(k)).withColumn(t, F.when(F.col(t) >= 0, F.col(t) + offset).otherwise(F.col(t)).cast("long"))
+        part = (d.distinct() if dedupe else d).withColumn("dataset", F.lit(k)).withColumn(t, F.col(t).cast("long"))
         out = part if out is None else out.unionByName(part)
-        top = d.agg(F.max(t).alias("m")).first()["m"]
-        offset = offset + F.lit(int(top if top is not None else -1) + 1)
-    return out
+    # tracks before each dataset's: a row a dataset, summed up over their list
+    tops = out.groupBy("dataset").agg((F.coalesce(F.max(t), F.lit(-1)) + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = tops.select("dataset", before.alias("__before"))
+    moved = out.join(F.broadcast(offsets), "dataset").withColumn(t, F.when(F.col(t) >= 0, F.col(t) + F.col("__before")).otherwise(F.col(t)))
+    return moved.select(*out.columns)
 
 
 def padded(series: DataFrame, value: str, n: int | None = None, t: str = "t", f: str = "f") -> DataFrame:

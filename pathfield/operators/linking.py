@@ -44,8 +44,8 @@ def parents(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | N
     return rows.select("id", "f").join(linked, "id", "left").select("id", "f", "parent")
 
 
-def track_labels(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | None = None, stub: int = 0) -> DataFrame:
-    """(id, t): tracks numbered from 0 by their first dot's id; -1 for cut dots and for tracks of fewer than `stub` dots."""
+def track_labels(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: str | None = None, stub: int = 0, most: int | None = None) -> DataFrame:
+    """(id, t): tracks numbered from 0 by their first dot's id; -1 for cut dots, for tracks of fewer than `stub` dots and for all but the first `most` tracks, if given."""
     found = roots(parents(dots, reach, giveup, cut))
     if cut:
         found = found.join(dots.where(F.coalesce(F.col(cut), F.lit(False))).select("id"), "id", "left_anti")
@@ -53,7 +53,7 @@ def track_labels(dots: DataFrame, reach: float = 20.0, giveup: int = 10, cut: st
     # a global rank of the roots alone, in ranges: counts of the ranges before, then ranks inside
     numbered = dense_rank(sizes.select("root"), "root")
     labels = found.join(numbered, "root").join(sizes, "root")
-    labels = labels.select("id", F.when(F.col("n") >= stub, F.col("rank")).otherwise(-1).alias("t"))
+    labels = labels.select("id", F.when((F.col("n") >= stub) & (F.lit(True) if most is None else F.col("rank") < most), F.col("rank")).otherwise(-1).alias("t"))
     return dots.select("id").join(labels, "id", "left").select("id", F.coalesce("t", F.lit(-1)).cast("long").alias("t"))
 
 

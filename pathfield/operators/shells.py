@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfield.checkpoints import staged
+from pathfield.operators.combine import joined_stats
 from pathfield.operators.spatial import knn, psi_global
 
 
 def ring_valency(dots: DataFrame) -> DataFrame:
     """(f, id, ring): dots by distance from the frame's mean place, ring n holding 1, 8, 16, 24, ... of them."""
-    w = Window.partitionBy("f")
-    d = F.pow(F.col("x") - F.avg("x").over(w), 2) + F.pow(F.col("y") - F.avg("y").over(w), 2)
+    d = F.pow(F.col("x") - F.col("__mx"), 2) + F.pow(F.col("y") - F.col("__my"), 2)
     rank = F.row_number().over(Window.partitionBy("f").orderBy("d", "id"))
-    rows = dots.withColumn("d", F.round(d, 9)).select("f", "id", rank.alias("k"))
+    rows = joined_stats(dots, "f", __mx=F.avg("x"), __my=F.avg("y")).withColumn("d", F.round(d, 9)).select("f", "id", rank.alias("k"))
     return rows.select("f", "id", F.ceil((F.sqrt(F.col("k").cast("double")) + 1) / 2).cast("int").alias("ring"))
 
 
@@ -30,9 +30,9 @@ def assign_shells(dots: DataFrame, width: int, m: int = 4) -> DataFrame:
     axis = reference_basis(dots, m).select("f", F.col("phase").alias("a"))
     c, s = F.cos("a"), F.sin("a")
     rows = dots.join(axis, "f").select("f", "id", (F.col("x") * c + F.col("y") * s).alias("u"), (F.col("y") * c - F.col("x") * s).alias("v"))
-    w = Window.partitionBy("f")
-    place = lambda k: F.try_divide(F.col(k) - F.avg(k).over(w), (F.max(k).over(w) - F.min(k).over(w)) / (width - 1))
-    return rows.withColumns({"i": place("u"), "j": place("v")}).select("f", "id", F.rint(F.greatest(F.abs("i"), F.abs("j"))).cast("int").alias("sh"))
+    sides = {n: c for k in "uv" for n, c in ((f"m{k}", F.avg(k)), (f"w{k}", (F.max(k) - F.min(k)) / (width - 1)))}
+    place = lambda k: F.try_divide(F.col(k) - F.col(f"m{k}"), F.col(f"w{k}"))
+    return joined_stats(rows, "f", **sides).withColumns({"i": place("u"), "j": place("v")}).select("f", "id", F.rint(F.greatest(F.abs("i"), F.abs("j"))).cast("int").alias("sh"))
 
 
 def track_shells(tracks: DataFrame, width: int, m: int = 4) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pathfield.checkpoints import staged
 from pathfield.functions.scalars import project
 from pathfield.operators.binning import bin_index
+from pathfield.operators.combine import joined_stats
 from pathfield.operators.sequence import every_kth
 
 
@@ -235,10 +236,10 @@ def density(neighbours: DataFrame, method: str = "dist") -> DataFrame:
 
 def centred(dots: DataFrame) -> DataFrame:
     """dots with d0, the distance to the middle of the frame's bounding box, and d_max, the frame's largest."""
-    w = Window.partitionBy("f")
-    mid = lambda c: (F.min(c).over(w) + F.max(c).over(w)) / 2
-    out = dots.withColumn("d0", F.hypot(F.col("x") - mid("x"), F.col("y") - mid("y")))
-    return out.withColumn("d_max", F.max("d0").over(w))
+    mid = lambda c: (F.min(c) + F.max(c)) / 2
+    out = joined_stats(dots, "f", __mx=mid("x"), __my=mid("y"))
+    out = out.withColumn("d0", F.hypot(F.col("x") - F.col("__mx"), F.col("y") - F.col("__my"))).select(*dots.columns, "d0")
+    return joined_stats(out, "f", d_max=F.max("d0"))
 
 
 def inside(dots: DataFrame, margin: float) -> DataFrame:
@@ -247,7 +248,10 @@ def inside(dots: DataFrame, margin: float) -> DataFrame:
 
 
 def bulk_weight(dots: DataFrame, margin: float, side: float, radius: float | None = None) -> DataFrame:
-    """(f, id, weight): share of a dot of that side that lies inside the frame's disk less a margin. radius: of the disk, by default the farthest dot's outer side."""
+    """(f, id, weight): share of a dot of that side that lies inside the frame's disk less a margin. radius: of the disk, by default the farthest dot's outer side.
+
+    The farthest dot's distance to the middle is never less than half the largest separation, whose two dots lie at least that far apart by way of the middle.
+    """
     edge = F.col("d_max") + side / 2 if radius is None else F.lit(radius)
     depth = (F.col("d0") - (edge - margin)) / side
     return centred(dots).select("f", "id", F.greatest(F.least(0.5 - depth, F.lit(1.0)), F.lit(0.0)).alias("weight"))
@@ -277,7 +281,8 @@ def pair_distribution(dots: DataFrame, bins: int, rmax: float, margin: float, si
     if frame_step > 1:
         dots = every_kth(dots, frame_step)
     rows = centred(dots)
-    frames = rows.groupBy("f").agg(F.max("d_max").alias("top")).join(diameter(dots), "f").select("f", (F.greatest(F.col("d") / 2, "top") + side / 2).alias("rs"))
+    # half the largest separation is never more than the farthest dot's distance to the middle
+    frames = rows.groupBy("f").agg((F.max("d_max") + side / 2).alias("rs"))
     counts = rows.join(frames, "f").where(F.col("d0") <= F.col("rs") - margin).groupBy("f").agg(F.count(F.lit(1)).alias("inner"))
     q = close_pairs(rows, rmax, ["d0"], False, True).where("d > 0").join(frames, "f").join(counts, "f")
     dr = rmax / bins
@@ -298,6 +303,28 @@ def displacement_histogram(dots: DataFrame, bins: int, rmax: float) -> DataFrame
     return p.select(i.alias("i"), j.alias("j")).dropna().groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
+def weighted_displacements(dots: DataFrame, bins: int, rmax: float, margin: float, side: float) -> DataFrame:
+    """(i, j, n, g): the pair distribution in x and y: pairs nearer than rmax by their displacement from dots inside the margin, bins a side from -rmax to rmax.
+
+    g weighs a pair by the full circle over the part of the ring through the second dot that lies in the frame's disk, over the square of the disk's radius by bins.
+    """
+    q = close_pairs(centred(dots), rmax, ["d0", "d_max"]).where(F.col("d01") < F.col("d_max1") - margin)
+    radius = F.col("d_max1") + side / 2
+    cos = F.coalesce(F.try_divide(F.col("d") ** 2 + F.col("d01") ** 2 - radius**2, 2 * F.col("d") * F.col("d01")), F.lit(-1.0))
+    arc = 2 * F.acos(F.greatest(cos, F.lit(-1.0)))
+    w = F.when((cos < 1) & (arc > 0), F.pow(bins / radius, F.lit(2.0)) * 2 * math.pi / arc).otherwise(0.0)
+    i, j = bin_index(F.col("x2") - F.col("x1"), -rmax, rmax, bins), bin_index(F.col("y2") - F.col("y1"), -rmax, rmax, bins)
+    return q.select(i.alias("i"), j.alias("j"), w.alias("w")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("g"))
+
+
+def squares(dots: DataFrame, side: float, shrink: float = 0.9) -> DataFrame:
+    """(f, id, corner, x, y): corners 0 .. 3 of each dot's oriented square, of that side times shrink, in turn from the one an eighth of a turn before its orientation."""
+    reach = side / math.sqrt(2) * shrink
+    turns = F.posexplode(F.array(*[F.lit(-math.pi / 4 * k) for k in (1, 3, 5, 7)])).alias("corner", "turn")
+    rows = dots.select("f", "id", "x", "y", "o", turns)
+    return rows.select("f", "id", "corner", (F.col("x") + reach * F.cos(F.col("o") + F.col("turn"))).alias("x"), (F.col("y") + reach * F.sin(F.col("o") + F.col("turn"))).alias("y"))
+
+
 def radial_correlation(dots: DataFrame, value, columns: list[str], bins: int, rmax: float, margin: float | None = None, total: bool = False) -> DataFrame:
     """(bin, n, c): mean, or sum if total, over all pairs at a distance of value(first, second), a function of the two sides' Columns by name.
 
@@ -346,8 +373,7 @@ def square_overlaps(dots: DataFrame, half: float, shrink: float = 0.9) -> DataFr
 def rectify(dots: DataFrame, m: int = 4) -> DataFrame:
     """dots turned back by their frame's bond axis, the phase of the two nearest neighbours' order, about the frame's mean place."""
     axis = psi_global(knn(dots, 2), m).select("f", F.col("phase").alias("__a"))
-    w = Window.partitionBy("f")
-    rows = dots.join(axis, "f").withColumns({"__x": F.col("x") - F.avg("x").over(w), "__y": F.col("y") - F.avg("y").over(w)})
+    rows = joined_stats(dots, "f", __mx=F.avg("x"), __my=F.avg("y")).join(axis, "f").withColumns({"__x": F.col("x") - F.col("__mx"), "__y": F.col("y") - F.col("__my")})
     x, y = project(F.col("__x"), F.col("__y"), F.col("__a"))
     turned = rows.withColumns({"x": x, "y": y})
     return (turned.withColumn("o", F.col("o") - F.col("__a")) if "o" in dots.columns else turned).select(*dots.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathfield.functions import forms, scalars
-from pathfield.operators import binning, detect, fit, groups, lag, linking, noise, orient, sequence, shells, simulate, spatial, tracksets, voronoi
+from pathfield.operators import binning, detect, fit, groups, lag, linking, noise, orient, sequence, shells, simulate, slices, spatial, tracksets, voronoi
 from pathfield.sources import adapters
 from pathfield.streaming import frames
 
@@ -500,9 +500,10 @@ def diffusion_from_msd(d):
     return noise.diffusion_from_msd(lag.msd(d, 10), 1, 10, ["t"])
 
 
-@query("tracks_dense", f"{_PAIRS} SELECT t, tau, round(avg((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) AS msd FROM p WHERE tau IN (SELECT CAST(round_even(2 * 1.5 ** k, 0) AS INTEGER) FROM (SELECT unnest(range(9)) AS k)) GROUP BY ALL")
+@query("tracks_dense", f"{_PAIRS} SELECT t, tau, round(avg((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) AS msd FROM p WHERE tau IN (SELECT CAST(round_even(2 * 1.5 ** k, 0) AS INTEGER) FROM (SELECT unnest(range(50)) AS k)) GROUP BY ALL")
 def msd_geometric(d):
-    return lag.msd(d, lags=lag.tau_grid(64, 1.5, 2))
+    frames = d.agg(F.max("f")).first()[0]
+    return lag.msd(d, lags=lag.tau_grid(frames, 1.5, 2))
 
 
 @query(
@@ -842,6 +843,25 @@ def corner_best_angle(d):
     return orient.match_corners(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.1, 0.05, 2, 1.5).select("f", "id", "orient")
 
 
+@query(
+    "points",
+    f"{_NEIGHBOURS}, m AS (SELECT f, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM points GROUP BY f), c AS (SELECT f, id, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d0 FROM points JOIN m USING (f)), t AS (SELECT f, max(d0) AS top FROM c GROUP BY f), "
+    "w AS (SELECT q.*, d0, top + 0.01 AS rad, greatest((d * d + d0 * d0 - (top + 0.01) ** 2) / (2 * d * d0), -1) AS cs FROM q JOIN c ON c.f = q.f AND c.id = q.id1 JOIN t ON t.f = q.f WHERE d < 0.3 AND d0 < top - 0.1) "
+    "SELECT least(CAST(floor((x2 - x1 + 0.3) / 0.1) AS INTEGER), 5) AS i, least(CAST(floor((y2 - y1 + 0.3) / 0.1) AS INTEGER), 5) AS j, count(*) AS n, round(sum(CASE WHEN cs < 1 THEN (6 / rad) ** 2 * pi() / acos(cs) ELSE 0 END), 4) AS g FROM w GROUP BY 1, 2",
+    4,
+)
+def g_xy_weighted(d):
+    return spatial.weighted_displacements(d, 6, 0.3, 0.1, 0.02)
+
+
+@query(
+    "points",
+    "SELECT f, id, CAST(k AS INTEGER) AS corner, round(x + 0.05 / sqrt(2) * 0.9 * cos(o - pi() / 4 * (2 * k + 1)), 6) AS x, round(y + 0.05 / sqrt(2) * 0.9 * sin(o - pi() / 4 * (2 * k + 1)), 6) AS y FROM points, (SELECT unnest(range(4)) AS k)",
+)
+def square_corners(d):
+    return spatial.squares(d, 0.05)
+
+
 # -- Voronoi cells
 
 _BISECTED = (
@@ -975,12 +995,86 @@ def scalar_functions(d):
     return d.where("x > 0 and y > 0").select("t", "f", scalars.distance(x, y, y, o).alias("dist"), rx.alias("rx"), ry.alias("ry"), scalars.decade(x).alias("decade"), scalars.replace_all(F.col("id").cast("string"), "13", "x").alias("replaced"), circle["r"].alias("radius"))
 
 
-@query(None)
-def simulated_fit(spark, sf_dir):
-    """Not in SQL: an iterative fit. The test compares it with the simulation's own parameters."""
-    w = simulate.walkers(spark, 200, 200, 1 / 21, 0.01, 0.3678)
-    curve = lambda c, name="mean": c.where("abs(tau) <= 60").select(F.lit("simulate").alias("dataset"), "tau", F.col(name).alias("mean"), F.col("stderr" if name == "mean" else f"{name}_err").alias("stderr"))
-    return fit.fit_chain(curve(lag.nn_corr(w)), curve(lag.rn_corr(w)), curve(lag.rr_stack(w), "total"), dtheta=0.0, dx=0.0)
+def _curves(d: DataFrame, lags: int = 40) -> dict[str, DataFrame]:
+    """Ensemble curves (dataset, tau, mean, stderr) of the walks, those of every third track a dataset."""
+    out: dict[str, DataFrame] = {}
+    for k in range(3):
+        w = d.where(F.col("t") % 3 == k)
+        rr = lag.rr_stack(w, max_lag=lags)
+        mine = {"nn": lag.nn_corr(w, lags), "rn": lag.rn_corr(w, max_lag=lags)}
+        mine |= {c: rr.select("tau", F.col(c).alias("mean"), F.col(f"{c}_err").alias("stderr")) for c in ("total", "prog", "div")}
+        for n, c in mine.items():
+            c = c.select(F.lit(f"d{k}").alias("dataset"), "tau", "mean", "stderr")
+            out[n] = out[n].unionByName(c) if n in out else c
+    return out
+
+
+@query("walks", digits=4)
+def fit_walks(d):
+    """Not in SQL: an iterative fit. tests/test_fits.py compares the solver with a plain one, and the chain with known curves."""
+    c = _curves(d)
+    return fit.fit_chain(c["nn"], c["rn"], c["total"], dtheta=0.01, dx=0.01, parts={n: c[n] for n in ("prog", "div")})
+
+
+@query("walks", digits=4)
+def fit_walks_max(d):
+    """Not in SQL: as fit_walks, with the largest antisymmetric displacement."""
+    c = _curves(d)
+    return fit.fit_chain(c["nn"], c["rn"], c["total"], dtheta=0.01, dx=0.01, mode="max")
+
+
+@query("walks", digits=4)
+def cage_times(d):
+    """Not in SQL: an iterative fit of every track's squared displacement; tests/test_fits.py has known curves."""
+    return fit.cage_time(lag.msd(d, 30).select(F.col("t").alias("dataset"), "tau", "msd"))
+
+
+@query("walks", digits=4)
+def decay_fits(d):
+    """Not in SQL: an iterative fit of every track's orientation correlation; tests/test_fits.py has known curves."""
+    return fit.decay_fit(lag.orientation_means(d, 30).select("t", "tau", F.col("cc").alias("c")), "tau", "c", "t")
+
+
+@query("points", digits=4)
+def crystal_axis(d):
+    """Not in SQL: an iterative fit; tests/test_more_operators.py has known directions. The bonds of all frames' four nearest neighbours."""
+    return fit.primary_angles(spatial.bond_angles(spatial.knn(d, 4)).select(F.lit("points").alias("dataset"), "angle"), "angle", 4, 180)
+
+
+@query("points", digits=4)
+def peak_decays(d):
+    """Not in SQL: an iterative fit through the maxima of every frame's pair distribution; tests/test_fits.py has known curves."""
+    g = spatial.pair_distribution(d, 40, 0.6, 0.0, 0.02).select("f", ((F.col("bin") + 0.5) * 0.015).alias("r"), "g")
+    return fit.peak_decay(g, "r", "g", "f", lookahead=1)
+
+
+# -- slices and names
+
+_GRID = "g AS (SELECT CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS stop FROM (SELECT unnest(range(0, 50, 10)) AS a), (SELECT unnest([0, -10, -20, -30, 25]) AS b))"
+
+
+@query(
+    "tracks_dense",
+    f"{_GRID}, e AS (SELECT t, min(f) AS lo, max(f) - min(f) + 1 AS n FROM tracks_dense GROUP BY t), z AS (SELECT d.t, start, stop, x, y FROM tracks_dense d JOIN e USING (t), g WHERE f - lo >= start AND f - lo < CASE WHEN stop > 0 THEN stop ELSE n + stop END) "
+    "SELECT t, start, stop, count(*) AS rows, count(x) AS n_x, round(avg(x), 6) AS mean_x, round(var_samp(x), 6) AS var_x, count(y) AS n_y, round(avg(y), 6) AS mean_y, round(var_samp(y), 6) AS var_y FROM z GROUP BY ALL",
+)
+def slice_grid(d):
+    return slices.slice_grid(d, ["x", "y"], range(0, 50, 10), [0, -10, -20, -30, 25], "t").drop("skew_x", "skew_y")
+
+
+@query(
+    None,
+    "WITH r AS (SELECT DISTINCT name FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part UNION ALL SELECT n_name FROM nation)), c AS (SELECT name, k, substr(name, 1, k) AS prefix, substr(name, k + 1, 1) AS nxt FROM r, LATERAL (SELECT unnest(range(1, length(name) + 1)) AS k)), "
+    "n AS (SELECT prefix, length(prefix) AS k FROM c GROUP BY prefix HAVING count(DISTINCT nxt) > 1), a AS (SELECT r.name, coalesce(max(n.k), 0) AS k FROM r LEFT JOIN n ON starts_with(r.name, n.prefix) GROUP BY r.name), "
+    "u AS (SELECT x.prefix, coalesce(max(y.k), 0) AS k FROM n x LEFT JOIN n y ON y.k < x.k AND starts_with(x.prefix, y.prefix) GROUP BY x.prefix) "
+    "SELECT substr(name, 1, k + 1) AS prefix, substr(name, 1, k) AS parent, name FROM a UNION ALL SELECT prefix, substr(prefix, 1, k), NULL FROM u",
+)
+def name_tree(spark, sf_dir):
+    names = None
+    for table, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"), ("nation", "n_name")):
+        part = adapters.table(spark, sf_dir, table).select(F.col(c).alias("name"))
+        names = part if names is None else names.unionByName(part)
+    return slices.prefix_tree(names, "name")
 
 
 _PIXELS = (

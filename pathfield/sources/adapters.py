@@ -62,6 +62,14 @@ def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("t"), f.alias("f"), F.col("o_orderkey").alias("id"), F.ln("o_totalprice").alias("x"))
 
 
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: an active walker for each user: every event turns it by its value and pushes it on along its direction."""
+    w = Window.partitionBy("t").orderBy("f")
+    d = tracks_dense(spark, sf_dir).withColumn("o", F.sum((F.pmod("x", F.lit(7.0)) - 3.5) / 8).over(w))
+    push = 0.5 + F.pmod("y", F.lit(3.0)) / 20
+    return d.withColumns({"x": F.sum(push * F.cos("o")).over(w), "y": F.sum(push * F.sin("o")).over(w)})
+
+
 _VALUES = "event_id AS id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, 2 * pi() * (((value * 0.1) % 1.0 + 1.0) % 1.0) AS o"
 _HOUR = "CAST((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 3600000000 AS INTEGER)"
 SQL = {

@@ -116,18 +116,6 @@ def test_fit_chain_recovers_the_walkers(spark):
     assert both["ra", "lp"] == pytest.approx(got["rn", "lp"], rel=0.1)
 
 
-def test_least_squares_with_bounds_and_errors():
-    x = np.linspace(0, 5, 200)
-    rng = np.random.default_rng(1)
-    y = 2 * np.exp(-x / 1.5) + 0.3 + rng.normal(0, 0.02, 200)
-    p, e = fit.least_squares(fit.FORMS["exp_decay"][1], x, y, np.full(200, 0.02), [1.0, 1.0, 0.0])
-    assert p == pytest.approx([1.5, 2, 0.3], abs=0.06) and all(0 < v < 0.05 for v in e)
-    p, e = fit.least_squares(fit.FORMS["exp_decay"][1], x, y, np.full(200, 0.02), [1.0, 1.0, 0.5], [False, False, True], [None, None, None])
-    assert p[2] == 0.5 and e[2] == 0
-    p, _ = fit.least_squares(lambda t, a: a * t, x, -x, np.ones(200), [1.0], None, [0.0])
-    assert p[0] == pytest.approx(0, abs=1e-6)
-
-
 def test_sigma_and_parameters(spark):
     c = spark.createDataFrame([(float(t), 2.0, 0.5) for t in range(6)], "tau double, mean double, stderr double")
     got = {r.tau: r.sigma for r in fit.sigma_for_fit(c, "tau", "mean", "stderr", 0.3, True, 1, [0, 4]).collect()}
