@@ -19,6 +19,9 @@ from pathfield.functions import forms
 from pathfield.operators.graph import staged_and_seen
 from pathfield.operators.simulate import hashed_normal, uniform
 
+#: Share of the sum of squares that a step has to gain for the fit to go on.
+GAIN = 1e-9
+
 Form = tuple[Sequence[str], Callable[..., Column]]
 #: Parameters of each form and the form, of x and the parameters as Columns.
 FORMS: dict[str, Form] = {
@@ -48,11 +51,11 @@ GUESSES = {"tr": 1.6, "dr": 1 / 16, "lp": 2.5, "v0": 0.16, "dt": 0.01}
 SOURCES = ("nn", "rn", "ra", "rp", "rr", "r0", "pr", "p0", "dr", "d0")
 
 
-def fit(curves: DataFrame, form: str | Form, by: str, x: str, y: str, sigma: str | None, start: dict[str, float], fixed: Sequence[str] = (), lows: dict[str, float] | None = None, given: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def fit(curves: DataFrame, form: str | Form, by: str, x: str, y: str, sigma: str | None, start: dict[str, float], fixed: Sequence[str] = (), lows: dict[str, float] | None = None, given: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(by, param, value, stderr) of each curve, by damped Gauss-Newton steps with numeric slopes; errors are 0 where fixed.
 
     given: (by, param, value) that replace the start values of a curve. lows: least values. Rows without x, y or a sigma above 0 take no part (sigma None: all alike); a curve with none keeps its start
-    values. A fit ends when a step lowers the sum of squares by less than 1e-12 of it, or none lowers it.
+    values. A fit ends when a step lowers the sum of squares by less than GAIN of it or could not gain more, and after so many rounds; a parameter that the data do not bound goes on growing until then.
     """
     names, f = FORMS[form] if isinstance(form, str) else form
     free = [n for n in names if n not in fixed]
@@ -75,7 +78,7 @@ def fit(curves: DataFrame, form: str | Form, by: str, x: str, y: str, sigma: str
         h = 1e-6 * F.greatest(F.abs(trial[n]), F.lit(1e-3))
         slopes.append((f(F.col("__x"), *(trial | {n: trial[n] + h}).values()) - F.col("__f")) / h / F.col("__s"))
     m = len(free)
-    sums = [F.sum(F.col("__r") * F.col("__r")).alias("l"), F.count("__r").alias("c")]
+    sums = [F.sum(F.col("__r") * F.col("__r")).alias("l"), F.count("__r").alias("c"), F.sum(F.pow(F.col("__y") / F.col("__s"), 2)).alias("t")]
     sums += [F.sum(F.col(f"__j{a}") * F.col(f"__j{b}")).alias(f"a{a}_{b}") for a in range(m) for b in range(a, m)] + [F.sum(F.col(f"__j{a}") * F.col("__r")).alias(f"g{a}") for a in range(m)]
 
     def decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,12 +107,12 @@ def _error(k: int, m: int) -> Column:
 
 def _step(r: dict, free: Sequence[str], low: np.ndarray) -> dict:
     """A curve's state after the sums at its trial parameters: the trial is taken if it lowers the sum of squares, and a new one set."""
-    m, kept = len(free), {k: v for k, v in r.items() if k not in ("l", "c") and not (k[0] in "ag" and k[1:2].isdigit())}
+    m, kept = len(free), {k: v for k, v in r.items() if k not in ("l", "c", "t") and not (k[0] in "ag" and k[1:2].isdigit())}
     loss = r["l"] if r["c"] == r["c"] and r["c"] else math.nan
     p = np.array([r[f"p_{n}"] for n in free])
     normal = np.array(r["normal"], float)
     if math.isfinite(loss) and loss < r["loss"] or r["loss"] == math.inf and loss == loss:
-        done = r["loss"] - loss < 1e-12 * r["loss"] if math.isfinite(r["loss"]) else False
+        done = r["loss"] - loss < GAIN * r["loss"] if math.isfinite(r["loss"]) else False
         p = np.array([r[f"q_{n}"] for n in free])
         a = np.zeros((m, m))
         for i in range(m):
@@ -120,13 +123,20 @@ def _step(r: dict, free: Sequence[str], low: np.ndarray) -> dict:
             return kept | {"active": False}
         error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a)), 0) * loss / max(1, r["c"] - m))
         kept |= {f"p_{n}": v for n, v in zip(free, p.tolist(), strict=True)}
-        kept |= {"loss": loss, "damp": r["damp"] / 3, "n": r["c"], "normal": np.concatenate([normal, error]).tolist(), "active": not done and loss > 0}
+        kept |= {"loss": loss, "damp": r["damp"] / 5, "n": r["c"], "normal": np.concatenate([normal, error]).tolist(), "active": not done and loss > 1e-20 * r["t"]}
     else:
-        kept |= {"damp": r["damp"] * 4, "active": r["damp"] < 1e12 and len(normal) > 0}
+        kept |= {"damp": r["damp"] * 10, "active": r["damp"] < 1e8 and len(normal) > 0}
     if kept["active"]:
         a, g = np.array(kept["normal"])[: m * m].reshape(m, m), np.array(kept["normal"])[m * m : m * m + m]
-        step = np.linalg.lstsq(a + kept["damp"] * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
-        kept |= {f"q_{n}": float(v) for n, v in zip(free, np.maximum(p + step, low), strict=True)}
+        # what a step can gain at the most; one that a bound cuts short may gain nothing, a shorter one still does
+        gain = 0.0
+        while gain <= 0 and kept["damp"] < 1e8:
+            step = np.linalg.lstsq(a + kept["damp"] * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
+            q = np.maximum(p + step, low)
+            gain = float(2 * (q - p) @ g - (q - p) @ a @ (q - p))
+            kept["damp"] *= 1 if gain > 0 else 10
+        kept |= {f"q_{n}": v for n, v in zip(free, q.tolist(), strict=True)}
+        kept["active"] = gain > GAIN * kept["loss"]
     return kept
 
 
@@ -227,12 +237,16 @@ def decay_fit(curves: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def peak_decay(curves: DataFrame, r: str, g: str, by: str, form: str = "exp_decay", lookahead: int = 2, start: dict[str, float] | None = None) -> DataFrame:
-    """(by, param, value, stderr): a decay through the maxima of a pair distribution, 'exp_decay' or 'powerlaw'. Curves with fewer maxima than parameters keep the start values."""
+    """(by, param, value, stderr): a decay through the maxima of a pair distribution, 'exp_decay' or 'powerlaw'. start: of all fits, by default from each curve's maxima. Curves with fewer maxima than parameters are left out."""
     from pathfield.operators.sequence import peaks
 
     tops = peaks(curves.select(by, r, g), r, g, [by], lookahead).where("kind = 'max'")
     enough = tops.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= len(FORMS[form][0]))
-    return fit(tops.join(enough, by, "left_semi"), form, by, r, g, None, start or {"sig": 1.0, "b": 1.0, "a": 1.0, "c": 0.0})
+    tops = staged(tops.join(enough, by, "left_semi").select(by, r, g), "tops")
+    # from the peaks' own extent and heights
+    first = tops.groupBy(by).agg(((F.max(r) - F.min(r)) / 2).alias("sig"), (F.max(g) - F.min(g)).alias("a"), F.min(g).alias("c"))
+    given = first.select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("param"), F.col(n).cast("double").alias("value")) for n in ("sig", "a", "c")])).alias("s")).select(by, "s.*")
+    return fit(tops, form, by, r, g, None, start or {"sig": 1.0, "b": 1.0, "a": 1.0, "c": 0.0}, given=None if start else given)
 
 
 def primary_angles(angles: DataFrame, o: str, m: int = 4, bins: int = 720, by: str = "dataset") -> DataFrame:
