@@ -55,13 +55,15 @@ def close_pairs(dots: DataFrame, reach: float, columns: list[str] | None = None,
 
 #: Dots of a cell, for each of k, from which it counts as crowded; dots in the cells around one, for each of k, that a search wants; halvings of a frame's width at most.
 CROWD, WANTED, DEEPEST = 64, 6, 40
+#: Dots of a frame that the few whose own cells don't suffice may meet whole.
+SMALL = 4_096
 
 
 def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float | None = None, ties: int | None = None) -> DataFrame:
     """The k nearest of each dot in its frame, ties by id: pairs with rank. reach: none beyond it, found by cells. ties: distances count as equal to so many digits.
 
     Without reach, a frame's cells have a size by which a dot has about six times k others in the nine around it. A dot with k of them
-    within that size has its nearest there; the few others search coarser cells (`_searched`). Where some cell is crowded, all dots search cells of their own depth.
+    within that size has its nearest there; the few others meet their frame, if no frame has over SMALL dots, or search coarser cells (`_searched`). Where some cell is crowded, all dots search cells of their own depth.
     """
     order = Window.partitionBy("f", "id1").orderBy(F.col("d") if ties is None else F.round("d", ties), "id2")
     top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -73,7 +75,8 @@ def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float
     side = F.greatest(F.sqrt(2.0 * k * F.col("w") * F.col("h") / F.col("n")), 2.0 * k * longest / F.col("n"))
     size = box.select("f", F.when(side > 0, side).otherwise(1.0).alias("__s"))
     cell = lambda c, s: F.floor(F.col(c) / F.col(s))
-    crowd = dots.select("f", "x", "y").join(size, "f").groupBy("f", cell("x", "__s").alias("i"), cell("y", "__s").alias("j")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    cells = dots.select("f", "x", "y").join(size, "f").groupBy("f", cell("x", "__s").alias("i"), cell("y", "__s").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    crowd, largest = cells.groupBy("f").agg(F.max("n").alias("n"), F.sum("n").alias("all")).agg(F.max("n"), F.max("all")).first()
     a = _side(dots, "1", columns or [])
     if crowd is not None and crowd > CROWD * k:
         return top(_searched(a, dots, k, columns or [], box, True))
@@ -85,7 +88,11 @@ def knn(dots: DataFrame, k: int, columns: list[str] | None = None, reach: float
     near = a.join(b, ["f", "__cx", "__cy"]).drop("__cx", "__cy").where("id1 <> id2").withColumn("d", _distance()).where(F.col("d") <= F.col("__s") * (1 - 1e-9)).drop("__s")
     settled = near.groupBy("f", "id1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("f", "id1")
     rest = _side(dots, "1", columns or []).join(settled, ["f", "id1"], "left_anti")
-    return top(near.join(settled, ["f", "id1"], "left_semi").unionByName(_searched(rest, dots, k, columns or [], box, False)))
+    near = near.join(settled, ["f", "id1"], "left_semi")
+    if largest is None or largest <= SMALL:
+        met = rest.join(_side(dots, "2", columns or []), "f").where("id1 <> id2").withColumn("d", _distance())
+        return top(near.unionByName(met))
+    return top(near.unionByName(_searched(rest, dots, k, columns or [], box, False)))
 
 
 def _searched(seekers: DataFrame, dots: DataFrame, k: int, columns: list[str], box: DataFrame, clustered: bool) -> DataFrame:

@@ -32,8 +32,9 @@ def frames():
     return pd.concat([pd.DataFrame({"f": f, "id": rng.permutation(len(p)) + 10_000 * f, "x": p[:, 0], "y": p[:, 1]}) for f, p in parts.items()])
 
 
-@pytest.mark.parametrize("which", [[0, 4, 5, 6, 7], [0, 1, 2, 3, 4, 5, 6, 7]])
-def test_nearest(spark, which):
+@pytest.mark.parametrize(("which", "small"), [([0, 4, 5, 6, 7], 9_999), ([0, 4, 5, 6, 7], 1), ([0, 1, 2, 3, 4, 5, 6, 7], 1)])
+def test_nearest(spark, which, small, monkeypatch):
+    monkeypatch.setattr(spatial, "SMALL", small)
     d = frames()
     d = d[d["f"].isin(which)]
     dots = spark.createDataFrame(d)
