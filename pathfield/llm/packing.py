@@ -16,14 +16,17 @@ empty result; of the table's columns only doc_id and text are read, so others ma
 from __future__ import annotations
 
 import functools
+import json
 import os
-import sys
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +37,10 @@ CAPACITY = 2048
 #: Remnants are shorter than this, so a full bin of them wastes less than SMALLEST ids.
 SMALLEST = 64
 END = 1
-#: Characters of words, and of their stems, kept with their ids by a worker before it starts anew.
-KNOWN_CHARS, STEM_CHARS = 8_000_000, 6_000_000
+#: Characters of words' stems kept with their ids by a worker before it starts anew.
+STEM_CHARS = 12_000_000
 #: Characters tokenized at once; a longer text is cut after a space or line feed, if it has any.
-AT_ONCE = 1_500_000
+AT_ONCE = 4_000_000
 #: Stems of letters alone that are tokenized as one text; the ids that end words tell them apart.
 TOGETHER = 64
 #: Signs that are split from a word's end.
@@ -60,12 +63,34 @@ def _stays(c: str) -> bool:
     return c.isalnum() and unicodedata.normalize("NFC", c).lower()[-1].isalnum()
 
 
+#: The normalizer and pre-tokenizer that only lower-case and split a text of Latin letters and spaces.
+BEFORE_IDS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+
+
+def _letters(tokenizer, path: str):
+    """The same vocabulary for lower-case Latin letters between spaces, without the steps that leave these as they are; None if it has other steps."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps = json.loads(Path(path).read_bytes())
+    if [steps["normalizer"], steps["pre_tokenizer"]] != BEFORE_IDS:
+        return None
+    found = Tokenizer(tokenizer.model)
+    found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return found
+
+
 class WordEncoder:
     """Ids of a text, by the ids of its words.
 
     The vocabulary's pre-tokenizer never joins characters across a space or line feed, so the ids of a text are those
-    of the stretches between them, and each distinct stretch is put together once: from its stem, in lower case as the vocabulary
-    has it, and the signs at its end, which the pre-tokenizer separates from a letter or digit before them. Only new stems and signs are tokenized.
+    of the stretches between them, and each distinct stretch is put together once for some thousand texts: from its stem and the
+    signs at its end, which the pre-tokenizer separates from a letter or digit before them. Only new stems and signs are tokenized.
     """
 
     def __init__(self, path: str):
@@ -74,26 +99,21 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: whether an id is the last of what the pre-tokenizer keeps together; None if the vocabulary doesn't tell
-        self.ends: list[bool] | None = None
+        self.ends: np.ndarray | None = None
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
-            self.ends = [(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-        self.chars = self.stem_chars = 0
+            self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.letters = _letters(self.tokenizer, path)
+        self._forget()
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _forget(self) -> None:
+        """Start with the empty stem alone. A stem's number tells where its ids start; the next one's, where they end."""
+        self.known, self.ids, self.starts, self.chars = {"": 0}, array("I"), array("q", [0, 0]), 0
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
         """The stem and the signs at a word's end; the word as it is where these might be one token."""
-        stem = word
-        if not word.isalpha():
-            stem = word.rstrip(SIGNS)
-            if not stem or not _stays(stem[-1]):
-                return word, ""
-        return stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem, word[len(stem) :]
+        stem = word.rstrip(SIGNS)
+        return (stem, word[len(stem) :]) if stem and _stays(stem[-1]) else (word, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four little-endian bytes each. All that is new in a stretch of texts is tokenized in one call."""
@@ -125,53 +145,87 @@ class WordEncoder:
         yield text
 
     def _encode(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
-        if self.chars > KNOWN_CHARS:
-            self.known, self.chars = {"": b""}, 0
-        if self.stem_chars > STEM_CHARS:
-            self.stems, self.stem_chars = {"": b""}, 0
-        split = [self.split(t) for _, t in held]
-        known, stems = self.known, self.stems
-        words = set().union(*split).difference(known)
-        # words without signs share their stem's ids, others add the signs'
-        whole = list(filter(str.isalpha, words))
-        plain = [w.lower() if w.isascii() or max(w) < "\u0100" else w for w in whole]
-        signed = list(words.difference(whole))
-        parts = [self.parts(w) for w in signed]
-        new = set(plain).union(*parts).difference(stems)
+        texts = pc.replace_substring(pa.array([t for _, t in held], pa.large_string()), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        # a distinct word's ids are its stem's and its signs'
+        parts = pa.concat_arrays(self._parts(words.dictionary)).dictionary_encode()
+        number = self._numbers(parts.dictionary)[parts.indices.to_numpy().reshape(2, -1).T.ravel()]
+        starts = np.frombuffer(self.starts, np.int64)
+        sizes = starts[number + 1] - starts[number]
+        ids = _gather(np.frombuffer(self.ids, np.uint32), starts[number], sizes)
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        word = words.indices.to_numpy()
+        ids = _gather(ids, (np.cumsum(sizes) - sizes)[word], sizes[word]).astype("<u4", copy=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes[word])])[split.offsets.to_numpy()].tolist()
+        for (k, _), start, end in zip(held, bounds[:-1], bounds[1:], strict=True):
+            out[k].append(ids[start:end].tobytes())
+
+    @classmethod
+    def _parts(cls, words: pa.Array) -> list[pa.Array]:
+        """The stems and the signs of distinct words, as parts() has them."""
+        stems = pc.ascii_rtrim(words, SIGNS)
+        last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        apart = pa.array([bool(cls.parts(c + ".")[1]) for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        stems = pc.if_else(apart, stems, words)
+        # signs are ASCII: as many characters as bytes
+        n_signs = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy()
+        signed = np.flatnonzero(n_signs)
+        signs = np.full(len(words), "", object)
+        signs[signed] = [w[-n:] for w, n in zip(words.take(pa.array(signed)).to_numpy(zero_copy_only=False), n_signs[signed].tolist(), strict=True)]
+        return [stems, pa.array(signs, words.type)]
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of distinct stems and signs."""
+        if self.chars > STEM_CHARS:
+            self._forget()
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, names))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = [names[k] for k in missing]
         self._tokenize(new)
-        known.update(zip(whole, map(stems.__getitem__, plain), strict=True))
-        for w, (stem, signs) in zip(signed, parts, strict=True):
-            known[w] = stems[stem] + stems[signs]
-        self.chars += sum(map(len, words))
-        self.stem_chars += sum(map(len, new))
-        for (k, _), x in zip(held, split, strict=True):
-            out[k].append(b"".join(map(known.__getitem__, x)))
-
-
-    def _tokenize(self, new: set[str]) -> None:
-        """The ids of stems and signs."""
-        stems, ends = self.stems, self.ends
-        plain = list(filter(str.isalpha, new)) if ends is not None else []
-        rest = list(new.difference(plain))
-        at_once = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for part, e in zip(at_once, self.tokenizer.encode_batch_fast([" ".join(p) for p in at_once], add_special_tokens=False), strict=True):
-            ids = e.ids
-            cuts = [4 * k for k, i in enumerate(ids, 1) if ends[i]]
-            if len(cuts) != len(part):  # a letter that the vocabulary takes apart
-                rest += part
-                continue
-            data = _bytes(ids)
-            stems.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        self.chars += sum(map(len, new))
+        for k, x in zip(missing, map(self.known.__getitem__, new), strict=True):
+            found[k] = x
+        return np.array(found, np.int64)
+
+    def _tokenize(self, new: list[str]) -> None:
+        """Number distinct stems and signs and keep their ids. Of Latin letters alone, forms that differ in case share a number."""
+        alpha = list(filter(str.isalpha, new)) if self.ends is not None else []
+        latin = [w for w in alpha if w.isascii() or max(w) < "\u0100"] if self.letters else []
+        lower = list(map(str.lower, latin))
+        rest = list(set(new).difference(alpha))
+        rest += self._together(self.letters, list(set(lower).difference(self.known)))
+        rest += self._together(self.tokenizer, list(set(alpha).difference(latin)))
         for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            stems[x] = _bytes(e.ids)
-
-
-def _bytes(ids: list[int]) -> bytes:
-    """Unsigned, little-endian, four bytes each."""
-    found = array("I", ids)
-    if sys.byteorder == "big":
-        found.byteswap()
-    return found.tobytes()
+            ids = e.ids
+            self._keep([x], np.array(ids, np.uint32), np.array([len(ids)]))
+        self.known.update((w, self.known[x]) for w, x in zip(latin, lower, strict=True) if w != x)
+
+    def _together(self, tokenizer, stems: list[str]) -> list[str]:
+        """Keep stems of letters alone, many in one text; those are returned that the vocabulary takes apart."""
+        apart: list[str] = []
+        at_once = [stems[i : i + TOGETHER] for i in range(0, len(stems), TOGETHER)]
+        encoded = tokenizer.encode_batch_fast([" ".join(p) for p in at_once], add_special_tokens=False) if stems else []
+        for part, e in zip(at_once, encoded, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._keep(part, ids, ends)
+            else:
+                apart += part
+        return apart
+
+    def _keep(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.starts) - 1, len(self.starts) - 1 + len(names)), strict=True))
+        self.starts.frombytes((ends + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)]
 
 
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tuple[int, int]]:

@@ -378,6 +378,49 @@ def test_word_encoder(monkeypatch):
     check()
 
 
+def test_latin_stems_skip_the_vocabularys_steps(tmp_path):
+    """Latin letters reach the model alone, once whatever their case and signs; ids stay the whole tokenizer's, also of special tokens' look-alikes and of vocabularies with other steps."""
+    from tokenizers import Tokenizer, normalizers
+
+    def same(tokenizer, encoder, texts):
+        for text, data in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.given = inner, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += texts
+            return self.inner.encode_batch_fast(texts, **options)
+
+    path = packing.tokenizer_path()
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    encoder.tokenizer, encoder.letters = Spy(encoder.tokenizer), Spy(encoder.letters)
+    same(plain, encoder, ["The THE, the\nNaïve. naïve ", "", " the", "NAÏVE!"])
+    assert sorted(encoder.letters.given) in (["naïve the"], ["the naïve"]) and set(encoder.tokenizer.given) <= set(packing.SIGNS)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    same(plain, encoder, [" ".join(a + b for b in letters) for a in letters])
+    same(plain, encoder, ["<|ENDOFTEXT|>a. <|endoftext|>a.", "<|StartOfText|>B <|startoftext|>B", "x<|endoftext|>"])
+    assert encoder.encode([]) == []
+    other = Tokenizer.from_file(path)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "cased.json"))
+    same(other, packing.WordEncoder(str(tmp_path / "cased.json")), ["the The THE. naïve NAÏVE, 漢字"])
+
+
+def test_stems_forgotten(monkeypatch):
+    """A worker that starts anew, and cuts that end a stretch, change no ids."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "STEM_CHARS", 10)
+    monkeypatch.setattr(packing, "AT_ONCE", 8)
+    texts = ["the cats. The dogs, THE", "a cat", "12345678", "", "cats dogs\n\nthe..."] * 3
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_code_point_before_every_sign():
     """Signs behind any code point, alone or behind a letter, keep the tokenizer's ids."""
     from tokenizers import Tokenizer
