@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathfield.llm.common import read, staged
+from pathfield.llm.common import arrow_batches, read, staged
 from pathfield.llm.jaccard import keep_one
 from pathfield.llm.languages import keep_identified
 from pathfield.llm.mixing import poisson_mix
 from pathfield.llm.packing import harmonic_pack, tokenizer_path
 from pathfield.llm.quality import fit_quality, keep_quality
 
+#: Bytes of the Arrow batches that the tasks get that compare texts.
+BATCH_BYTES = 4 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on a bounded sample of the labelled ones."""
@@ -28,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard similarity 0.8 over five-word shingles join."""
-    return keep_one(docs)
+    with arrow_batches(spark, BATCH_BYTES):
+        return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,18 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfield.llm.common import read, staged
+from pathfield.llm.common import arrow_batches, read, staged
 
 CAPACITY = 2048
 #: Remnants are shorter than this, so a full bin of them wastes less than SMALLEST ids.
 SMALLEST = 64
 END = 1
-#: Characters of words' stems kept with their ids by a worker before it starts anew.
-STEM_CHARS = 12_000_000
+#: Characters of words' stems kept with their ids by a worker before it drops those that were not asked for again.
+STEM_CHARS = 2_000_000
 #: Characters tokenized at once; a longer text is cut after a space or line feed, if it has any.
 AT_ONCE = 4_000_000
 #: Stems of letters alone that are tokenized as one text; the ids that end words tell them apart.
 TOGETHER = 64
+#: Bytes of texts in a batch that a worker gets at once; Spark's own bound of rows would make batches of tens of MB.
+BATCH_BYTES = 2 << 20
+#: Texts given to the tokenizer in one call.
+CALL = 128
 #: Signs that are split from a word's end.
 SIGNS = ".,;:!?*$%#)\"'-"
 
@@ -91,6 +95,7 @@ class WordEncoder:
     The vocabulary's pre-tokenizer never joins characters across a space or line feed, so the ids of a text are those
     of the stretches between them, and each distinct stretch is put together once for some thousand texts: from its stem and the
     signs at its end, which the pre-tokenizer separates from a letter or digit before them. Only new stems and signs are tokenized.
+    Most stems occur in one stretch of texts alone, so those that occur again are the ones worth their memory.
     """
 
     def __init__(self, path: str):
@@ -107,7 +112,22 @@ class WordEncoder:
 
     def _forget(self) -> None:
         """Start with the empty stem alone. A stem's number tells where its ids start; the next one's, where they end."""
-        self.known, self.ids, self.starts, self.chars = {"": 0}, array("I"), array("q", [0, 0]), 0
+        self.known, self.ids, self.starts, self.again, self.chars = {"": 0}, array("I"), array("q", [0, 0]), bytearray(1), 0
+
+    def _thin(self) -> None:
+        """Keep the stems that a later stretch of texts has asked for since they were kept or last thinned; none, if these are too many."""
+        self.again[0] = 1
+        again, starts = np.array(self.again, bool), np.array(self.starts)
+        place = (np.cumsum(again) - 1).tolist()
+        known = {w: place[n] for w, n in self.known.items() if self.again[n]}
+        sizes = np.diff(starts)[again]
+        ids = _gather(np.array(self.ids), starts[:-1][again], sizes)
+        self._forget()
+        if (chars := sum(map(len, known))) <= STEM_CHARS // 2:
+            self.known, self.chars, self.again = known, chars, bytearray(len(sizes))
+            self.ids.frombytes(ids.tobytes())
+            self.starts = array("q", [0])
+            self.starts.frombytes(np.cumsum(sizes).tobytes())
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
@@ -178,10 +198,11 @@ class WordEncoder:
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         """The numbers of distinct stems and signs."""
         if self.chars > STEM_CHARS:
-            self._forget()
+            self._thin()
         names = parts.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, names))
         missing = [k for k, x in enumerate(found) if x is None]
+        np.frombuffer(self.again, np.uint8)[[x for x in found if x is not None]] = 1
         new = [names[k] for k in missing]
         self._tokenize(new)
         self.chars += sum(map(len, new))
@@ -197,7 +218,7 @@ class WordEncoder:
         rest = list(set(new).difference(alpha))
         rest += self._together(self.letters, list(set(lower).difference(self.known)))
         rest += self._together(self.tokenizer, list(set(alpha).difference(latin)))
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        for x, e in zip(rest, _encodings(self.tokenizer, rest), strict=True):
             ids = e.ids
             self._keep([x], np.array(ids, np.uint32), np.array([len(ids)]))
         self.known.update((w, self.known[x]) for w, x in zip(latin, lower, strict=True) if w != x)
@@ -206,8 +227,7 @@ class WordEncoder:
         """Keep stems of letters alone, many in one text; those are returned that the vocabulary takes apart."""
         apart: list[str] = []
         at_once = [stems[i : i + TOGETHER] for i in range(0, len(stems), TOGETHER)]
-        encoded = tokenizer.encode_batch_fast([" ".join(p) for p in at_once], add_special_tokens=False) if stems else []
-        for part, e in zip(at_once, encoded, strict=True):
+        for part, e in zip(at_once, _encodings(tokenizer, [" ".join(p) for p in at_once]), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
@@ -219,9 +239,16 @@ class WordEncoder:
     def _keep(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.known.update(zip(names, range(len(self.starts) - 1, len(self.starts) - 1 + len(names)), strict=True))
         self.starts.frombytes((ends + len(self.ids)).tobytes())
+        self.again.extend(bytes(len(names)))
         self.ids.frombytes(ids.tobytes())
 
 
+def _encodings(tokenizer, texts: list[str]) -> Iterator:
+    """What the tokenizer makes of each text. An encoding takes many times its ids' memory, so only CALL are made at once."""
+    for at in range(0, len(texts), CALL):
+        yield from tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)
+
+
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Stretches of an array, one behind the other."""
     ends = np.cumsum(sizes)
@@ -271,6 +298,7 @@ def _pieces(path: str, capacity: int, smallest: int):
 
         for batch in batches:
             yield block(list(rows(batch)))
+            pa.default_memory_pool().release_unused()
         yield block([(*p, worker, None, slot) for mine in waiting.values() for slot, p in enumerate(mine)])
 
     return run
@@ -285,7 +313,8 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, smallest
     if capacity & capacity - 1 or smallest & smallest - 1:
         raise ValueError("capacity and smallest are powers of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(rows.mapInArrow(_pieces(path, capacity, smallest), _PIECE_DDL), "pieces")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        pieces = staged(rows.mapInArrow(_pieces(path, capacity, smallest), _PIECE_DDL), "pieces")
     full = pieces.where("bin is not null").select(*pieces.columns[:5], F.expr("shiftleft(worker, 34) + bin").alias("sequence_id"), (F.col("slot") * F.col("length")).alias("offset"))
     left = pieces.where("bin is null")
     along, whole_length = Window.partitionBy("length").orderBy("worker"), Window.partitionBy("length")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathfield.llm import fingerprints, jaccard, languages, licenses, mixing, neighbours, packing, quality, toxicity, urls
+from pathfield.llm import common, fingerprints, jaccard, languages, licenses, mixing, neighbours, packing, quality, toxicity, urls
 from pathfield.llm.common import staged
 from pathfield.operators.graph import components
 
@@ -421,6 +421,66 @@ def test_stems_forgotten(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_stems_asked_for_again_are_kept(monkeypatch):
+    """What a worker keeps stays within the bound: stems of one stretch alone go, the others stay, and no id changes."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "STEM_CHARS", 300_000)
+    tokenize, new = encoder._tokenize, []
+    monkeypatch.setattr(encoder, "_tokenize", lambda stems: (new.extend(s for s in stems if len(s) < 12), tokenize(stems)))
+    letters = "abcdefghijklmnop"
+    rare = lambda k: "".join(letters[k >> 4 * i & 15] for i in range(5)) + "qrstuvw"
+    tracemalloc.start()
+    for at in range(0, 200_000, 5_000):
+        texts = ["The cats, often. " + " ".join(map(rare, range(at + i, at + 5_000, 5))) for i in range(5)]
+        found = encoder.encode(texts)
+        if at % 50_000 == 0:
+            assert [np.frombuffer(b, "<u4").tolist() for b in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 15_000_000 and encoder.chars <= 300_000 + 12 * 5_000
+    assert sorted(new) == [",", ".", "The", "cats", "often"] and rare(0) not in encoder.known
+    # more stems than the bound allows, asked for again and again: none can stay
+    for _ in range(3):
+        texts = [" ".join(map(rare, range(at, at + 5_000))) + " cats." for at in range(0, 20_000, 5_000)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        for at in range(30_000, 50_000, 5_000):
+            encoder.encode([" ".join(map(rare, range(at, at + 5_000)))])
+
+
+def test_tasks_that_read_texts_get_bounded_batches(spark, monkeypatch):
+    """The packing's workers and the pipeline's text comparisons get their texts in small Arrow batches; the session's setting comes back, after an error too."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    assert before not in (str(packing.BATCH_BYTES), str(corpus_pipeline.BATCH_BYTES))
+    docs = spark.range(6_000).selectExpr("id as doc_id", "concat(id, repeat(' word', 400)) as text", "'en' as lang", "'s' as source", "2000L as n_chars").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"n": b.nbytes}])
+
+    def staged(df, label):
+        seen.append(max(r.n for r in docs.mapInArrow(sizes, "n long").collect()))
+        return common.staged(df, label)
+
+    monkeypatch.setattr(packing, "staged", staged)
+    monkeypatch.setattr(corpus_pipeline, "keep_one", lambda d: staged(d, "kept"))
+    assert packing.harmonic_pack(docs, packing.tokenizer_path()).count() >= 6_000
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 6_000
+    assert len(seen) == 2 and seen[0] < 1.2 * packing.BATCH_BYTES and seen[1] < 1.2 * corpus_pipeline.BATCH_BYTES
+    with pytest.raises(ValueError), common.arrow_batches(spark, 1 << 20):
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def test_every_code_point_before_every_sign():
     """Signs behind any code point, alone or behind a letter, keep the tokenizer's ids."""
     from tokenizers import Tokenizer
