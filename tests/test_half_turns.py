@@ -18,7 +18,7 @@ def folder(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["unwrap"])
+@pytest.mark.parametrize("name", ["unwrap", "track_sets"])
 def test_half_turns_as_in_sql(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{folder}/events.parquet'")
