@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pathfield.operators import spatial
+from pathfield.operators import fit, spatial
 
 
 def shuffled(spark, df):
@@ -42,3 +42,11 @@ def test_pair_distribution_adds_up_where_pairs_are_formed(spark, crowd):
     weight = lambda c: np.where(c <= rs - 0.05, 1 / (2 * np.arccos(np.maximum(-1, (d * d + c * c - rs * rs) / (2 * d * c))) * d * 0.02), 0)
     g = np.bincount(np.minimum(d // 0.02, 19).astype(int), (weight(d0[i]) + weight(d0[j])) / (d0 <= rs - 0.05).sum(), 20)
     assert found.sort_values("bin")["g"].tolist() == pytest.approx(g[g > 0].tolist())
+
+
+def test_peak_decay_adds_up_where_pairs_are_formed(spark, crowd):
+    g = lambda: spatial.pair_distribution(crowd[0], 40, 0.6, 0.0, 0.02).selectExpr("f", "(bin + 0.5) * 0.015 as r", "g")
+    rows, found = shuffled(spark, lambda: fit.peak_decay(g(), "r", "g", "f", lookahead=1))
+    assert rows < 50_000
+    # tests/test_fits.py has known curves
+    assert found.columns.tolist() == ["f", "param", "value", "stderr"]
