@@ -56,7 +56,7 @@ def test_corners_as_by_all_pairs(spark, nc, angle, dangle, rank_by, kind):
     assert rows == {k: [places[c] for c in expected[k]] if k in expected else None for _, k, *_ in dots}
 
 
-@pytest.mark.parametrize("dangle", [None])
+@pytest.mark.parametrize("dangle", [0.3, None])
 def test_many_corners_of_one_dot(spark, dangle):
     """40,000 corners, 800 million pairs of them."""
     n = 40_000
