@@ -56,7 +56,7 @@ def test_equal_places_are_searched_once(spark):
     assert set(found[found["f"] == 1]["parent"]) == {0} and found[found["f"] == 0]["parent"].isna().all()
 
 
-@pytest.mark.parametrize("stub", [0])
+@pytest.mark.parametrize("stub", [0, 3])
 def test_labels_of_equal_places(spark, stub):
     dots = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "f": np.repeat([0, 1], 1500), "x": 1.0, "y": 2.0}))
     rows, found = shuffled(spark, lambda: linking.track_labels(dots, 2.0, 3, stub=stub))
